@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from kinfold.llm.decontaminate import OP10_SQL, op10_decontaminate
+from kinfold.llm.fingerprint import op1_fingerprint
+from kinfold.llm.neardup import op9_neardup
 from kinfold.llm.sharding import op7_sharding
 from kinfold.llm.token_output import op3_token_output
 
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
     "op3_token_output": op3_token_output,
     "op7_sharding": op7_sharding,
+    "op9_neardup": op9_neardup,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {"op10_decontaminate": OP10_SQL}
