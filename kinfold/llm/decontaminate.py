@@ -20,8 +20,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinfold.llm.common import load, slices, small_batches, text_buffer
+from kinfold.llm.common import keep_rows, load, slices, small_batches, text_buffer
 from kinfold.llm.text import Words, mix, words
 
 #: Words of a window.
@@ -137,13 +138,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     The benchmark comes to the driver in blocks of ``block_items`` items; each is compiled and broadcast. Workers hold
     one compiled block at a time where there are several.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = benchmark.select("item_id", "text").dropna().toLocalIterator()
-    sent = []
-    while chunk := list(islice(rows, block_items)):
-        if compiled := compile_patterns(((r[0], r[1]) for r in chunk), window):
-            sent.append(spark.sparkContext.broadcast(compiled))
+    small_batches(docs.sparkSession)
+    sent = _broadcast_blocks(benchmark, window, block_items)
 
     def run(batches):
         for batch in batches:
@@ -162,6 +158,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, item_ids array<long>, contaminated boolean")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``docs``, its columns as they are, without the rows that have a benchmark window."""
+    small_batches(docs.sparkSession)
+    sent = _broadcast_blocks(benchmark, window, block_items)
+    return keep_rows(docs, lambda texts: np.array(scan(texts, _one_at_a_time(sent))["n_hit"]) == 0)
+
+
+def _broadcast_blocks(benchmark: DataFrame, window: int, block_items: int) -> list:
+    rows, sent = benchmark.select("item_id", "text").dropna().toLocalIterator(), []
+    while chunk := list(islice(rows, block_items)):
+        if compiled := compile_patterns(((r[0], r[1]) for r in chunk), window):
+            sent.append(benchmark.sparkSession.sparkContext.broadcast(compiled))
+    return sent
+
+
 def _one_at_a_time(sent: list) -> Iterator[list[Patterns]]:
     for b in sent:
         yield b.value
@@ -174,8 +185,6 @@ def items_digest(ids: list[int]) -> str:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = decontaminate(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
     as_text = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(as_text.cast("binary"), 256).alias("items_sha256"), "contaminated")

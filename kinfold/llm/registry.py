@@ -1,18 +1,24 @@
-"""Queries of the subpackage."""
+"""Queries of the subpackage, and of the pipeline at the repository's top."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from kinfold.llm.decontaminate import OP10_SQL, op10_decontaminate
 from kinfold.llm.fingerprint import op1_fingerprint
+from kinfold.llm.mixing import op8_mixing
 from kinfold.llm.neardup import op9_neardup
 from kinfold.llm.sharding import op7_sharding
 from kinfold.llm.token_output import op3_token_output
+from kinfold.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_toxicity": op2_toxicity,
     "op3_token_output": op3_token_output,
     "op7_sharding": op7_sharding,
+    "op8_mixing": op8_mixing,
     "op9_neardup": op9_neardup,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op10_decontaminate": OP10_SQL}

@@ -22,7 +22,7 @@ _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 _powers = {"p": np.ones(1, _U), "i": np.ones(1, _U)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
         step = np.full(max(n, 2 * len(have)), _P if kind == "p" else _PINV, _U)
@@ -59,15 +59,15 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> Words:
         after[offsets[1:][offsets[1:] > 0] - 1] = False
     start, end = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
     prefix = np.zeros(n + 1, _U)
-    np.cumsum(low * _power("p", n), out=prefix[1:], dtype=_U)
+    np.cumsum(low * power("p", n), out=prefix[1:], dtype=_U)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(low, start, end, first, doc, mix((prefix[end] - prefix[start]) * _power("i", n + 1)[start]), prefix)
+    return Words(low, start, end, first, doc, mix((prefix[end] - prefix[start]) * power("i", n + 1)[start]), prefix)
 
 
 def span_hash(w: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of byte spans, equal for equal bytes; of a word's span, the word's hash."""
-    return mix((w.prefix[end] - w.prefix[start]) * _power("i", len(w.low) + 1)[start])
+    return mix((w.prefix[end] - w.prefix[start]) * power("i", len(w.low) + 1)[start])
 
 
 def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
     acc = np.zeros(n, _U)
     for j in range(k):
         if n > j:
-            acc[: n - j] += w.hash[j:] * _power("p", k + 1)[j + 1]
+            acc[: n - j] += w.hash[j:] * power("p", k + 1)[j + 1]
     ok = np.zeros(n, bool)
     if n >= k:
         ok[: n - k + 1] = w.doc[: n - k + 1] == w.doc[k - 1 :]
@@ -86,7 +86,7 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
         s = np.zeros(len(short), _U)
         for j in range(k - 1):
             has = c > j
-            s[has] += w.hash[at[has] + j] * _power("p", k + 1)[j + 1]
+            s[has] += w.hash[at[has] + j] * power("p", k + 1)[j + 1]
         acc[at] = s + c.astype(_U)
         ok[at] = True
     i = np.flatnonzero(ok)
