@@ -5,8 +5,10 @@ from __future__ import annotations
 import corpus_pipeline
 from kinfold.llm.decontaminate import OP10_SQL, op10_decontaminate
 from kinfold.llm.fingerprint import op1_fingerprint
+from kinfold.llm.html_text import op6_html_text
 from kinfold.llm.mixing import op8_mixing
 from kinfold.llm.neardup import op9_neardup
+from kinfold.llm.quality import op4_quality
 from kinfold.llm.sharding import op7_sharding
 from kinfold.llm.token_output import op3_token_output
 from kinfold.llm.toxicity import op2_toxicity
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_toxicity": op2_toxicity,
     "op3_token_output": op3_token_output,
+    "op4_quality": op4_quality,
+    "op6_html_text": op6_html_text,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op9_neardup": op9_neardup,
