@@ -10,6 +10,7 @@ from kinfold.llm.mixing import op8_mixing
 from kinfold.llm.neardup import op9_neardup
 from kinfold.llm.quality import op4_quality
 from kinfold.llm.sharding import op7_sharding
+from kinfold.llm.substring_dedup import op5_substring_dedup
 from kinfold.llm.token_output import op3_token_output
 from kinfold.llm.toxicity import op2_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_output": op3_token_output,
     "op4_quality": op4_quality,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_html_text": op6_html_text,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
