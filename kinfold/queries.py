@@ -1,10 +1,474 @@
-"""Registered queries and the DuckDB SQL that gives the same rows."""
+"""Registered queries, and the DuckDB SQL that gives the same rows.
+
+The tables stand in for genomes: a gene is a part, its genome the part's brand (or type), its length the part's size; a
+hit of q on r is two different parts in one order, its score the sum of q's quantities. A fixed hierarchy puts part p into
+component p % 100 and divides by the bits of p // 100; there the genome is size % 8.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold.functions import scalars
+from kinfold.operators import annotate, community, components, edges, evaluate, hierarchy, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- hits and scores ---------------------------------------------------------------------------------------------
+
+
+def hits(spark: SparkSession, d: str, genome: str = "p_brand") -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    q, r = lines.alias("q"), lines.select("l_orderkey", "l_partkey").alias("r")
+    raw = q.join(r, (F.col("q.l_orderkey") == F.col("r.l_orderkey")) & (F.col("q.l_partkey") != F.col("r.l_partkey")))
+    raw = raw.groupBy(F.col("q.l_partkey").alias("q"), F.col("r.l_partkey").alias("r")).agg(F.sum("q.l_quantity").alias("bitscore"))
+    part = table(spark, d, "part").select("p_partkey", F.col(genome).alias("g"), "p_size")
+    pq = part.select(F.col("p_partkey").alias("q"), F.col("g").alias("q_genome"), F.col("p_size").alias("q_len"))
+    pr = part.select(F.col("p_partkey").alias("r"), F.col("g").alias("r_genome"), F.col("p_size").alias("r_len"))
+    out = raw.join(pq, "q").join(pr, "r")
+    identity = F.least("q_len", "r_len") * F.lit(100.0) / F.greatest("q_len", "r_len")
+    return out.select("q_genome", "r_genome", "q", "r", "bitscore", (F.col("q_len").cast("long") * F.col("r_len")).alias("len_product"), identity.alias("identity"))
+
+
+def hits_sql(genome: str = "p_brand") -> str:
+    return f"""
+raw AS (SELECT q.l_partkey AS q, r.l_partkey AS r, sum(q.l_quantity) AS bitscore
+        FROM lineitem q JOIN lineitem r ON q.l_orderkey = r.l_orderkey AND q.l_partkey <> r.l_partkey GROUP BY 1, 2),
+hits AS (SELECT pq.{genome} AS q_genome, pr.{genome} AS r_genome, raw.q, raw.r, raw.bitscore,
+                CAST(pq.p_size AS BIGINT) * pr.p_size AS len_product,
+                least(pq.p_size, pr.p_size) * CAST(100 AS DOUBLE) / greatest(pq.p_size, pr.p_size) AS identity
+         FROM raw JOIN part pq ON raw.q = pq.p_partkey JOIN part pr ON raw.r = pr.p_partkey)"""
+
+
+NBS_SQL = """
+ranked AS (SELECT *, count(*) OVER (PARTITION BY q_genome, r_genome) AS n,
+                  row_number() OVER (PARTITION BY q_genome, r_genome ORDER BY len_product, q, r) - 1 AS rn FROM hits WHERE bitscore <> 0),
+wide AS (SELECT *, CASE WHEN n > 5000 THEN 1000 WHEN n > 1000 THEN 200 ELSE 20 END AS w FROM ranked WHERE n > 1),
+binned AS (SELECT *, unnest(CASE WHEN n < 100 THEN [CAST(-1 AS BIGINT)] WHEN rn > 0 AND rn % w = 0 THEN [rn // w, rn // w - 1] ELSE [rn // w] END) AS bin FROM wide),
+cut AS (SELECT *, quantile_cont(bitscore, 0.95) OVER (PARTITION BY q_genome, r_genome, bin) AS limit_ FROM binned),
+fit AS (SELECT q_genome, r_genome, regr_slope(log10(bitscore), log10(len_product)) AS a, regr_intercept(log10(bitscore), log10(len_product)) AS b,
+               avg(log10(bitscore)) AS m FROM cut WHERE bin = -1 OR bitscore >= limit_ GROUP BY 1, 2),
+nbs AS (SELECT h.*, h.bitscore / (pow(10, CASE WHEN f.a IS NULL THEN f.m ELSE f.b END) * pow(h.len_product, coalesce(f.a, 0))) AS nbs
+        FROM hits h JOIN fit f USING (q_genome, r_genome) WHERE h.bitscore <> 0)"""
+BH_SQL = """
+bh AS (SELECT * FROM (
+         SELECT *, max(nbs) OVER (PARTITION BY q_genome, q, r_genome) AS there,
+                coalesce(max(CASE WHEN q_genome <> r_genome THEN nbs END) OVER (PARTITION BY q_genome, q), -1) AS best FROM nbs)
+       WHERE nbs > CASE WHEN q_genome <> r_genome THEN there ELSE best END - 1e-3)"""
+RBH_SQL = """
+rbh AS (SELECT a.* FROM bh a WHERE a.q_genome <> a.r_genome AND EXISTS (SELECT 1 FROM bh b WHERE b.q = a.r AND b.r = a.q))"""
+LRB_SQL = """
+thr AS (SELECT n.q_genome, n.q, coalesce(min(CASE WHEN x.q IS NOT NULL THEN n.nbs END), coalesce(max(CASE WHEN n.q_genome <> n.r_genome THEN n.nbs END), 0) + 1e-6) AS thr
+        FROM nbs n LEFT JOIN rbh x ON x.q = n.q AND x.r = n.r GROUP BY 1, 2),
+kept AS (SELECT n.* FROM nbs n JOIN thr t ON t.q = n.q WHERE n.nbs >= t.thr)"""
+_BASE = "WITH " + hits_sql() + "," + NBS_SQL
+_COLS = "q_genome, r_genome, q, r, round(nbs, 6) AS nbs"
+
+
+def _nbs(spark: SparkSession, d: str, genome: str = "p_brand") -> DataFrame:
+    return score.normalize(hits(spark, d, genome))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("q_genome", "r_genome", "q", "r", F.round("nbs", 6).alias("nbs"))
+
+
+@query("WITH " + hits_sql() + " SELECT q_genome, r_genome, q, r, bitscore, len_product, identity FROM hits")
+def hits_scan(spark, d):
+    return hits(spark, d)
+
+
+@query(_BASE + f" SELECT {_COLS} FROM nbs")
+def nbs_normalize_brand(spark, d):
+    return _shown(_nbs(spark, d))
+
+
+@query("WITH " + hits_sql("p_type") + "," + NBS_SQL + f" SELECT {_COLS} FROM nbs")
+def nbs_normalize_type(spark, d):
+    return _shown(_nbs(spark, d, "p_type"))
+
+
+@query(_BASE + "," + BH_SQL + f" SELECT {_COLS} FROM bh")
+def best_hits(spark, d):
+    return _shown(edges.best_hits(_nbs(spark, d)))
+
+
+@query(_BASE + "," + BH_SQL + "," + RBH_SQL + f" SELECT {_COLS} FROM rbh")
+def rbh(spark, d):
+    return _shown(edges.reciprocal(edges.best_hits(_nbs(spark, d))))
+
+
+@query(_BASE + "," + BH_SQL + "," + RBH_SQL + "," + LRB_SQL + f" SELECT {_COLS} FROM kept")
+def retain_lrb(spark, d):
+    return _shown(edges.retain(_nbs(spark, d), "lrb"))
+
+
+@query(_BASE + "," + BH_SQL + "," + RBH_SQL + f" SELECT {_COLS} FROM nbs n WHERE EXISTS (SELECT 1 FROM rbh x WHERE x.q = n.q AND x.r = n.r)")
+def retain_arb(spark, d):
+    return _shown(edges.retain(_nbs(spark, d), "arb"))
+
+
+@query(_BASE + f" SELECT {_COLS} FROM nbs n WHERE q_genome = r_genome OR EXISTS (SELECT 1 FROM nbs x WHERE x.q = n.r AND x.r = n.q)")
+def retain_ar(spark, d):
+    return _shown(edges.retain(_nbs(spark, d), "ar"))
+
+
+EDGES_SQL = """
+fwd AS (SELECT * FROM kept WHERE q_genome < r_genome OR (q_genome = r_genome AND q < r)),
+rev AS (SELECT * FROM kept WHERE NOT (q_genome < r_genome OR (q_genome = r_genome AND q < r))),
+joined AS (SELECT coalesce(f.q_genome, r.r_genome) AS src_genome, coalesce(f.r_genome, r.q_genome) AS dst_genome, coalesce(f.q, r.r) AS a, coalesce(f.r, r.q) AS b,
+                  f.q IS NULL AS back, coalesce(f.nbs, r.nbs) AS nbs, CASE WHEN f.q IS NULL THEN 0 ELSE coalesce(r.nbs, 0) END AS nbs_rev,
+                  coalesce(f.bitscore, r.bitscore) AS bs, CASE WHEN f.q IS NULL THEN 0 ELSE coalesce(r.bitscore, 0) END AS bs_rev,
+                  coalesce(f.identity, r.identity) AS sim, CASE WHEN f.q IS NULL THEN 0 ELSE coalesce(r.identity, 0) END AS sim_rev
+           FROM fwd f FULL JOIN rev r ON f.q = r.r AND f.r = r.q),
+ssn AS (SELECT src_genome, dst_genome, CASE WHEN back AND src_genome = dst_genome THEN b ELSE a END AS src, CASE WHEN back AND src_genome = dst_genome THEN a ELSE b END AS dst,
+               nbs, nbs_rev, bs, bs_rev, sim, sim_rev FROM joined)"""
+_KEPT = _BASE + "," + BH_SQL + "," + RBH_SQL + "," + LRB_SQL
+
+
+@query(_KEPT + "," + EDGES_SQL + " SELECT src_genome, dst_genome, src, dst, round(nbs, 6) AS nbs, round(nbs_rev, 6) AS nbs_rev, bs, bs_rev, sim, sim_rev FROM ssn")
+def ssn_edges(spark, d):
+    out = edges.network_edges(edges.retain(_nbs(spark, d)))
+    return out.withColumn("nbs", F.round("nbs", 6)).withColumn("nbs_rev", F.round("nbs_rev", 6))
+
+
+@query("WITH " + hits_sql("p_type") + "," + NBS_SQL + "," + BH_SQL + "," + RBH_SQL + " SELECT p_type AS genome, p_partkey AS gene FROM part WHERE NOT EXISTS (SELECT 1 FROM rbh WHERE q = p_partkey OR r = p_partkey)")
+def singletons(spark, d):
+    genes = table(spark, d, "part").select(F.col("p_type").alias("genome"), F.col("p_partkey").alias("gene"))
+    return edges.singletons(genes, edges.network_edges(edges.retain(_nbs(spark, d, "p_type"), "arb")))
+
+
+@query("SELECT p_brand AS genome, count(*) AS n_genes FROM part GROUP BY 1")
+def gene_counts(spark, d):
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("genome")).agg(F.count(F.lit(1)).alias("n_genes"))
+
+
+# --- annotation, pairs, groups -----------------------------------------------------------------------------------
+
+
+@query("""
+WITH h AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS query, CAST(l_suppkey AS VARCHAR) AS subject, l_quantity * 2 AS pident, l_linenumber AS qstart, l_linenumber + CAST(l_quantity AS INTEGER) AS qend,
+         l_linenumber + CAST(l_quantity AS INTEGER) AS sstart, l_linenumber AS send, p_size + 10 AS q_len, 60 AS s_len, l_discount AS evalue, l_extendedprice AS bitscore
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS (SELECT *, least(abs(qend - qstart) / CAST(q_len AS DOUBLE), abs(send - sstart) / CAST(s_len AS DOUBLE)) * 100 AS coverage FROM h)
+SELECT query, subject, pident, evalue, bitscore, round(coverage, 6) AS coverage FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY pident DESC, evalue, bitscore DESC, subject) AS r FROM c WHERE pident >= 40 AND coverage >= 20) WHERE r = 1
+""")
+def best_annotation(spark, d):
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    end = F.col("l_linenumber") + F.col("l_quantity").cast("int")
+    found = lines.select(
+        F.col("l_partkey").cast("string").alias("query"), F.col("l_suppkey").cast("string").alias("subject"), (F.col("l_quantity") * 2).alias("pident"), F.col("l_linenumber").alias("qstart"), end.alias("qend"),
+        end.alias("sstart"), F.col("l_linenumber").alias("send"), (F.col("p_size") + 10).alias("q_len"), F.lit(60).alias("s_len"), F.col("l_discount").alias("evalue"), F.col("l_extendedprice").alias("bitscore"),
+    )
+    return annotate.best_annotation(found, 0.4, 0.2).select("query", "subject", "pident", "evalue", "bitscore", F.round("coverage", 6).alias("coverage"))
+
+
+def _line_pairs(spark: SparkSession, d: str, first: int, second: int) -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    a, b = lines.filter(F.col("l_linenumber") == first).select("l_orderkey", F.col("l_partkey").alias("gene_a")), lines.filter(F.col("l_linenumber") == second).select("l_orderkey", F.col("l_partkey").alias("gene_b"))
+    return a.join(b, "l_orderkey").filter("gene_a <> gene_b").select("gene_a", "gene_b").distinct()
+
+
+def _line_pairs_sql(first: int, second: int) -> str:
+    return f"SELECT DISTINCT a.l_partkey AS gene_a, b.l_partkey AS gene_b FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = {first} AND b.l_linenumber = {second} AND a.l_partkey <> b.l_partkey"
+
+
+@query(f"""
+WITH p AS ({_line_pairs_sql(1, 2)}), m AS (SELECT p_brand AS og, p_partkey AS gene FROM part WHERE p_size <= 40)
+SELECT p.gene_a, p.gene_b, a.og AS og_a, b.og AS og_b, CASE WHEN a.og IS NULL OR b.og IS NULL THEN 'NotFound' WHEN a.og = b.og THEN 'SameOG' ELSE 'DiffOG' END AS status
+FROM p LEFT JOIN m a ON p.gene_a = a.gene LEFT JOIN m b ON p.gene_b = b.gene
+""")
+def same_og(spark, d):
+    members = table(spark, d, "part").filter("p_size <= 40").select(F.col("p_brand").alias("og"), F.col("p_partkey").alias("gene"))
+    return evaluate.same_group(_line_pairs(spark, d, 1, 2), members).select("gene_a", "gene_b", "og_a", "og_b", "status")
+
+
+@query(f"""
+WITH said0 AS ({_line_pairs_sql(1, 2)} UNION {_line_pairs_sql(1, 3)}), l0 AS ({_line_pairs_sql(1, 3)}),
+truth0 AS (SELECT gene_a, gene_b, (gene_a + gene_b) % 4 < 2 AS o FROM l0), truth1 AS (SELECT * FROM truth0 UNION ALL SELECT gene_b, gene_a, o FROM truth0),
+truth AS (SELECT gene_a, gene_b, bool_or(o) AS pos, bool_and(o) AS all_pos FROM truth1 GROUP BY 1, 2), genes AS (SELECT DISTINCT gene_a AS g FROM truth),
+said AS (SELECT gene_a, gene_b FROM said0 WHERE gene_a IN (SELECT g FROM genes) AND gene_b IN (SELECT g FROM genes) UNION SELECT gene_b, gene_a FROM said0 WHERE gene_a IN (SELECT g FROM genes) AND gene_b IN (SELECT g FROM genes)),
+c AS (SELECT count(*) FILTER (s.gene_a IS NOT NULL AND pos) AS tp, count(*) FILTER (s.gene_a IS NOT NULL AND NOT all_pos) AS fp, count(*) FILTER (s.gene_a IS NULL AND pos) AS fn, count(*) FILTER (s.gene_a IS NULL AND NOT all_pos) AS tn
+      FROM truth t LEFT JOIN said s ON s.gene_a = t.gene_a AND s.gene_b = t.gene_b)
+SELECT tp, fp, fn, tn, tp / CAST(nullif(tp + fp, 0) AS DOUBLE) AS ppv, tp / CAST(nullif(tp + fn, 0) AS DOUBLE) AS tpr FROM c
+""")
+def confusion_pr(spark, d):
+    labelled = _line_pairs(spark, d, 1, 3)
+    label = F.when((F.col("gene_a") + F.col("gene_b")) % 4 < 1, "TP").when((F.col("gene_a") + F.col("gene_b")) % 4 < 2, "FN").when((F.col("gene_a") + F.col("gene_b")) % 4 < 3, "FP").otherwise("TN")
+    return evaluate.confusion(_line_pairs(spark, d, 1, 2).unionByName(_line_pairs(spark, d, 1, 3)), labelled.withColumn("label", label))
+
+
+_OVERLAP_SQL = """
+WITH l AS (SELECT p_brand AS og, p_partkey AS gene FROM part WHERE p_size % 3 <> 0), r AS (SELECT p_type || ':' || CAST(p_size % 5 AS VARCHAR) AS og, p_partkey AS gene FROM part),
+ls AS (SELECT og, count(*) AS n FROM l GROUP BY 1), rs AS (SELECT og, count(*) AS n FROM r GROUP BY 1),
+s AS (SELECT l.og AS l_og, r.og AS r_og, count(*) AS shared FROM l JOIN r USING (gene) GROUP BY 1, 2),
+best AS (SELECT l_og, r_og, shared, ls.n AS l_size, rs.n AS r_size, row_number() OVER (PARTITION BY l_og ORDER BY CAST(shared AS DOUBLE) / ls.n DESC, CAST(shared AS DOUBLE) / rs.n DESC, r_og) AS k
+         FROM s JOIN ls ON l_og = ls.og JOIN rs ON r_og = rs.og)
+"""
+
+
+def _overlap(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    left = part.filter("p_size % 3 <> 0").select(F.col("p_brand").alias("og"), F.col("p_partkey").alias("gene"))
+    right = part.select(F.concat("p_type", F.lit(":"), (F.col("p_size") % 5).cast("string")).alias("og"), F.col("p_partkey").alias("gene"))
+    return evaluate.max_overlap(left, right)
+
+
+@query(_OVERLAP_SQL + "SELECT l_og, r_og, shared, l_size, r_size FROM best WHERE k = 1")
+def max_overlap(spark, d):
+    return _overlap(spark, d)
+
+
+@query(_OVERLAP_SQL + """SELECT count(*) AS groups, CAST(sum(shared) AS BIGINT) AS correct, CAST(sum(l_size - shared) AS BIGINT) AS missing, CAST(sum(r_size - shared) AS BIGINT) AS erroneous,
+count(*) FILTER (shared = l_size AND shared = r_size) AS exact FROM best WHERE k = 1 AND l_size > 1""")
+def og_comparison(spark, d):
+    return evaluate.comparison_totals(_overlap(spark, d))
+
+
+@query("""
+WITH m AS (SELECT p_brand || p_type AS og, p_partkey AS gene, row_number() OVER (PARTITION BY p_brand || p_type ORDER BY p_partkey) AS pos FROM part WHERE p_size <= 10)
+SELECT a.og, a.gene AS gene_a, b.gene AS gene_b FROM m a JOIN m b ON a.og = b.og AND a.pos < b.pos
+""")
+def og_pair_combinations(spark, d):
+    from pyspark.sql import Window
+
+    og = F.concat("p_brand", "p_type")
+    members = table(spark, d, "part").filter("p_size <= 10").select(og.alias("og"), F.col("p_partkey").alias("gene"), F.row_number().over(Window.partitionBy(og).orderBy("p_partkey")).alias("pos"))
+    return evaluate.combinations(members)
+
+
+@query(f"""
+WITH p AS ({_line_pairs_sql(1, 2)}), g AS (SELECT a.p_brand AS ga, b.p_brand AS gb FROM p JOIN part a ON gene_a = a.p_partkey JOIN part b ON gene_b = b.p_partkey)
+SELECT value, count(*) AS n FROM (SELECT ga AS value FROM g UNION ALL SELECT gb FROM g) GROUP BY 1 ORDER BY n DESC, value LIMIT 10
+""")
+def top_genomes(spark, d):
+    part = table(spark, d, "part")
+    pairs = _line_pairs(spark, d, 1, 2).join(part.select(F.col("p_partkey").alias("gene_a"), F.col("p_brand").alias("ga")), "gene_a").join(part.select(F.col("p_partkey").alias("gene_b"), F.col("p_brand").alias("gb")), "gene_b")
+    return evaluate.top_values(pairs, "ga", "gb")
+
+
+@query("SELECT o_custkey AS og, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) <= 10")
+def count_having(spark, d):
+    return evaluate.counts_up_to(table(spark, d, "orders").select(F.col("o_custkey").alias("og")), "og")
+
+
+@query("""
+WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2), p AS (SELECT source, n, n / CAST(sum(n) OVER (PARTITION BY source) AS DOUBLE) AS p FROM c)
+SELECT source, round(sum(-p * log2(p)), 6) AS entropy, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1
+""")
+def entropy(spark, d):
+    return evaluate.entropy(table(spark, d, "documents"), "source", "lang").withColumn("entropy", F.round("entropy", 6))
+
+
+@query("""
+WITH c AS (SELECT p_type AS og, p_size AS size, count(DISTINCT p_brand) AS genomes, count(*) AS genes FROM part GROUP BY 1, 2)
+SELECT og, size, genomes, genes, CASE WHEN genomes / 25.0 < 0.15 THEN 'cloud' WHEN genomes / 25.0 < 0.95 THEN 'shell' WHEN genomes / 25.0 < 0.99 THEN 'soft core' WHEN genomes / 25.0 < 1 THEN 'core' WHEN genomes = genes THEN 'SOG' ELSE 'HOG' END AS class FROM c
+""")
+def pangenome_class(spark, d):
+    groups = table(spark, d, "part").groupBy(F.col("p_type").alias("og"), F.col("p_size").alias("size")).agg(F.count_distinct("p_brand").alias("genomes"), F.count(F.lit(1)).alias("genes"))
+    return groups.withColumn("class", scalars.pangenome_class(F.col("genomes"), F.col("genes"), F.lit(25)))
+
+
+@query(f"SELECT gene_a, gene_b FROM ({_line_pairs_sql(1, 2)}) EXCEPT SELECT gene_a, gene_b FROM ({_line_pairs_sql(1, 3)})")
+def set_difference(spark, d):
+    return evaluate.difference(_line_pairs(spark, d, 1, 2), _line_pairs(spark, d, 1, 3))
+
+
+@query(r"""
+WITH t AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) || ' eggNOG' || chr(9) || 'COG' || CAST(p_size AS VARCHAR) || ' x' AS line FROM part)
+SELECT regexp_extract(line, '^(\w+)\seggNOG', 1) AS gene, regexp_extract(line, '(COG\w+)', 1) AS cog FROM t
+""")
+def regex_id_map(spark, d):
+    line = F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit(" eggNOG\tCOG"), F.col("p_size").cast("string"), F.lit(" x"))
+    return table(spark, d, "part").select(F.regexp_extract(line, r"^(\w+)\seggNOG", 1).alias("gene"), F.regexp_extract(line, r"(COG\w+)", 1).alias("cog"))
+
+
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_flatten(spark, d):
+    return table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""
+WITH a AS (SELECT c_mktsegment || ' ' || n_name AS name, c_custkey AS accession, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey % 7 ORDER BY c_custkey DESC) AS r
+           FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT name, accession FROM a WHERE r = 1 AND split_part(name, ' ', 1) = 'BUILDING'
+""")
+def species_filter(spark, d):
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    last = Window.partitionBy("c_nationkey", "c_mktsegment", F.col("c_custkey") % 7).orderBy(F.desc("c_custkey"))
+    rows = rows.filter("c_mktsegment = 'BUILDING'").withColumn("r", F.row_number().over(last)).filter("r = 1")
+    return rows.select(F.concat_ws(" ", "c_mktsegment", "n_name").alias("name"), F.col("c_custkey").alias("accession"))
+
+
+@query("""
+SELECT n, round(pow(10, trunc(log10(n) - 4)) * pow(10, 1 - log10(n)), 9) AS gamma FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey UNION SELECT count(*) FROM lineitem GROUP BY l_returnflag UNION SELECT count(*) FROM lineitem)
+""")
+def resolution_gamma(spark, d):
+    lines = table(spark, d, "lineitem")
+    n = F.count(F.lit(1)).alias("n")
+    sizes = lines.groupBy("l_partkey").agg(n).select("n").union(lines.groupBy("l_returnflag").agg(n).select("n")).union(lines.agg(n)).distinct()
+    return sizes.select("n", F.round(scalars.resolution_gamma(F.col("n")), 9).alias("gamma"))
+
+
+# --- graphs ------------------------------------------------------------------------------------------------------
+
+
+def _heavy_edges(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_partkey")
+    a, b = lines.alias("a"), lines.alias("b")
+    return a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey"))).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct()
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_quantity >= 45 AND b.l_quantity >= 45 AND a.l_partkey < b.l_partkey),
+both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+r(node, reach) AS (SELECT src, src FROM both_ways UNION SELECT r.node, b.dst FROM r JOIN both_ways b ON r.reach = b.src)
+SELECT node, min(reach) AS component FROM r GROUP BY 1
+""")
+def connected_components(spark, d):
+    return components.connected_components(_heavy_edges(spark, d))
+
+
+def fixed_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled nodes of the fixed hierarchy."""
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("p"), (F.col("p_size") % 8).alias("s"))
+    bits = [F.expr(f"(p div 100) div {1 << i} % 2").cast("int") for i in range(3)]
+    leaf = part.select(F.concat(F.lit("G"), "s", F.lit("|g"), "p").alias("gene"), F.concat(F.lit("G"), "s").alias("genome"), F.array((F.col("p") % 100).cast("int"), *bits).alias("leaf"))
+    members = leaf.select("gene", "genome", F.explode(hierarchy.prefixes("leaf")).alias("path"))
+    return hierarchy.label_events(hierarchy.attributes(members))
+
+
+HIERARCHY_SQL = """
+m AS (SELECT 'G' || CAST(p_size % 8 AS VARCHAR) || '|g' || CAST(p_partkey AS VARCHAR) AS gene, 'G' || CAST(p_size % 8 AS VARCHAR) AS genome,
+             [p_partkey % 100, (p_partkey // 100) % 2, (p_partkey // 100) // 2 % 2, (p_partkey // 100) // 4 % 2] AS leaf FROM part),
+n0 AS (SELECT leaf[1:k] AS path, list_sort(list(gene)) AS gene_ids, list_sort(list(DISTINCT genome)) AS genome_ids, count(*) AS n_genes, count(DISTINCT genome) AS n_genomes
+       FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM m) GROUP BY 1),
+kids AS (SELECT path[1:len(path) - 1] AS p, list(genome_ids ORDER BY path) AS c FROM n0 WHERE len(path) > 1 GROUP BY 1),
+n1 AS (SELECT n0.*, k.c, len(list_intersect(k.c[1], k.c[2])) AS both_, len(k.c[1]) AS g1, len(k.c[2]) AS g2 FROM n0 LEFT JOIN kids k ON n0.path = k.p),
+nodes AS (SELECT path, gene_ids, genome_ids, n_genes, n_genomes,
+            CASE WHEN c IS NULL THEN CASE WHEN len(path) = 1 AND n_genomes = n_genes THEN 'I' END WHEN len(c) < 2 THEN NULL WHEN len(c) > 2 THEN 'III-3' WHEN both_ = n_genomes THEN 'II'
+                 WHEN both_ = 0 THEN 'I' WHEN g1 = n_genomes OR g2 = n_genomes THEN 'III-1' ELSE 'III-2' END AS event, c IS NULL AS is_leaf FROM n1)"""
+_PATH = "array_to_string(path, '-')"
+
+
+def _named(path: str = "path"):
+    return F.array_join(F.transform(path, lambda x: x.cast("string")), "-")
+
+
+@query(f"WITH {HIERARCHY_SQL} SELECT {_PATH} AS node, CAST(n_genes AS INTEGER) AS n_genes, CAST(n_genomes AS INTEGER) AS n_genomes, event FROM nodes")
+def hhn_events(spark, d):
+    return fixed_hierarchy(spark, d).select(_named().alias("node"), "n_genes", "n_genomes", "event")
+
+
+GROUPS_SQL = """
+ch AS (SELECT * FROM nodes WHERE event = 'I' AND n_genomes > 1),
+top AS (SELECT * FROM ch a WHERE NOT EXISTS (SELECT 1 FROM ch b WHERE len(b.path) < len(a.path) AND a.path[1:len(b.path)] = b.path)),
+lone AS (SELECT path[1:len(path) - 1] AS p, any_value(path) AS s_path, any_value(gene_ids) AS s_genes FROM nodes WHERE event IS NULL AND len(path) > 1 GROUP BY 1 HAVING count(*) = 1),
+won AS (SELECT t.path AS top, t.gene_ids, t.n_genomes, l.p, l.s_path, l.s_genes, l.s_path IS NOT NULL AND row_number() OVER (PARTITION BY t.path[1:len(t.path) - 1] ORDER BY t.path) = 1 AS takes
+        FROM top t LEFT JOIN lone l ON len(t.path) > 1 AND t.path[1:len(t.path) - 1] = l.p),
+main AS (SELECT CASE WHEN takes THEN p ELSE top END AS path, n_genomes AS genome_num, CASE WHEN takes THEN list_concat(gene_ids, s_genes) ELSE gene_ids END AS genes, top, CASE WHEN takes THEN s_path END AS taken FROM won),
+rest AS (SELECT path, 1 AS genome_num, gene_ids AS genes, CAST(NULL AS BIGINT[]) AS top FROM nodes n WHERE event IS NULL
+         AND NOT EXISTS (SELECT 1 FROM main WHERE len(top) <= len(n.path) AND n.path[1:len(top)] = top) AND NOT EXISTS (SELECT 1 FROM main WHERE taken = n.path)),
+groups AS (SELECT path, genome_num, genes, top FROM main UNION ALL SELECT path, genome_num, genes, top FROM rest)"""
+
+
+@query(f"WITH {HIERARCHY_SQL}, {GROUPS_SQL} SELECT {_PATH} AS node, CAST(genome_num AS INTEGER) AS genome_num, CAST(len(genes) AS INTEGER) AS gene_num, array_to_string(list_sort(list_distinct(genes)), ' ') AS genes FROM groups")
+def og_extract(spark, d):
+    groups = hierarchy.orthogroups(fixed_hierarchy(spark, d))
+    return groups.select(_named().alias("node"), "genome_num", "gene_num", F.array_join("gene_ids", " ").alias("genes"))
+
+
+@query(f"""WITH {HIERARCHY_SQL}, {GROUPS_SQL},
+o AS (SELECT row_number() OVER (ORDER BY genome_num DESC, path, list_sort(list_distinct(genes))) - 1 AS n, path, genome_num FROM groups)
+SELECT printf('OG%06d', n) AS og_id, {_PATH} AS node, CAST(genome_num AS INTEGER) AS genome_num FROM o""")
+def og_numbering(spark, d):
+    return hierarchy.named_groups(hierarchy.orthogroups(fixed_hierarchy(spark, d))).select("og_id", _named().alias("node"), "genome_num")
+
+
+@query(f"""WITH {HIERARCHY_SQL}, {GROUPS_SQL},
+lf AS (SELECT n.path, g.top, unnest(n.gene_ids) AS gene FROM nodes n JOIN groups g ON g.top IS NOT NULL AND len(g.top) < len(n.path) AND n.path[1:len(g.top)] = g.top WHERE n.is_leaf),
+pr AS (SELECT a.gene AS gene_a, b.gene AS gene_b, a.path[1:CASE WHEN a.path[1:3] = b.path[1:3] THEN 3 WHEN a.path[1:2] = b.path[1:2] THEN 2 ELSE 1 END] AS lca
+       FROM lf a JOIN lf b ON a.top = b.top AND a.path < b.path AND split_part(a.gene, '|', 1) <> split_part(b.gene, '|', 1)),
+ab AS (SELECT n.gene_ids FROM nodes n JOIN groups g ON g.top IS NOT NULL AND g.path <> g.top AND n.path[1:len(n.path) - 1] = g.path AND n.event IS NULL AND n.path <> g.top),
+ins AS (SELECT gene_ids FROM ab UNION ALL SELECT n.gene_ids FROM nodes n JOIN groups g ON g.top IS NOT NULL AND len(g.top) < len(n.path) AND n.path[1:len(g.top)] = g.top WHERE n.is_leaf),
+ip AS (SELECT gene_a, unnest(gene_ids) AS gene_b FROM (SELECT unnest(gene_ids) AS gene_a, gene_ids FROM ins))
+SELECT gene_a, gene_b FROM pr JOIN nodes n ON n.path = pr.lca WHERE n.event = 'I'
+UNION SELECT gene_a, gene_b FROM ip WHERE split_part(gene_a, '|', 1) <> split_part(gene_b, '|', 1)""")
+def ortholog_pairs(spark, d):
+    nodes = fixed_hierarchy(spark, d)
+    return hierarchy.ortholog_pairs(nodes, hierarchy.orthogroups(nodes))
+
+
+_CODES_SQL = f"SELECT 'G' || CAST(a.p_size % 8 AS VARCHAR) || '|g' || CAST(gene_a AS VARCHAR) AS gene_a, 'G' || CAST(b.p_size % 8 AS VARCHAR) || '|g' || CAST(gene_b AS VARCHAR) AS gene_b FROM ({_line_pairs_sql(1, 2)}) JOIN part a ON gene_a = a.p_partkey JOIN part b ON gene_b = b.p_partkey"
+
+
+@query(f"""WITH {HIERARCHY_SQL}, p AS ({_CODES_SQL}),
+lf AS (SELECT gene_ids[1] AS gene, max(path) AS path FROM nodes WHERE n_genes = 1 GROUP BY 1),
+j AS (SELECT p.*, x.path AS pa, y.path AS pb FROM p LEFT JOIN lf x ON x.gene = p.gene_a LEFT JOIN lf y ON y.gene = p.gene_b),
+k AS (SELECT *, CASE WHEN pa IS NULL OR pb IS NULL THEN 'inseparable' WHEN pa[1] <> pb[1] THEN 'not connected' ELSE 'found' END AS status,
+        pa[1:CASE WHEN pa[1:3] = pb[1:3] THEN 3 WHEN pa[1:2] = pb[1:2] THEN 2 ELSE 1 END] AS lca FROM j),
+kd AS (SELECT path[1:len(path) - 1] AS p, list(n_genomes ORDER BY path) AS c FROM nodes WHERE len(path) > 1 GROUP BY 1)
+SELECT k.gene_a, k.gene_b, status, n.event, CAST(n.n_genomes AS INTEGER) AS total, CAST(abs(kd.c[1] - kd.c[2]) AS INTEGER) AS diff, round(abs(kd.c[1] - kd.c[2]) / CAST(n.n_genomes AS DOUBLE), 6) AS ratio
+FROM k LEFT JOIN nodes n ON status = 'found' AND n.path = k.lca LEFT JOIN kd ON status = 'found' AND kd.p = k.lca""")
+def lca_events(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.concat(F.lit("G"), F.col("p_size") % 8, F.lit("|g"), "p_partkey").alias("code"))
+    pairs = evaluate.recode(_line_pairs(spark, d, 1, 2), part.select(F.col("p_partkey").alias("orig_id"), F.col("code").alias("gene")))
+    out = hierarchy.common_ancestors(pairs, fixed_hierarchy(spark, d))
+    return out.select("gene_a", "gene_b", "status", "event", "total", "diff", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"""WITH {HIERARCHY_SQL}, s AS (SELECT path[1] AS component, path, len(path) - 1 AS depth FROM nodes WHERE len(path) > 1 AND n_genes <> 1 AND n_genes > 4 AND n_genomes = 4),
+k AS (SELECT *, count(*) OVER (PARTITION BY component) AS k, sum(depth) OVER (PARTITION BY component) AS s, row_number() OVER (PARTITION BY component ORDER BY depth, path) AS r FROM s)
+SELECT CAST(component AS INTEGER) AS component, {_PATH} AS node, CAST(depth AS INTEGER) AS depth, k AS candidates, CAST(s AS BIGINT) AS depth_sum FROM k WHERE k = 1 OR s < 4 OR r = 1""")
+def core_genes(spark, d):
+    found = hierarchy.core_genes(hierarchy.stars(fixed_hierarchy(spark, d)), genomes=4, single=False, most_depth=4)
+    return found.select("component", _named().alias("node"), "depth", "candidates", "depth_sum")
+
+
+@query("""
+WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT CASE WHEN n <= 2 THEN '<=2' WHEN n <= 10 THEN '<=10' WHEN n <= 50 THEN '<=50' WHEN n <= 200 THEN '<=200' ELSE '>200' END AS bucket, count(*) AS components, CAST(sum(n) AS BIGINT) AS members FROM c GROUP BY 1
+""")
+def size_buckets(spark, d):
+    sizes = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(scalars.size_bucket(F.col("n")).alias("bucket")).agg(F.count(F.lit(1)).alias("components"), F.sum("n").alias("members"))
+
+
+@query(f"WITH {HIERARCHY_SQL}, {GROUPS_SQL} SELECT count(DISTINCT g) AS genes, count(*) AS occurrences FROM (SELECT unnest(list_distinct(genes)) AS g FROM groups)")
+def group_totals(spark, d):
+    from kinfold.sources.text_tables import group_totals as totals
+
+    return totals(hierarchy.orthogroups(fixed_hierarchy(spark, d)))
+
+
+@query()
+def leiden_hierarchy(spark, d):
+    """Communities of the graph of heavy lines; genomes are brands."""
+    brand = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("|g"), "p_partkey").alias("code"))
+    e = _heavy_edges(spark, d)
+    e = e.join(brand.select(F.col("p_partkey").alias("src"), F.col("code").alias("s")), "src").join(brand.select(F.col("p_partkey").alias("dst"), F.col("code").alias("t")), "dst")
+    nodes = community.hierarchy(e.select(F.col("s").alias("src"), F.col("t").alias("dst"), F.lit(1.0).alias("nbs")))
+    return hierarchy.label_events(nodes).select(_named().alias("node"), "n_genes", "n_genomes", "quality", "event")
