@@ -34,8 +34,9 @@ def retained(hits: DataFrame) -> DataFrame:
 
 def coefficients(hits: DataFrame) -> DataFrame:
     y, x = F.log10("bitscore"), F.log10("len_product")
-    fit = retained(hits).groupBy(*PAIR).agg(F.regr_slope(y, x).alias("a"), F.regr_intercept(y, x).alias("b"), F.avg(y).alias("m"))
-    return fit.select(*PAIR, F.coalesce("a", F.lit(0.0)).alias("a"), F.when(F.col("a").isNull(), F.col("m")).otherwise(F.col("b")).alias("b"))
+    flat = (F.min("len_product") == F.max("len_product")).alias("flat")
+    fit = retained(hits).groupBy(*PAIR).agg(flat, F.regr_slope(y, x).alias("a"), F.regr_intercept(y, x).alias("b"), F.avg(y).alias("m"))
+    return fit.select(*PAIR, F.when(F.col("flat"), 0.0).otherwise(F.col("a")).alias("a"), F.when(F.col("flat"), F.col("m")).otherwise(F.col("b")).alias("b"))
 
 
 def normalize(hits: DataFrame) -> DataFrame:

@@ -65,9 +65,9 @@ ranked AS (SELECT *, count(*) OVER (PARTITION BY q_genome, r_genome) AS n,
 wide AS (SELECT *, CASE WHEN n > 5000 THEN 1000 WHEN n > 1000 THEN 200 ELSE 20 END AS w FROM ranked WHERE n > 1),
 binned AS (SELECT *, unnest(CASE WHEN n < 100 THEN [CAST(-1 AS BIGINT)] WHEN rn > 0 AND rn % w = 0 THEN [rn // w, rn // w - 1] ELSE [rn // w] END) AS bin FROM wide),
 cut AS (SELECT *, quantile_cont(bitscore, 0.95) OVER (PARTITION BY q_genome, r_genome, bin) AS limit_ FROM binned),
-fit AS (SELECT q_genome, r_genome, regr_slope(log10(bitscore), log10(len_product)) AS a, regr_intercept(log10(bitscore), log10(len_product)) AS b,
-               avg(log10(bitscore)) AS m FROM cut WHERE bin = -1 OR bitscore >= limit_ GROUP BY 1, 2),
-nbs AS (SELECT h.*, h.bitscore / (pow(10, CASE WHEN f.a IS NULL THEN f.m ELSE f.b END) * pow(h.len_product, coalesce(f.a, 0))) AS nbs
+fit AS (SELECT q_genome, r_genome, min(len_product) = max(len_product) AS flat, regr_slope(log10(bitscore), log10(len_product)) AS a,
+               regr_intercept(log10(bitscore), log10(len_product)) AS b, avg(log10(bitscore)) AS m FROM cut WHERE bin = -1 OR bitscore >= limit_ GROUP BY 1, 2),
+nbs AS (SELECT h.*, h.bitscore / (pow(10, CASE WHEN f.flat THEN f.m ELSE f.b END) * pow(h.len_product, CASE WHEN f.flat THEN 0 ELSE f.a END)) AS nbs
         FROM hits h JOIN fit f USING (q_genome, r_genome) WHERE h.bitscore <> 0)"""
 BH_SQL = """
 bh AS (SELECT * FROM (
