@@ -6,6 +6,7 @@ by driver and executors); an own temporary folder is set only where the session
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch sent to Python: long texts make larger batches take too much memory.
 BATCH_ROWS = 1000
 #: Bytes of text that the numpy kernels work on at once; a longer single text is one slice.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +50,21 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def tidied(run: Callable) -> Callable:
+    """``run``, a function of a partition's batches, which gives free memory back to the system at the partition's end: Spark keeps its workers."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string array without a copy; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -84,6 +100,7 @@ def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFr
     """Rows of ``docs``, all columns as they are, for whose texts ``keep`` gives true; no shuffle."""
     at = docs.columns.index("text")
 
+    @tidied
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))

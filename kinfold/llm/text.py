@@ -25,7 +25,7 @@ _powers = {"p": np.ones(1, _U), "i": np.ones(1, _U)}
 def power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
-        step = np.full(max(n, 2 * len(have)), _P if kind == "p" else _PINV, _U)
+        step = np.full(-(-n >> 18) + 1 << 18, _P if kind == "p" else _PINV, _U)
         step[0] = 1
         have = _powers[kind] = np.cumprod(step, dtype=_U)
     return have[:n]

@@ -18,7 +18,6 @@ other columns of the input are not read.
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from array import array
@@ -30,27 +29,37 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import load, shared_dir, small_batches
+from kinfold.llm.common import load, shared_dir, slices, small_batches, text_buffer, tidied
+from kinfold.llm.text import mix, power
 
-#: The dictionary is trained on this many documents (those of the lowest id hashes), of each at most this many characters.
+#: The dictionary is trained on about this many documents (those of the lowest id hashes), of each at most this many characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 500, 20_000, 64 << 10
 LEVEL = 3
 #: A block is closed when its frames have this many bytes.
 BLOCK_BYTES = 1 << 20
 END_ID = 2
 #: Distinct pieces of text whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 
-_L = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Cuts where the tokenizer's own pattern always cuts: before and after a run of letters with the one white space before it.
-_S = r"[ \t\n\r\x0b\x0c]"
-_PIECE = re.compile(rf"{_S}?[{_L}]+(?:'[{_L}]+)*|(?:(?!{_S}?[{_L}])[^{_L}])+")
-#: Texts with other letters, or an apostrophe that doesn't follow a letter but goes before one, are encoded in one piece.
-_WHOLE = re.compile(rf"[^\x00-\x7fÀ-ÖØ-öø-ɏ‐-‧«»]|(?<![{_L}])'[{_L}]")
+_KIND = np.zeros(256, np.uint8)  # 1 letter, 2 white space, 3 lead byte of two-byte letters, 4 lead byte that needs a look
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[9, 10, 11, 12, 13, 32]] = 2
+_KIND[0xC0:] = 4
+_KIND[0xC3:0xCA] = 3
+_APOSTROPHE = 39
+#: The byte-level alphabet: a printable character stands for itself, each other byte for one from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+_SPACE = chr(_BYTE_CHARS[32])
 
 
-class Encoder(dict):
-    """Ids of whole texts; pieces seen before are looked up. Values are bytes of unsigned 32-bit integers."""
+class Encoder:
+    """Ids of whole texts by the tokenizers library; the ids of pieces met before are looked up.
+
+    The tokenizer's pattern always cuts before a run of letters, or before the one white space before it, and after the
+    run; so texts are cut there, and each distinct piece of a slice is encoded by the library once. Texts with letters
+    beyond Latin, with other unusual characters, or with an apostrophe before but not after a letter are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,20 +67,102 @@ class Encoder(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocab = self.tok.get_vocab_size()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        out = self[piece] = self.whole(piece)
-        return out
+        self.known: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if _WHOLE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        buf, offsets = text_buffer(texts)
+        out: list[np.ndarray] = []
+        for i, j in slices(offsets, 1 << 20):
+            raw, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            start, odd = cuts(raw, off)
+            ids, ends = self._pieces(raw, start)
+            at = np.append(0, ends)[np.searchsorted(start, off)]
+            out += [ids[at[k] : at[k + 1]] for k in range(j - i)]
+            for k in odd:
+                out[i + k] = np.frombuffer(self.whole(raw[off[k] : off[k + 1]].tobytes().decode()), np.uint32)
+        return out
+
+    def _new(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces. One word of letters, with at most a space before, is one piece for the tokenizer as well: its model takes it as it is."""
+        model, out, other = self.tok.model, [], []
+        for i, p in enumerate(pieces):
+            text = p.decode(errors="replace")
+            if (text[1:] if p[0] == 32 else text).isalpha():
+                mapped = text.replace(" ", _SPACE) if text.isascii() else p.decode("latin1").translate(_BYTE_CHARS)
+                out.append([t.id for t in model.tokenize(mapped)])
+            else:
+                out.append([])
+                other.append((i, text))
+        for (i, _), e in zip(other, self.tok.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def _pieces(self, raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and where each piece's end."""
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        end = np.append(start[1:], len(raw))
+        _, first, which = np.unique(run_hash(raw, start, end), return_index=True, return_inverse=True)
+        data, known = raw.tobytes(), self.known
+        keys = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        found = list(map(known.get, keys))
+        if new := [i for i, v in enumerate(found) if v is None]:
+            if len(known) + len(new) > CACHE:
+                known.clear()
+            for i, ids in zip(new, self._new([keys[i] for i in new])):
+                found[i] = known[keys[i]] = array("I", ids).tobytes()
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ends = np.cumsum(n[which])
+        shift = (np.cumsum(n) - n)[which] - (ends - n[which])
+        return ids[np.repeat(shift, n[which]) + np.arange(ends[-1])], ends
+
+
+def run_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte runs; they group pieces within a slice, whose bytes are then looked up."""
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * power("p", len(raw)), out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * power("i", len(raw) + 1)[start])
+
+
+def cuts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Starts of pieces, and the texts that must be encoded whole."""
+    n = len(raw)
+    kind = _KIND[raw]
+    letter = kind == 1
+    odd = np.zeros(n, bool)
+    lead = np.flatnonzero(kind >= 3)
+    if len(lead):
+        after = np.append(raw, [0, 0])
+        b, b1, b2 = raw[lead], after[lead + 1], after[lead + 2]
+        is_letter = (kind[lead] == 3) & ~((b == 0xC3) & ((b1 == 0x97) | (b1 == 0xB7))) & ~((b == 0xC9) & (b1 > 0x8F))
+        plain = ((b == 0xC2) & ((b1 == 0xAB) | (b1 == 0xBB))) | ((b == 0xE2) & (b1 == 0x80) & (b2 >= 0x90) & (b2 <= 0xA7))
+        letter[lead[is_letter]] = letter[lead[is_letter] + 1] = True
+        odd[lead[~is_letter & ~plain]] = True
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True  # a text starts or ends
+    mark = np.flatnonzero(raw == _APOSTROPHE)
+    if len(mark):
+        before = letter[mark - 1] & ~first[mark] & (mark > 0)
+        following = np.append(letter, False)[mark + 1] & ~first[mark + 1]
+        odd[mark[following & ~before]] = True
+        letter[mark[following & before]] = True
+    cut = first[:n].copy()
+    if n:
+        change = letter[1:] != letter[:-1]
+        begins = np.flatnonzero(letter & np.append(True, change | first[1:n]))
+        ends = np.flatnonzero(~letter & np.append(False, change))
+        cut[ends] = True
+        space = (begins > 0) & (kind[begins - 1] == 2) & ~first[begins]
+        cut[begins - space] = True
+        # A white space that goes with the letters after it; what went before it is a piece that ends there.
+    start = np.flatnonzero(cut)
+    texts = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
+    return start, texts.tolist()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -107,12 +198,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, voca
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     width = 2 if max(vocab or encoder(tokenizer).vocab, end_id + 1) <= 1 << 16 else 4
-    # The sample: a bounded number of bounded texts.
-    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
-    data = train([_narrow(encoder(tokenizer).encode(r["text"]), width, end_id) for r in sample])
+    # The sample, a bounded number of bounded texts: hashes below a share of their range, so no task sends more than its part.
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    below = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(SAMPLE_DOCS)).cast("double") < (share - 0.5) * 2.0**64
+    sample = docs.filter(below).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE_DOCS).collect()
+    data = train([_narrow(x, width, end_id) for x in encoder(tokenizer).encode(pa.array(sorted(r["text"] for r in sample), pa.string()))])
     sha = hashlib.sha256(data).hexdigest() if data else None
     spark.createDataFrame([(sha, data)], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
+    @tidied
     def run(batches):
         from pyspark import TaskContext
 
@@ -128,8 +222,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, voca
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = _narrow(enc.encode(text), width, end_id)
+            for doc_id, got in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+                raw = _narrow(got, width, end_id)
                 frame = comp.compress(raw)
                 if ids and size + len(frame) > BLOCK_BYTES:
                     yield close()
@@ -147,10 +241,9 @@ _NAMES = [f.strip().split(" ")[0] for f in BLOCK_SCHEMA.split(",")]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
 
 
-def _narrow(ids: bytes, width: int, end_id: int) -> bytes:
-    a = np.frombuffer(ids, "<u4")
-    out = np.empty(len(a) + 1, f"<u{width}")
-    out[:-1] = a
+def _narrow(ids: np.ndarray, width: int, end_id: int) -> bytes:
+    out = np.empty(len(ids) + 1, f"<u{width}")
+    out[:-1] = ids
     out[-1] = end_id
     return out.tobytes()
 
@@ -174,6 +267,7 @@ def read(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None, w
         blocks = blocks.filter(hit)
     wanted = None if want is None else set(want)
 
+    @tidied
     def run(batches):
         dec = zstandard.ZstdDecompressor(dict_data=_dict(data))
         for batch in batches:

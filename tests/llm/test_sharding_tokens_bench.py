@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinfold.llm import decontaminate as D
@@ -59,8 +60,11 @@ def test_pieces_are_the_tokenizers_own():
     enc = T.Encoder(T.default_tokenizer())
     rng = np.random.default_rng(1)
     parts = ["word", " ", "  ", "\n", "'", "'s", "é", "x²", "12", ".", ",", " .", "\t", "日", " ", "-", "_", "DON'T", "\r\n", "«", "…", "́", "\x1c"]
-    for t in [t for t in TEXTS if t] + ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(4000)]:
-        assert enc.encode(t) == enc.whole(t), t
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(6000)]
+    for n in (1, 40, len(texts)):
+        for i in range(0, len(texts), n):
+            for t, got in zip(texts[i : i + n], enc.encode(pa.array(texts[i : i + n]))):
+                assert got.tobytes() == enc.whole(t), t
 
 
 def test_token_files(spark, tmp_path):
