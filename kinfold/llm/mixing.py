@@ -110,7 +110,7 @@ def taken_words(m: Mix) -> DataFrame:
 
 def remix(docs: DataFrame) -> DataFrame:
     """``docs``, its columns as they are, each row as often as the mix takes its words, to the nearest whole number."""
-    rows = taken_words(mix(docs)).withColumn("_times", F.round(F.col("_taken") / F.col("_size")).cast("int")).filter("_times > 0")
+    rows = taken_words(mix(docs)).withColumn("_times", F.round(F.try_divide("_taken", "_size")).cast("int")).filter("_times > 0")
     return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
