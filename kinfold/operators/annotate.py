@@ -13,7 +13,7 @@ def covered(hits: DataFrame, identity: float = 40, coverage: float = 20) -> Data
 
     Coverage is the lesser of aligned length (end - start, either way round) over sequence length, in per cent.
     """
-    cov = F.least(F.abs(F.col("qend") - F.col("qstart")) / F.col("q_len"), F.abs(F.col("send") - F.col("sstart")) / F.col("s_len")) * 100
+    cov = F.least(F.try_divide(F.abs(F.col("qend") - F.col("qstart")), F.col("q_len")), F.try_divide(F.abs(F.col("send") - F.col("sstart")), F.col("s_len"))) * 100
     return hits.withColumn("coverage", cov).filter((F.col("pident") >= as_percent(identity)) & (F.col("coverage") >= as_percent(coverage)))
 
 
