@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import keep_rows, load, slices, small_batches, text_buffer
+from kinfold.llm.common import keep_rows, load, slices, small_batches, text_buffer, tidied
 from kinfold.llm.text import Words, mix, words
 
 #: Words of a window.
@@ -141,6 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     small_batches(docs.sparkSession)
     sent = _broadcast_blocks(benchmark, window, block_items)
 
+    @tidied
     def run(batches):
         for batch in batches:
             found = scan(batch.column(1), _one_at_a_time(sent))

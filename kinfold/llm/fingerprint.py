@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import load, slices, small_batches, text_buffer, written
+from kinfold.llm.common import load, slices, small_batches, text_buffer, tidied, written
 from kinfold.llm.text import mix, shingles, words
 
 BITS = 128
@@ -82,6 +82,7 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
+    @tidied
     def run(batches):
         from pyspark import TaskContext
 
@@ -120,6 +121,7 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     heads = rows.filter("head IS NOT NULL").select(F.col("part").alias("next_part"), F.col("head").alias("next_text"), F.col("fingerprint").alias("next_fp"))
     tails = rows.filter("tail IS NOT NULL").join(following, "part").join(heads, "next_part").select("doc_id", "n_chars", "fingerprint", "tail", "next_text", "next_fp")
 
+    @tidied
     def finish(batches):
         for batch in batches:
             own, nxt = batch.column(3).to_pylist(), batch.column(4).to_pylist()

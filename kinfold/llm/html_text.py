@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import load, small_batches, written
+from kinfold.llm.common import load, small_batches, tidied, written
 
 LEAST_PAGES, LEAST_SHARE = 5, 0.25
 #: Most template hashes that are broadcast (8 bytes each); more are joined to the pages that have them.
@@ -194,6 +194,7 @@ def main_text(page: Page, is_template: Callable[[int], bool]) -> str:
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """Hashes (which differ by host) of the subtrees that recur on a host's pages; ``pages`` has url and html."""
 
+    @tidied
     def run(batches):
         for batch in batches:
             salts = [host_salt(u) for u in batch.column(0).to_pylist()]
@@ -219,6 +220,8 @@ def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame
     if found.count() <= most_broadcast:
         sent = spark.sparkContext.broadcast(frozenset(found.toPandas()["h"].tolist()))
 
+        @tidied
+
         def run(batches):
             for batch in batches:
                 pages = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
@@ -227,6 +230,7 @@ def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame
 
         return pages.mapInArrow(run, schema)
 
+    @tidied
     def subtrees(batches):
         for batch in batches:
             found = [parse(t or "", host_salt(u)).subtrees for u, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
@@ -237,6 +241,7 @@ def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame
     own = once.select("key", F.explode("subtrees").alias("h")).join(found, "h").groupBy("key").agg(F.collect_list("h").alias("gone"))
     joined = keyed.join(own, keyed["_key"] == own["key"], "left").select("page_id", "url", "html", "gone")
 
+    @tidied
     def with_own(batches):
         for batch in batches:
             rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))

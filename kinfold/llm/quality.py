@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import crc_mod5, load, slices, small_batches, text_buffer, written
+from kinfold.llm.common import crc_mod5, load, slices, small_batches, text_buffer, tidied, written
 from kinfold.llm.text import mix, power, shingles, words
 
 #: Most labelled documents that are learnt from: those of the lowest id hashes.
@@ -98,6 +98,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
 
+    @tidied
     def run(batches):
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import crc_mod5, keep_rows, load, slices, small_batches, text_buffer, written
+from kinfold.llm.common import crc_mod5, keep_rows, load, slices, small_batches, text_buffer, tidied, written
 from kinfold.llm.text import mix, span_hash, words
 
 #: Most labelled examples of each class: those of the lowest id hashes.
@@ -213,6 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: dict[int, int] = EXAMPLE
     # At most the sum of ``examples`` rows.
     sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
 
+    @tidied
     def count_terms(batches):
         for batch in batches:
             buf, offsets = text_buffer(batch.column(2))
@@ -227,6 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: dict[int, int] = EXAMPLE
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     by_term = bags.select("label", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
 
+    @tidied
     def strongest(batches):
         """A partition's candidates: the strongest overall are among the strongest of each."""
         kept = [np.zeros(0, np.int64), np.zeros(0)]
@@ -242,6 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: dict[int, int] = EXAMPLE
     vocabulary = np.sort(np.array([r["t"] for r in best], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(vocabulary)
 
+    @tidied
     def count_documents(batches):
         df, n = np.zeros(len(sent.value) + 1, np.int64), 0
         for batch in batches:
@@ -262,6 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: dict[int, int] = EXAMPLE
 def _index(bags: DataFrame, vocabulary: np.ndarray, df: np.ndarray, totals: tuple[int, int]) -> Index:
     """The examples' vectors come to the driver with vocabulary terms alone."""
 
+    @tidied
     def narrow(batches):
         for batch in batches:
             t, n = batch.column(2), batch.column(3)
@@ -289,6 +293,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     index = learn(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
+    @tidied
     def run(batches):
         for batch in batches:
             s, evidence = score(sent.value, batch.column(1))
