@@ -173,3 +173,35 @@ def core_genes(spokes: DataFrame, genomes: int, single: bool = True, most_depth:
     star = Window.partitionBy("component")
     found = found.withColumn("_s", F.sum("depth").over(star)).withColumn("_k", F.count(F.lit(1)).over(star)).withColumn("_r", F.row_number().over(star.orderBy("depth", "path")))
     return found.filter((F.col("_k") == 1) | (F.col("_s") < most_depth) | (F.col("_r") == 1)).select("component", "path", "depth", F.col("_k").alias("candidates"), F.col("_s").alias("depth_sum"))
+
+
+def group_locations(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each group of more than one gene (og, gene), the node that shares most of it, then most of the node's; then the first path.
+
+    (og, path, event, og_genomes, og_genes, node_genes, shared, of_group, of_node, child_genes); groups that share nothing
+    have a null path.
+    """
+    from kinfold.operators.evaluate import max_overlap
+
+    own = groups.groupBy("og").agg(F.count_distinct("gene").alias("og_genes"), F.count_distinct(genome_of(F.col("gene"))).alias("og_genomes")).filter("og_genes > 1")
+    best = max_overlap(groups.join(own.select("og"), "og", "left_semi"), nodes.select(F.col("path").alias("og"), F.explode("gene_ids").alias("gene")))
+    best = best.select(F.col("l_og").alias("og"), F.col("r_og").alias("path"), "shared")
+    kids = nodes.select(parent().alias("path"), "n_genes").filter("path IS NOT NULL").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n_genes")), lambda x: x.cast("string")), " ").alias("child_genes"))
+    place = nodes.select("path", "event", F.col("n_genes").alias("node_genes")).join(kids, "path", "left")
+    out = own.join(best, "og", "left").join(place, "path", "left")
+    return out.select("og", "path", "event", "og_genomes", "og_genes", "node_genes", "shared", (F.col("shared") / F.col("og_genes")).alias("of_group"), (F.col("shared") / F.col("node_genes")).alias("of_node"), F.coalesce("child_genes", F.lit("")).alias("child_genes"))
+
+
+def inseparable_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` (src, dst, ...) with both ends in one node of several genes and no event."""
+    from kinfold.operators.evaluate import induced_edges
+
+    return induced_edges(edges, nodes.filter("event IS NULL AND n_genes > 1").select(F.explode("gene_ids").alias("gene"), F.col("path").alias("community")))
+
+
+def small_components(nodes: DataFrame, most_genes: int, nodes_above: int = 5, nodes_below: int = 1000) -> DataFrame:
+    """(component, gene) of the leaves of components of a number of nodes strictly between the bounds and of at most ``most_genes`` genes."""
+    inner = nodes.select(parent().alias("p")).filter("p IS NOT NULL").distinct()
+    size = nodes.groupBy(F.col("path")[0].alias("component")).agg(F.count(F.lit(1)).alias("n"), F.max("n_genes").alias("g")).filter((F.col("n") > nodes_above) & (F.col("n") < nodes_below) & (F.col("g") <= most_genes))
+    leaves = nodes.join(inner, nodes["path"] == inner["p"], "left_anti").select(F.col("path")[0].alias("component"), F.explode("gene_ids").alias("gene"))
+    return leaves.join(size.select("component"), "component", "left_semi").distinct()

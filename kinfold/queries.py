@@ -352,25 +352,37 @@ def connected_components(spark, d):
     return components.connected_components(_heavy_edges(spark, d))
 
 
-def fixed_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled nodes of the fixed hierarchy."""
+def fixed_hierarchy(spark: SparkSession, d: str, levels: int = 3) -> DataFrame:
+    """Labelled nodes of the fixed hierarchy; with five levels, leaves are single genes."""
     part = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("p"), (F.col("p_size") % 8).alias("s"))
-    bits = [F.expr(f"(p div 100) div {1 << i} % 2").cast("int") for i in range(3)]
+    bits = [F.expr(f"(p div 100) div {1 << i} % 2").cast("int") for i in range(levels)]
     leaf = part.select(F.concat(F.lit("G"), "s", F.lit("|g"), "p").alias("gene"), F.concat(F.lit("G"), "s").alias("genome"), F.array((F.col("p") % 100).cast("int"), *bits).alias("leaf"))
     members = leaf.select("gene", "genome", F.explode(hierarchy.prefixes("leaf")).alias("path"))
     return hierarchy.label_events(hierarchy.attributes(members))
 
 
-HIERARCHY_SQL = """
+def hierarchy_sql(levels: int = 3) -> str:
+    bits = ", ".join(f"(p_partkey // 100) // {1 << i} % 2" for i in range(levels))
+    return f"""
 m AS (SELECT 'G' || CAST(p_size % 8 AS VARCHAR) || '|g' || CAST(p_partkey AS VARCHAR) AS gene, 'G' || CAST(p_size % 8 AS VARCHAR) AS genome,
-             [p_partkey % 100, (p_partkey // 100) % 2, (p_partkey // 100) // 2 % 2, (p_partkey // 100) // 4 % 2] AS leaf FROM part),
+             [p_partkey % 100, {bits}] AS leaf FROM part),
 n0 AS (SELECT leaf[1:k] AS path, list_sort(list(gene)) AS gene_ids, list_sort(list(DISTINCT genome)) AS genome_ids, count(*) AS n_genes, count(DISTINCT genome) AS n_genomes
-       FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM m) GROUP BY 1),
+       FROM (SELECT *, unnest(range(1, {levels + 2})) AS k FROM m) GROUP BY 1),
 kids AS (SELECT path[1:len(path) - 1] AS p, list(genome_ids ORDER BY path) AS c FROM n0 WHERE len(path) > 1 GROUP BY 1),
 n1 AS (SELECT n0.*, k.c, len(list_intersect(k.c[1], k.c[2])) AS both_, len(k.c[1]) AS g1, len(k.c[2]) AS g2 FROM n0 LEFT JOIN kids k ON n0.path = k.p),
 nodes AS (SELECT path, gene_ids, genome_ids, n_genes, n_genomes,
             CASE WHEN c IS NULL THEN CASE WHEN len(path) = 1 AND n_genomes = n_genes THEN 'I' END WHEN len(c) < 2 THEN NULL WHEN len(c) > 2 THEN 'III-3' WHEN both_ = n_genomes THEN 'II'
                  WHEN both_ = 0 THEN 'I' WHEN g1 = n_genomes OR g2 = n_genomes THEN 'III-1' ELSE 'III-2' END AS event, c IS NULL AS is_leaf FROM n1)"""
+
+
+HIERARCHY_SQL, DEEP_SQL = hierarchy_sql(), hierarchy_sql(5)
+
+
+def _shared_sql(a: str, b: str, levels: int) -> str:
+    """Length of the longest common prefix of two paths of one component."""
+    return "CASE " + " ".join(f"WHEN {a}[1:{n}] = {b}[1:{n}] THEN {n}" for n in range(levels + 1, 1, -1)) + " ELSE 1 END"
+
+
 _PATH = "array_to_string(path, '-')"
 
 
@@ -425,18 +437,18 @@ def ortholog_pairs(spark, d):
 _CODES_SQL = f"SELECT 'G' || CAST(a.p_size % 8 AS VARCHAR) || '|g' || CAST(gene_a AS VARCHAR) AS gene_a, 'G' || CAST(b.p_size % 8 AS VARCHAR) || '|g' || CAST(gene_b AS VARCHAR) AS gene_b FROM ({_line_pairs_sql(1, 2)}) JOIN part a ON gene_a = a.p_partkey JOIN part b ON gene_b = b.p_partkey"
 
 
-@query(f"""WITH {HIERARCHY_SQL}, p AS ({_CODES_SQL}),
+@query(f"""WITH {DEEP_SQL}, p AS ({_CODES_SQL}),
 lf AS (SELECT gene_ids[1] AS gene, max(path) AS path FROM nodes WHERE n_genes = 1 GROUP BY 1),
 j AS (SELECT p.*, x.path AS pa, y.path AS pb FROM p LEFT JOIN lf x ON x.gene = p.gene_a LEFT JOIN lf y ON y.gene = p.gene_b),
 k AS (SELECT *, CASE WHEN pa IS NULL OR pb IS NULL THEN 'inseparable' WHEN pa[1] <> pb[1] THEN 'not connected' ELSE 'found' END AS status,
-        pa[1:CASE WHEN pa[1:3] = pb[1:3] THEN 3 WHEN pa[1:2] = pb[1:2] THEN 2 ELSE 1 END] AS lca FROM j),
+        pa[1:{_shared_sql('pa', 'pb', 5)}] AS lca FROM j),
 kd AS (SELECT path[1:len(path) - 1] AS p, list(n_genomes ORDER BY path) AS c FROM nodes WHERE len(path) > 1 GROUP BY 1)
 SELECT k.gene_a, k.gene_b, status, n.event, CAST(n.n_genomes AS INTEGER) AS total, CAST(abs(kd.c[1] - kd.c[2]) AS INTEGER) AS diff, round(abs(kd.c[1] - kd.c[2]) / CAST(n.n_genomes AS DOUBLE), 6) AS ratio
 FROM k LEFT JOIN nodes n ON status = 'found' AND n.path = k.lca LEFT JOIN kd ON status = 'found' AND kd.p = k.lca""")
 def lca_events(spark, d):
     part = table(spark, d, "part").select("p_partkey", F.concat(F.lit("G"), F.col("p_size") % 8, F.lit("|g"), "p_partkey").alias("code"))
     pairs = evaluate.recode(_line_pairs(spark, d, 1, 2), part.select(F.col("p_partkey").alias("orig_id"), F.col("code").alias("gene")))
-    out = hierarchy.common_ancestors(pairs, fixed_hierarchy(spark, d))
+    out = hierarchy.common_ancestors(pairs, fixed_hierarchy(spark, d, 5))
     return out.select("gene_a", "gene_b", "status", "event", "total", "diff", F.round("ratio", 6).alias("ratio"))
 
 
@@ -472,3 +484,104 @@ def leiden_hierarchy(spark, d):
     e = e.join(brand.select(F.col("p_partkey").alias("src"), F.col("code").alias("s")), "src").join(brand.select(F.col("p_partkey").alias("dst"), F.col("code").alias("t")), "dst")
     nodes = community.hierarchy(e.select(F.col("s").alias("src"), F.col("t").alias("dst"), F.lit(1.0).alias("nbs")))
     return hierarchy.label_events(nodes).select(_named().alias("node"), "n_genes", "n_genomes", "quality", "event")
+
+
+# --- the rest of the analysis ------------------------------------------------------------------------------------
+
+_BRANDS_SQL = "b AS (SELECT p_brand || ':' || CAST(p_partkey % 100 // 25 AS VARCHAR) AS og, 'G' || CAST(p_size % 8 AS VARCHAR) || '|g' || CAST(p_partkey AS VARCHAR) AS gene FROM part)"
+
+
+def _brand_groups(spark: SparkSession, d: str) -> DataFrame:
+    og = F.concat("p_brand", F.lit(":"), F.expr("(p_partkey % 100) div 25").cast("string"))
+    return table(spark, d, "part").select(og.alias("og"), F.concat(F.lit("G"), F.col("p_size") % 8, F.lit("|g"), "p_partkey").alias("gene"))
+
+
+@query(f"""WITH {HIERARCHY_SQL}, {_BRANDS_SQL},
+o AS (SELECT og, count(DISTINCT gene) AS og_genes, count(DISTINCT split_part(gene, '|', 1)) AS og_genomes FROM b GROUP BY 1 HAVING count(DISTINCT gene) > 1),
+nx AS (SELECT path, event, n_genes, unnest(gene_ids) AS gene FROM nodes),
+s AS (SELECT b.og, nx.path, any_value(nx.event) AS event, any_value(nx.n_genes) AS node_genes, count(*) AS shared FROM b JOIN o USING (og) JOIN nx USING (gene) GROUP BY 1, 2),
+r AS (SELECT s.*, o.og_genes, o.og_genomes, row_number() OVER (PARTITION BY s.og ORDER BY CAST(shared AS DOUBLE) / og_genes DESC, CAST(shared AS DOUBLE) / node_genes DESC, path) AS k FROM s JOIN o USING (og)),
+c AS (SELECT path[1:len(path) - 1] AS p, string_agg(CAST(n_genes AS VARCHAR), ' ' ORDER BY n_genes) AS child_genes FROM nodes WHERE len(path) > 1 GROUP BY 1)
+SELECT og, {_PATH} AS node, event, og_genomes, og_genes, CAST(node_genes AS INTEGER) AS node_genes, shared, round(shared / CAST(og_genes AS DOUBLE), 6) AS of_group,
+       round(shared / CAST(node_genes AS DOUBLE), 6) AS of_node, coalesce(child_genes, '') AS child_genes FROM r LEFT JOIN c ON r.path = c.p WHERE k = 1""")
+def og_location(spark, d):
+    out = hierarchy.group_locations(_brand_groups(spark, d), fixed_hierarchy(spark, d))
+    return out.select("og", _named().alias("node"), "event", "og_genomes", "og_genes", "node_genes", "shared", F.round("of_group", 6).alias("of_group"), F.round("of_node", 6).alias("of_node"), "child_genes")
+
+
+@query(f"""WITH {HIERARCHY_SQL}, e AS (SELECT x.gene AS src, y.gene AS dst, x.s AS sim FROM
+  (SELECT p_partkey AS p, p_size AS s, 'G' || CAST(p_size % 8 AS VARCHAR) || '|g' || CAST(p_partkey AS VARCHAR) AS gene FROM part) x JOIN
+  (SELECT p_partkey AS p, 'G' || CAST(p_size % 8 AS VARCHAR) || '|g' || CAST(p_partkey AS VARCHAR) AS gene FROM part) y ON y.p - x.p IN (400, 800)),
+l AS (SELECT path, unnest(gene_ids) AS gene FROM nodes WHERE event IS NULL AND n_genes > 1)
+SELECT src, dst, sim, array_to_string(a.path, '-') AS node FROM e JOIN l a ON a.gene = src JOIN l b ON b.gene = dst AND a.path = b.path""")
+def inseparable_edges(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("s"), F.concat(F.lit("G"), F.col("p_size") % 8, F.lit("|g"), "p_partkey").alias("gene"))
+    to = part.select(F.explode(F.array(F.col("p") - 400, F.col("p") - 800)).alias("p"), F.col("gene").alias("dst"))
+    e = part.join(to, "p").select(F.col("gene").alias("src"), "dst", F.col("s").alias("sim"))
+    return hierarchy.inseparable_edges(fixed_hierarchy(spark, d), e).select("src", "dst", "sim", _named("community").alias("node"))
+
+
+_LABELLED_SQL = f"""p AS ({_line_pairs_sql(1, 2)}),
+t AS (SELECT gene_a AS id1, gene_b AS id2, CASE WHEN (gene_a + gene_b) % 2 = 0 THEN 'FN' ELSE 'TP' END AS label, CASE WHEN gene_a % 3 = gene_b % 3 THEN 'SameOG' ELSE 'DiffOG' END AS status,
+             CASE WHEN gene_b % 2 = 0 THEN 'III-1' ELSE 'I' END AS event, x.p_brand AS genome1, y.p_brand AS genome2 FROM p JOIN part x ON gene_a = x.p_partkey JOIN part y ON gene_b = y.p_partkey)"""
+
+
+@query(f"WITH {_LABELLED_SQL} SELECT * FROM t WHERE status = 'SameOG' AND event = 'III-1' AND label = 'FN' AND genome1 <> genome2")
+def pair_filter(spark, d):
+    part = table(spark, d, "part")
+    p = _line_pairs(spark, d, 1, 2)
+    p = p.join(part.select(F.col("p_partkey").alias("gene_a"), F.col("p_brand").alias("genome1")), "gene_a").join(part.select(F.col("p_partkey").alias("gene_b"), F.col("p_brand").alias("genome2")), "gene_b")
+    rows = p.select(
+        F.col("gene_a").alias("id1"), F.col("gene_b").alias("id2"), F.when((F.col("gene_a") + F.col("gene_b")) % 2 == 0, "FN").otherwise("TP").alias("label"),
+        F.when(F.col("gene_a") % 3 == F.col("gene_b") % 3, "SameOG").otherwise("DiffOG").alias("status"), F.when(F.col("gene_b") % 2 == 0, "III-1").otherwise("I").alias("event"), "genome1", "genome2",
+    )
+    return evaluate.pair_filter(rows, "FN")
+
+
+@query(f"""WITH {HIERARCHY_SQL}, {_BRANDS_SQL}, c AS (SELECT path[1] AS component FROM nodes GROUP BY 1 HAVING count(*) > 5 AND count(*) < 1000 AND max(n_genes) <= 20),
+l AS (SELECT DISTINCT path[1] AS component, unnest(gene_ids) AS gene FROM nodes WHERE is_leaf AND path[1] IN (SELECT component FROM c))
+SELECT og, CAST(component AS INTEGER) AS component, count(DISTINCT gene) AS shared FROM b JOIN l USING (gene) GROUP BY 1, 2""")
+def component_intersections(spark, d):
+    return evaluate.component_intersections(_brand_groups(spark, d), hierarchy.small_components(fixed_hierarchy(spark, d), 20))
+
+
+@query(f"""WITH {HIERARCHY_SQL}, l AS (SELECT {_PATH} AS leaf, unnest(gene_ids) AS gene FROM nodes WHERE is_leaf),
+i AS (SELECT 'G' || CAST(p_size % 8 AS VARCHAR) || '|g' || CAST(p_partkey AS VARCHAR) AS gene, 'COG' || CAST(p_partkey % 50 AS VARCHAR) AS cog FROM part WHERE p_partkey % 5 <> 0),
+c AS (SELECT DISTINCT 'COG' || CAST(p_partkey % 50 AS VARCHAR) AS cog, chr(CAST(65 + p_partkey % 50 % 7 AS INTEGER)) AS category FROM part)
+SELECT leaf, string_agg(DISTINCT category, ' ' ORDER BY category) AS categories FROM l JOIN i USING (gene) JOIN c USING (cog) GROUP BY 1""")
+def leaf_categories(spark, d):
+    nodes = fixed_hierarchy(spark, d)
+    inner = nodes.select(hierarchy.parent().alias("p")).filter("p IS NOT NULL").distinct()
+    leaves = nodes.join(inner, nodes["path"] == inner["p"], "left_anti").select(_named().alias("leaf"), F.explode("gene_ids").alias("gene"))
+    part = table(spark, d, "part")
+    cog = F.concat(F.lit("COG"), (F.col("p_partkey") % 50).cast("string"))
+    ids = part.filter("p_partkey % 5 <> 0").select(F.concat(F.lit("G"), F.col("p_size") % 8, F.lit("|g"), "p_partkey").alias("gene"), cog.alias("cog"))
+    categories = part.select(cog.alias("cog"), F.char((F.col("p_partkey") % 50 % 7 + 65).cast("int")).alias("category")).distinct()
+    return evaluate.leaf_categories(leaves, ids, categories)
+
+
+@query(f"""WITH {DEEP_SQL}, p AS ({_CODES_SQL}), lf AS (SELECT gene_ids[1] AS gene, max(path) AS path FROM nodes WHERE n_genes = 1 GROUP BY 1),
+j AS (SELECT p.*, x.path AS pa, y.path AS pb FROM p JOIN lf x ON x.gene = p.gene_a JOIN lf y ON y.gene = p.gene_b WHERE x.path[1] = y.path[1]),
+k AS (SELECT *, {_shared_sql('pa', 'pb', 5)} AS m FROM j),
+st AS (SELECT k.gene_a, k.gene_b, coalesce(n.event, 'None') AS e, count(*) AS c FROM k JOIN nodes n ON len(n.path) > k.m AND len(n.path) < len(k.pa) AND k.pa[1:len(n.path)] = n.path GROUP BY 1, 2, 3),
+w AS (SELECT gene_a, gene_b, string_agg(e || ':' || CAST(c AS VARCHAR), ' ' ORDER BY c DESC, e) AS way FROM st GROUP BY 1, 2)
+SELECT k.gene_a, k.gene_b, coalesce(way, 'No Path') AS way_a FROM k LEFT JOIN w USING (gene_a, gene_b)""")
+def path_events(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.concat(F.lit("G"), F.col("p_size") % 8, F.lit("|g"), "p_partkey").alias("code"))
+    pairs = evaluate.recode(_line_pairs(spark, d, 1, 2), part.select(F.col("p_partkey").alias("orig_id"), F.col("code").alias("gene")))
+    return hierarchy.common_ancestors(pairs, fixed_hierarchy(spark, d, 5)).filter("status = 'found'").select("gene_a", "gene_b", "way_a")
+
+
+@query(f"WITH {HIERARCHY_SQL} SELECT printf('CC%05d', CAST(path[1] AS INTEGER)) AS star, {_PATH} AS node, CAST(len(path) - 1 AS INTEGER) AS depth FROM nodes WHERE len(path) > 1 AND n_genes <> 1")
+def star_flattening(spark, d):
+    return hierarchy.stars(fixed_hierarchy(spark, d)).select("star", _named().alias("node"), "depth")
+
+
+@query(f"""WITH {DEEP_SQL}, p AS ({_CODES_SQL}), g AS (SELECT gene_a AS gene FROM p UNION SELECT gene_b FROM p), lf AS (SELECT gene_ids[1] AS gene, path FROM nodes WHERE n_genes = 1),
+e AS (SELECT path[1] AS component, min(path) AS a, max(path) AS b FROM lf JOIN g USING (gene) GROUP BY 1),
+t AS (SELECT a[1:{_shared_sql('a', 'b', 5)}] AS lca FROM e)
+SELECT {_PATH} AS node, CAST(n_genes AS INTEGER) AS n_genes FROM nodes JOIN t ON nodes.path[1:len(lca)] = lca""")
+def subtree_export(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.concat(F.lit("G"), F.col("p_size") % 8, F.lit("|g"), "p_partkey").alias("code"))
+    pairs = evaluate.recode(_line_pairs(spark, d, 1, 2), part.select(F.col("p_partkey").alias("orig_id"), F.col("code").alias("gene")))
+    return hierarchy.subtree(fixed_hierarchy(spark, d, 5), pairs).select(_named().alias("node"), "n_genes")
