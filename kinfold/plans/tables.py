@@ -18,9 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables this application has written; frames that read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written to the shared folder: lineage ends there, and lost executors lose nothing."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
