@@ -1,14 +1,8 @@
-"""What several operators share: the session's shared folder, written tables, Arrow batches.
-
-Lineage is cut by writing a Parquet table under the folder named in ``spark.checkpoint.dir`` (shared
-by driver and executors); an own temporary folder is set only where the session names none, as in tests.
-"""
+"""What several operators share: written tables, Arrow batches, text buffers."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,30 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.plans.tables import new_path, written  # noqa: F401  for the operators
+
 #: Rows of an Arrow batch sent to Python: long texts make larger batches take too much memory.
 BATCH_ROWS = 1000
 #: Bytes of text that the numpy kernels work on at once; a longer single text is one slice.
 SLICE_BYTES = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    conf = spark.sparkContext.getConf()
-    at = conf.get("spark.checkpoint.dir") or spark.conf.get("kinfold.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("kinfold.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -1,39 +1,13 @@
-"""Connected components of a link table by alternating large-star and small-star steps."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import written
-
-#: Steps before giving up; each halves distances at least, so this covers any graph that fits on a cluster.
-MOST_STEPS = 60
+from kinfold.operators.components import connected_components
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node that has a link, ``root`` being the least node of its component.
-
-    Nodes are longs. Only a change counter comes to the driver; each step's links are a written table. A step's
-    minimum for each node is a partial aggregate, so a node with very many links is no single task's work.
-    """
-    edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v").distinct()
-    edges = written(edges, "links")
-    last = None
-    for _ in range(MOST_STEPS):
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: neighbours above a node go to the least of its neighbourhood.
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
-        # Small star: a node and its neighbours below go to the least of them.
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(down, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).filter("a <> b")
-        edges = written(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {MOST_STEPS} steps")
-    roots = edges.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    """(node, root) of every node that has a link, ``root`` being the least node of its component."""
+    return connected_components(links, a, b).select("node", F.col("component").alias("root"))

@@ -18,7 +18,6 @@ other columns of the input are not read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from array import array
 from collections.abc import Sequence
@@ -29,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import load, shared_dir, slices, small_batches, text_buffer, tidied
+from kinfold.llm.common import load, new_path, slices, small_batches, text_buffer, tidied
 from kinfold.llm.text import mix, power
 
 #: The dictionary is trained on about this many documents (those of the lowest id hashes), of each at most this many characters.
@@ -297,7 +296,7 @@ def read(spark: SparkSession, path: str, doc_ids: Sequence[int] | None = None, w
 def token_output(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """Writes ``docs`` as a file set in the shared folder and reads it back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/kinfold/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write(docs, path, tokenizer)
     return read(spark, path, with_ids=with_ids)
 
