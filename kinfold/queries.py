@@ -391,7 +391,7 @@ def _named(path: str = "path"):
 
 
 @query(f"WITH {HIERARCHY_SQL} SELECT {_PATH} AS node, CAST(n_genes AS INTEGER) AS n_genes, CAST(n_genomes AS INTEGER) AS n_genomes, event FROM nodes")
-def hhn_events(spark, d):
+def hierarchy_events(spark, d):
     return fixed_hierarchy(spark, d).select(_named().alias("node"), "n_genes", "n_genomes", "event")
 
 
