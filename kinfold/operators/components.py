@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.plans.tables import written
+from kinfold.plans.tables import discard, written
 
 #: Steps before giving up; distances at least halve with each.
 MOST_STEPS = 60
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select("m", F.explode(F.array("u", "v")).alias("w")).filter("m <> w")
-        edges = written(small.select(F.col("m").alias("u"), F.col("w").alias("v")).distinct(), "edges")
+        before, edges = edges, written(small.select(F.col("m").alias("u"), F.col("w").alias("v")).distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -34,7 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
