@@ -53,6 +53,8 @@ NOT_ARTICLE_NAMES = frozenset(
     cookie cookies dialog disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion
     recommended related respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget""".split()
 )
+#: Names that begin like this are no article either: commentlist, advertbox, ...
+NOT_ARTICLE_BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor")
 #: Within an article, these are its text and never template.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption table ul ol dl tr tbody thead body html article main".split())
 
@@ -70,6 +72,10 @@ class _Element:
         self.digest = hashlib.blake2b(f"{tag}|{names}|".encode(), digest_size=8)
 
 
+def _no_article(words: list[str]) -> bool:
+    return not NOT_ARTICLE_NAMES.isdisjoint(words) or any(w.startswith(NOT_ARTICLE_BEGINNINGS) for w in words)
+
+
 def parse(text: str, salt: bytes = b"") -> Page:
     """A page's template candidates and remaining text blocks; hashes hold for one ``salt`` (the host)."""
     root = _Element("", "", False, 0, 0, False)
@@ -166,7 +172,7 @@ def parse(text: str, salt: bytes = b"") -> Page:
         top = stack[-1]
         words = _NAME.findall(names) if names else ()
         is_article = tag in ("article", "main") or body or names == "main"
-        out = top.out or hidden or tag in NOT_ARTICLE or (tag == "header" and not top.article) or (tag not in ("html", "body") and not NOT_ARTICLE_NAMES.isdisjoint(words))
+        out = top.out or hidden or tag in NOT_ARTICLE or (tag == "header" and not top.article) or (bool(words) and tag not in ("html", "body") and _no_article(words))
         depth = top.article + (1 if is_article and not out else 0)
         seen_article = seen_article or (is_article and not out)
         candidate = tag not in ("html", "body", "article", "main") and not (top.article and tag in TEXT_BLOCKS) and not (tag in INLINE and top.article)

@@ -79,6 +79,7 @@ PAGES = [
     ("<article><header><h1>Title</h1></header><p>x < y & z</p><div role=navigation>no</div><ul><li>i<li>j</ul>", "Title x < y & z i j"),
     ("<article><h1>cut &am</h1><p>text <a href='x>y'>link</a>, end</p></artic", "cut &am text link, end"),
     ("<nav>n</nav><p>a</p><div class='cookie-notice'>c</div>\n<p>b</p><p></p>", "a b"),
+    ("<article><p>x</p><ol class='commentlist'><li>no</ol><div class='content-ads-free'>no</div><div id='mainText'>y</div></article>", "x y"),
     ("", ""), (None, ""), ("plain  text", "plain text"), ("<script>never closed", ""), ("<div hidden>h</div><p>v</p>", "v"),
     ("<article><p>deep" + "<div>" * 3000 + "x" + "</div>" * 3000 + "</article>", "deep x"),
 ]
