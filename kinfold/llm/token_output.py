@@ -57,14 +57,16 @@ class Encoder:
 
     The tokenizer's pattern always cuts before a run of letters, or before the one white space before it, and after the
     run; so texts are cut there, and each distinct piece of a slice is encoded by the library once. Texts with letters
-    beyond Latin, with other unusual characters, or with an apostrophe before but not after a letter are encoded whole.
+    beyond Latin, with other unusual characters, with an added token's string, or with an apostrophe before but not after a
+    letter are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Their strings in a text are one id each, so such a text can't be cut.
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.vocab = self.tok.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
 
@@ -78,6 +80,9 @@ class Encoder:
         for i, j in slices(offsets, 1 << 20):
             raw, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             start, odd = cuts(raw, off)
+            data = raw.tobytes()
+            if any(t in data for t in self.added):
+                odd = sorted({*odd, *(k for k in range(j - i) if any(t in data[off[k] : off[k + 1]] for t in self.added))})
             ids, ends = self._pieces(raw, start)
             at = np.append(0, ends)[np.searchsorted(start, off)]
             out += [ids[at[k] : at[k + 1]] for k in range(j - i)]

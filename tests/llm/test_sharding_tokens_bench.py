@@ -120,3 +120,13 @@ def test_decontaminate(spark, tmp_path):
     assert sorted(map(tuple, D.op10_decontaminate(spark, d).collect())) == sorted(brute(docs, items))
     found = D.decontaminate(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"), block_items=7)
     assert sorted((r.doc_id, r.n_words, r.n_hit, len(r.item_ids)) for r in found.collect()) == sorted(r[:4] for r in brute(docs, items))
+
+
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(T.default_tokenizer())
+    texts = ["one two<|endoftext|>three  four", "none here", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0]
+    assert [x.tolist() for x in T.Encoder(T.default_tokenizer()).encode(pa.array(texts))] == want
