@@ -251,10 +251,20 @@ WITH m AS (SELECT p_brand || p_type AS og, p_partkey AS gene, row_number() OVER
 SELECT a.og, a.gene AS gene_a, b.gene AS gene_b FROM m a JOIN m b ON a.og = b.og AND a.pos < b.pos
 """)
 def og_pair_combinations(spark, d):
+    return _combinations(table(spark, d, "part").filter("p_size <= 10"))
+
+
+@query()
+def og_pair_combinations_all(spark, d):
+    """As ``og_pair_combinations``, of all parts."""
+    return _combinations(table(spark, d, "part"))
+
+
+def _combinations(part: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     og = F.concat("p_brand", "p_type")
-    members = table(spark, d, "part").filter("p_size <= 10").select(og.alias("og"), F.col("p_partkey").alias("gene"), F.row_number().over(Window.partitionBy(og).orderBy("p_partkey")).alias("pos"))
+    members = part.select(og.alias("og"), F.col("p_partkey").alias("gene"), F.row_number().over(Window.partitionBy(og).orderBy("p_partkey")).alias("pos"))
     return evaluate.combinations(members)
 
 
@@ -337,7 +347,11 @@ def resolution_gamma(spark, d):
 
 
 def _heavy_edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_partkey")
+    return _line_edges(table(spark, d, "lineitem").filter("l_quantity >= 45"))
+
+
+def _line_edges(lines: DataFrame) -> DataFrame:
+    lines = lines.select("l_orderkey", "l_partkey")
     a, b = lines.alias("a"), lines.alias("b")
     return a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey"))).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct()
 
@@ -352,6 +366,12 @@ def connected_components(spark, d):
     return components.connected_components(_heavy_edges(spark, d))
 
 
+@query()
+def connected_components_all(spark, d):
+    """As ``connected_components``, of all lines."""
+    return components.connected_components(_line_edges(table(spark, d, "lineitem")))
+
+
 def fixed_hierarchy(spark: SparkSession, d: str, levels: int = 3) -> DataFrame:
     """Labelled nodes of the fixed hierarchy; with five levels, leaves are single genes."""
     part = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("p"), (F.col("p_size") % 8).alias("s"))

@@ -95,3 +95,16 @@ def test_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'rbh' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
+
+
+def test_whole_tables(spark, tmp_path):
+    from itertools import combinations
+
+    lines = [(o, p, q) for o, p, q in [(1, 1, 5), (1, 2, 50), (2, 2, 1), (2, 3, 2), (3, 7, 50), (3, 9, 50), (4, 5, 3)]]
+    parts = [(p, "b", "t" if p < 4 else "u", 5 * p) for p in range(1, 10)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(r) for r in queries.QUERIES["connected_components_all"](spark, str(tmp_path)).select("node", "component").collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+    pairs = {(r.gene_a, r.gene_b) for r in queries.QUERIES["og_pair_combinations_all"](spark, str(tmp_path)).collect()}
+    assert pairs == {*combinations((1, 2, 3), 2), *combinations(range(4, 10), 2)}
