@@ -162,7 +162,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``docs``, its columns as they are, without the rows that have a benchmark window."""
     small_batches(docs.sparkSession)
-    sent = _broadcast_blocks(benchmark, window, block_items)
+    # Ids don't matter here, so items without one are searched for as well; ``decontaminate`` leaves them out, as its SQL does.
+    sent = _broadcast_blocks(benchmark.select(F.lit(0).cast("long").alias("item_id"), "text"), window, block_items)
     return keep_rows(docs, lambda texts: np.array(scan(texts, _one_at_a_time(sent))["n_hit"]) == 0)
 
 

@@ -130,3 +130,12 @@ def test_added_tokens_are_the_librarys():
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert 50256 in want[0]
     assert [x.tolist() for x in T.Encoder(T.default_tokenizer()).encode(pa.array(texts))] == want
+
+
+def test_items_without_an_id_are_kept_out(spark):
+    from kinfold.llm.decontaminate import keep_clean
+
+    leak = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"some {leak} more"), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, leak), (4, None)], "item_id long, text string")
+    assert [r.doc_id for r in keep_clean(docs, items).collect()] == [2]
