@@ -34,7 +34,7 @@ MOST_BROADCAST = 1_000_000
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 #: A tag that the page's end cuts off.
 _CUT_OFF = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
-_ATTR = re.compile(r"\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
@@ -166,13 +166,13 @@ def parse(text: str, salt: bytes = b"") -> Page:
                     hidden = True
                 elif k == "itemprop":
                     body = body or v == "articlebody"
-                else:
+                elif k in ("class", "id", "role"):
                     found.append(v)
             names = " ".join(found)
         top = stack[-1]
         words = _NAME.findall(names) if names else ()
         is_article = tag in ("article", "main") or body or names == "main"
-        out = top.out or hidden or tag in NOT_ARTICLE or (tag == "header" and not top.article) or (bool(words) and tag not in ("html", "body") and _no_article(words))
+        out = top.out or hidden or tag in NOT_ARTICLE or (tag == "header" and not top.article) or (bool(words) and tag not in ("html", "body", "article", "main") and _no_article(words))
         depth = top.article + (1 if is_article and not out else 0)
         seen_article = seen_article or (is_article and not out)
         candidate = tag not in ("html", "body", "article", "main") and not (top.article and tag in TEXT_BLOCKS) and not (tag in INLINE and top.article)

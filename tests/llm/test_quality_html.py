@@ -122,3 +122,9 @@ def test_templates_go(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert H.op6_html_text(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ['div style="overflow:hidden"', 'div aria-hidden="false"', 'p title="the hidden sea"', 'article class="commentary"', "main id='search'"])
+def test_elements_that_only_look_hidden_stay(tag):
+    page = f"<body><{tag}>kept text</{tag.split()[0]}><div hidden>gone</div><div class=ad>gone</div></body>"
+    assert H.main_text(H.parse(page), lambda h: False) == "kept text"
