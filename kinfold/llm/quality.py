@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import crc_mod5, load, slices, small_batches, text_buffer, tidied, written
-from kinfold.llm.text import mix, power, shingles, words
+from kinfold.llm.text import shingles, span_hash, words
 
 #: Most labelled documents that are learnt from: those of the lowest id hashes.
 SAMPLE = 20_000
@@ -78,8 +78,7 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_doc = np.searchsorted(offsets, starts, "right") - 1
     lines = np.bincount(line_doc, minlength=n)
     out["lines"], out["line_words"] = np.log1p(lines), count / np.maximum(lines, 1)
-    prefix = np.append(np.uint64(0), np.cumsum((buf + np.uint64(1)) * power("p", len(buf)), dtype=np.uint64))
-    line_hash = mix((prefix[ends] - prefix[starts]) * power("i", len(buf) + 1)[starts]) if len(starts) else np.zeros(0, np.uint64)
+    line_hash = span_hash(buf, starts, ends)
     out["repeated_lines"] = _share_repeated(line_hash, line_doc, n)[0]
     out["repeated_words"], out["top_word"] = _share_repeated(w.hash, w.doc, n)
     before = np.zeros(len(w.hash), bool)

@@ -7,28 +7,21 @@ but not none, is one shingle.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 SHINGLE = 5
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
-_PINV = _U(pow(int(_P), -1, 1 << 64))
+_POWERS = np.cumprod(np.full(64, _P), dtype=_U)
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-_powers = {"p": np.ones(1, _U), "i": np.ones(1, _U)}
-
-
-def power(kind: str, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        step = np.full(-(-n >> 18) + 1 << 18, _P if kind == "p" else _PINV, _U)
-        step[0] = 1
-        have = _powers[kind] = np.cumprod(step, dtype=_U)
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,6 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Spans above this many bytes are hashed one by one.
+_LONG = 256
+
+
 class Words(NamedTuple):
     low: np.ndarray  # lower-cased bytes
     start: np.ndarray  # of each word, in bytes
@@ -45,29 +42,68 @@ class Words(NamedTuple):
     first: np.ndarray  # of each text, in words; one more at the end
     doc: np.ndarray  # of each word
     hash: np.ndarray
-    prefix: np.ndarray  # prefix sums of the polynomial hash, by byte
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    return _LOW[buf]
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> Words:
     n = len(buf)
     low = _LOW[buf]
     w = _IS_WORD[low]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    begins, ends = w.copy(), w.copy()
     if n:
-        before[1:], after[:-1] = w[:-1], w[1:]
-        before[offsets[:-1][offsets[:-1] < n]] = False
-        after[offsets[1:][offsets[1:] > 0] - 1] = False
-    start, end = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-    prefix = np.zeros(n + 1, _U)
-    np.cumsum(low * power("p", n), out=prefix[1:], dtype=_U)
+        begins[1:] &= ~w[:-1]
+        ends[:-1] &= ~w[1:]
+        at = offsets[(offsets > 0) & (offsets < n)]  # no word goes on from one text to the next
+        begins[at], ends[at - 1] = w[at], w[at - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(low, start, end, first, doc, mix((prefix[end] - prefix[start]) * power("i", n + 1)[start]), prefix)
+    return Words(low, start, end, first, doc, span_hash(low, start, end))
+
+
+def span_hash(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: chained mixing of eight bytes at a time and of the length, so no sum of byte values decides; spans of up to eight bytes have different hashes if their lengths are equal."""
+    size = end - start
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(low) + 1, "<u8", padded.data, strides=(1,))
+    out = size.astype(_U) * _P
+    todo = np.flatnonzero(size <= _LONG)
+    for k in range(0, _LONG, 8):
+        if k:
+            todo = todo[size[todo] > k]
+        if not len(todo):
+            break
+        have = np.minimum(size[todo] - k, 8)
+        chunk = eight[start[todo] + k] & (~_U(0) >> (_U(64) - _U(8) * np.maximum(have, 1).astype(_U)))
+        out[todo] = mix(out[todo] ^ np.where(have > 0, chunk, _U(0)))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+#: Bytes of a content id.
+ID_BYTES = 16
+
+
+def content_ids(parts: Iterable[bytes | np.ndarray], kind: bytes = b"") -> pa.Array:
+    """128-bit ids of byte strings; those of different kinds differ."""
+    return pa.array([hashlib.blake2b(p, digest_size=ID_BYTES, person=kind).digest() for p in parts], pa.binary())
+
+
+def text_ids(low: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Ids of whole texts, as given: equal for equal bytes alone."""
+    off = offsets.tolist()
+    return content_ids(low[a:b] for a, b in zip(off, off[1:]))
 
 
-def span_hash(w: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans, equal for equal bytes; of a word's span, the word's hash."""
-    return mix((w.prefix[end] - w.prefix[start]) * power("i", len(w.low) + 1)[start])
+def id_numbers(ids: pa.Array) -> np.ndarray:
+    """(ids, 2) numbers that are equal for equal ids; there must be no nulls."""
+    _, offs, data = ids.buffers()
+    at = np.frombuffer(offs, np.int32)[ids.offset] if len(ids) else 0
+    return np.frombuffer(data, np.int64, 2 * len(ids), at).reshape(-1, 2) if len(ids) else np.zeros((0, 2), np.int64)
 
 
 def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +112,7 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
     acc = np.zeros(n, _U)
     for j in range(k):
         if n > j:
-            acc[: n - j] += w.hash[j:] * power("p", k + 1)[j + 1]
+            acc[: n - j] += w.hash[j:] * _POWERS[j]
     ok = np.zeros(n, bool)
     if n >= k:
         ok[: n - k + 1] = w.doc[: n - k + 1] == w.doc[k - 1 :]
@@ -86,7 +122,7 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
         s = np.zeros(len(short), _U)
         for j in range(k - 1):
             has = c > j
-            s[has] += w.hash[at[has] + j] * power("p", k + 1)[j + 1]
+            s[has] += w.hash[at[has] + j] * _POWERS[j]
         acc[at] = s + c.astype(_U)
         ok[at] = True
     i = np.flatnonzero(ok)

@@ -18,6 +18,7 @@ other columns of the input are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from array import array
 from collections.abc import Sequence
@@ -29,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import load, new_path, slices, small_batches, text_buffer, tidied
-from kinfold.llm.text import mix, power
 
 #: The dictionary is trained on about this many documents (those of the lowest id hashes), of each at most this many characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 500, 20_000, 64 << 10
@@ -46,10 +46,8 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 2
 _KIND[0xC0:] = 4
 _KIND[0xC3:0xCA] = 3
 _APOSTROPHE = 39
-#: The byte-level alphabet: a printable character stands for itself, each other byte for one from U+0100 on.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
-_SPACE = chr(_BYTE_CHARS[32])
+#: What the byte-level alphabet has for a space.
+_SPACE = "\u0120"
 
 
 class Encoder:
@@ -58,7 +56,7 @@ class Encoder:
     The tokenizer's pattern always cuts before a run of letters, or before the one white space before it, and after the
     run; so texts are cut there, and each distinct piece of a slice is encoded by the library once. Texts with letters
     beyond Latin, with other unusual characters, with an added token's string, or with an apostrophe before but not after a
-    letter are encoded whole.
+    letter are encoded whole; so are all texts if the tokenizer's file says that it cuts by another pattern or normalises.
     """
 
     def __init__(self, path: str):
@@ -68,6 +66,7 @@ class Encoder:
         #: Their strings in a text are one id each, so such a text can't be cut.
         self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.vocab = self.tok.get_vocab_size()
+        self.cuts = _cuts_before_letters(self.tok)
         self.known: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -75,6 +74,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
+        if not self.cuts:
+            return [np.frombuffer(self.whole(t or ""), np.uint32) for t in texts.to_pylist()]
         buf, offsets = text_buffer(texts)
         out: list[np.ndarray] = []
         for i, j in slices(offsets, 1 << 20):
@@ -91,28 +92,27 @@ class Encoder:
         return out
 
     def _new(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pieces. One word of letters, with at most a space before, is one piece for the tokenizer as well: its model takes it as it is."""
+        """Ids of pieces. One word of ASCII letters, with at most a space before, is one piece for the pattern as well (``cuts`` says so), so it goes to the library's model directly; all else goes through the whole library."""
         model, out, other = self.tok.model, [], []
         for i, p in enumerate(pieces):
-            text = p.decode(errors="replace")
-            if (text[1:] if p[0] == 32 else text).isalpha():
-                mapped = text.replace(" ", _SPACE) if text.isascii() else p.decode("latin1").translate(_BYTE_CHARS)
-                out.append([t.id for t in model.tokenize(mapped)])
+            if (p[1:] if p[0] == 32 else p).isalpha():
+                out.append([t.id for t in model.tokenize(p.decode().replace(" ", _SPACE))])
             else:
                 out.append([])
-                other.append((i, text))
-        for (i, _), e in zip(other, self.tok.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+                other.append(i)
+        for i, e in zip(other, self.tok.encode_batch_fast([pieces[i].decode(errors="replace") for i in other], add_special_tokens=False)):
             out[i] = e.ids
         return out
 
     def _pieces(self, raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces end to end, and where each piece's end."""
+        """Ids of all pieces end to end, and where each piece's end. Equal pieces, by their bytes, are looked up once."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        end = np.append(start[1:], len(raw))
-        _, first, which = np.unique(run_hash(raw, start, end), return_index=True, return_inverse=True)
-        data, known = raw.tobytes(), self.known
-        keys = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        offsets = np.append(start, len(raw)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+        which, known, (_, at, data) = coded.indices.to_numpy(), self.known, coded.dictionary.buffers()
+        ends, data = np.frombuffer(at, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes()
+        keys = [data[a:b] for a, b in zip(ends, ends[1:])]
         found = list(map(known.get, keys))
         if new := [i for i, v in enumerate(found) if v is None]:
             if len(known) + len(new) > CACHE:
@@ -126,13 +126,6 @@ class Encoder:
         return ids[np.repeat(shift, n[which]) + np.arange(ends[-1])], ends
 
 
-def run_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte runs; they group pieces within a slice, whose bytes are then looked up."""
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw + np.uint64(1)) * power("p", len(raw)), out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * power("i", len(raw) + 1)[start])
-
-
 def cuts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Starts of pieces, and the texts that must be encoded whole."""
     n = len(raw)
@@ -169,6 +162,17 @@ def cuts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return start, texts.tolist()
 
 
+def _cuts_before_letters(tok) -> bool:
+    """Whether the tokenizer is a byte-level one with that scheme's own pattern, on the text as it is; tried on a few words, too."""
+    said = json.loads(tok.to_str())
+    cutter, model = said["pre_tokenizer"] or {}, said["model"]
+    plain = said["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return False
+    tried = [" the", "The", " a", "Zq", " internationalisation", " Xyzzyx"]
+    return all(tok.encode(t, add_special_tokens=False).ids == [x.id for x in tok.model.tokenize(t.replace(" ", _SPACE))] for t in tried)
+
+
 _encoders: dict[str, Encoder] = {}
 
 

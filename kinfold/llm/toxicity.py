@@ -45,7 +45,7 @@ def terms(buf: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None =
     h, doc = [w.hash], [w.doc]
     for k in PREFIXES:
         longer = size > k
-        h.append(mix(span_hash(w, w.start[longer], w.start[longer] + k) + np.uint64(k)))
+        h.append(mix(span_hash(w.low, w.start[longer], w.start[longer] + k) + np.uint64(k)))
         doc.append(w.doc[longer])
     h, doc = np.concatenate(h), np.concatenate(doc)
     if vocabulary is not None:
