@@ -6,61 +6,79 @@ are by query gene or by gene pair.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-3
 #: Added to a gene's best score where it has no reciprocal best hit.
 ABOVE_BEST = 1e-6
-KEY = ["q_genome", "r_genome", "q", "r"]
+
+
+def _cross() -> Column:
+    return F.col("q_genome") != F.col("r_genome")
+
+
+def _forward() -> Column:
+    """From the lower genome to the higher one; within a genome, from the lower gene."""
+    return (F.col("q_genome") < F.col("r_genome")) | (~_cross() & (F.col("q") < F.col("r")))
+
+
+def _pair() -> list[Column]:
+    """The genes of a row, the forward end first, whichever way the row goes."""
+    return [F.when(_forward(), F.col(a)).otherwise(F.col(b)) for a, b in (("q_genome", "r_genome"), ("q", "r"), ("r_genome", "q_genome"), ("r", "q"))]
+
+
+def _is_best(tolerance: float) -> Column:
+    # One exchange, by gene, serves both windows.
+    there = F.max("nbs").over(Window.partitionBy("q_genome", "q", "r_genome"))
+    best = F.coalesce(F.max(F.when(_cross(), F.col("nbs"))).over(Window.partitionBy("q_genome", "q")), F.lit(-1.0))
+    return F.col("nbs") > F.when(_cross(), there).otherwise(best) - tolerance
 
 
 def best_hits(nbs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Hits within ``tolerance`` of the best in each other genome; own-genome hits above the best of all others."""
-    cross = F.col("q_genome") != F.col("r_genome")
-    there = F.max("nbs").over(Window.partitionBy("q_genome", "q", "r_genome"))
-    best = F.coalesce(F.max(F.when(cross, F.col("nbs"))).over(Window.partitionBy("q_genome", "q")), F.lit(-1.0))
-    limit = F.when(cross, there).otherwise(best) - tolerance
-    return nbs.withColumn("_limit", limit).filter("nbs > _limit").drop("_limit")
+    return nbs.withColumn("_best", _is_best(tolerance)).filter("_best").drop("_best")
+
 
+def _both_ways(of: Column) -> Column:
+    """Whether rows of both directions of a cross-genome pair have ``of``; one exchange, by the unordered pair."""
+    pair = Window.partitionBy(*_pair())
+    one = lambda way: F.max(F.when(of & way, F.lit(1)).otherwise(F.lit(0))).over(pair)
+    return _cross() & (one(_forward()) + one(~_forward()) == 2)
 
-def reciprocal(hits: DataFrame, against: DataFrame | None = None) -> DataFrame:
+
+def reciprocal(hits: DataFrame) -> DataFrame:
     """Cross-genome rows whose transpose is there as well."""
-    other = (hits if against is None else against).select(F.col("r_genome").alias("q_genome"), F.col("q_genome").alias("r_genome"), F.col("r").alias("q"), F.col("q").alias("r"))
-    return hits.filter("q_genome <> r_genome").join(other, KEY, "left_semi")
+    return hits.filter(_cross()).withColumn("_both", _both_ways(F.lit(True))).filter("_both").drop("_both")
 
 
-def retain(nbs: DataFrame, mode: str = "lrb") -> DataFrame:
+def retain(nbs: DataFrame, mode: str = "lrb", tolerance: float = TOLERANCE) -> DataFrame:
     """The hits that make edges: ``lrb`` at or above the gene's least reciprocal best hit, ``arb`` reciprocal best hits, ``ar`` reciprocal hits and all own-genome ones."""
     if mode == "ar":
-        return reciprocal(nbs).unionByName(nbs.filter("q_genome = r_genome"))
-    pairs = reciprocal(best_hits(nbs)).select(*KEY)
-    if mode == "arb":
-        return nbs.join(pairs, KEY, "left_semi")
-    if mode != "lrb":
+        return nbs.withColumn("_both", _both_ways(F.lit(True))).filter(~_cross() | F.col("_both")).drop("_both")
+    if mode not in ("arb", "lrb"):
         raise ValueError(f"no mode {mode}")
+    flagged = nbs.withColumn("_best", _is_best(tolerance)).withColumn("_rbh", _both_ways(F.col("_best"))).drop("_best")
+    if mode == "arb":
+        return flagged.filter("_rbh").drop("_rbh")
     gene = Window.partitionBy("q_genome", "q")
-    cross = F.col("q_genome") != F.col("r_genome")
-    flagged = nbs.join(pairs.withColumn("_rbh", F.lit(True)), KEY, "left")
     least = F.min(F.when(F.col("_rbh"), F.col("nbs"))).over(gene)
-    best = F.coalesce(F.max(F.when(cross, F.col("nbs"))).over(gene), F.lit(0.0))
+    best = F.coalesce(F.max(F.when(_cross(), F.col("nbs"))).over(gene), F.lit(0.0))
     return flagged.withColumn("_thr", F.coalesce(least, best + ABOVE_BEST)).filter("nbs >= _thr").drop("_thr", "_rbh")
 
 
 def network_edges(kept: DataFrame) -> DataFrame:
     """One row for each pair: forward from the lower genome (gene, within a genome); a pair that is there backwards only has its values as forward ones, and 0 as reverse."""
-    lower = (F.col("q_genome") < F.col("r_genome")) | ((F.col("q_genome") == F.col("r_genome")) & (F.col("q") < F.col("r")))
-    vals = ["nbs", "bitscore", "identity"]
-    ends = ["src_genome", "src", "dst_genome", "dst"]
-    fwd = kept.filter(lower).select(F.col("q_genome").alias("src_genome"), F.col("q").alias("src"), F.col("r_genome").alias("dst_genome"), F.col("r").alias("dst"), *[F.col(v).alias(f"f_{v}") for v in vals])
-    rev = kept.filter(~lower).select(F.col("r_genome").alias("src_genome"), F.col("r").alias("src"), F.col("q_genome").alias("dst_genome"), F.col("q").alias("dst"), *[F.col(v).alias(f"r_{v}") for v in vals])
-    both = fwd.join(rev, ends, "full_outer")
-    back_only = F.col("f_nbs").isNull()
+    vals, ends = ["nbs", "bitscore", "identity"], ["src_genome", "src", "dst_genome", "dst"]
+    sided = kept.select(*[c.alias(n) for c, n in zip(_pair(), ends)], _forward().alias("_fwd"), *vals)
+    sides = [F.max(F.when(on, F.col(v))).alias(f"{side}_{v}") for side, on in (("f", F.col("_fwd")), ("r", ~F.col("_fwd"))) for v in vals]
+    both = sided.groupBy(*ends).agg(F.max(F.when(F.col("_fwd"), F.lit(True))).alias("_has"), *sides)
+    back_only = F.col("_has").isNull()
     # Within a genome, the row seen first is the source: the higher gene's, if only that one has the hit.
     turn = back_only & (F.col("src_genome") == F.col("dst_genome"))
     out = [F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("dst")]
     for v, name in zip(vals, ["nbs", "bs", "sim"]):
-        out.append(F.coalesce(f"f_{v}", f"r_{v}").alias(name))
+        out.append(F.when(back_only, F.col(f"r_{v}")).otherwise(F.col(f"f_{v}")).alias(name))
         out.append(F.when(back_only, F.lit(0.0)).otherwise(F.coalesce(F.col(f"r_{v}").cast("double"), F.lit(0.0))).alias(f"{name}_rev"))
     return both.select("src_genome", "dst_genome", *out)
 

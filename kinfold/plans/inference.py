@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import community, edges, hierarchy, score
 from kinfold.plans.config import Config, parse
+from kinfold.plans.tables import swept
 from kinfold.sources import hits as hit_source
 from kinfold.sources import sequences, text_tables
 
@@ -25,7 +26,8 @@ def run(spark: SparkSession, c: Config) -> dict[str, DataFrame]:
     def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{c.output}/{name}"
         if not (c.resume and _complete(spark, path)):
-            make().write.mode("overwrite").parquet(path)
+            with swept(spark):
+                make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
     records = sequences.read_fasta(spark, c.genomes)

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an own temporary one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a local one gets a temporary folder; on a cluster, whose machines don't share one, that is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("kinfold.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="kinfold-")
         spark.conf.set("kinfold.checkpoint.dir", at)
     return at.rstrip("/")
@@ -36,9 +40,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._written_at = path
+    _made.append(path)
     return out
 
 
+_made: list[str] = []
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables written within, at the end, but those put into the list that it gives."""
+    since, kept = len(_made), []
+    try:
+        yield kept
+    finally:
+        keep = {t._written_at for t in kept}
+        fs = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+        for path in _made[since:]:
+            if path not in keep:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        _made[since:] = [p for p in _made[since:] if p in keep]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for t in tables:

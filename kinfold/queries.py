@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import scalars
 from kinfold.operators import annotate, community, components, edges, evaluate, hierarchy, score
+from kinfold.plans.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,39 +54,40 @@ def hits_sql(genome: str = "p_brand") -> str:
     return f"""
 raw AS (SELECT q.l_partkey AS q, r.l_partkey AS r, sum(q.l_quantity) AS bitscore
         FROM lineitem q JOIN lineitem r ON q.l_orderkey = r.l_orderkey AND q.l_partkey <> r.l_partkey GROUP BY 1, 2),
-hits AS (SELECT pq.{genome} AS q_genome, pr.{genome} AS r_genome, raw.q, raw.r, raw.bitscore,
+hits AS MATERIALIZED (SELECT pq.{genome} AS q_genome, pr.{genome} AS r_genome, raw.q, raw.r, raw.bitscore,
                 CAST(pq.p_size AS BIGINT) * pr.p_size AS len_product,
                 least(pq.p_size, pr.p_size) * CAST(100 AS DOUBLE) / greatest(pq.p_size, pr.p_size) AS identity
          FROM raw JOIN part pq ON raw.q = pq.p_partkey JOIN part pr ON raw.r = pr.p_partkey)"""
 
 
 NBS_SQL = """
-ranked AS (SELECT *, count(*) OVER (PARTITION BY q_genome, r_genome) AS n,
+ranked AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY q_genome, r_genome) AS n,
                   row_number() OVER (PARTITION BY q_genome, r_genome ORDER BY len_product, q, r) - 1 AS rn FROM hits WHERE bitscore <> 0),
 wide AS (SELECT *, CASE WHEN n > 5000 THEN 1000 WHEN n > 1000 THEN 200 ELSE 20 END AS w FROM ranked WHERE n > 1),
-binned AS (SELECT *, unnest(CASE WHEN n < 100 THEN [CAST(-1 AS BIGINT)] WHEN rn > 0 AND rn % w = 0 THEN [rn // w, rn // w - 1] ELSE [rn // w] END) AS bin FROM wide),
-cut AS (SELECT *, quantile_cont(bitscore, 0.95) OVER (PARTITION BY q_genome, r_genome, bin) AS limit_ FROM binned),
+binned AS MATERIALIZED (SELECT *, unnest(CASE WHEN n < 100 THEN [CAST(-1 AS BIGINT)] WHEN rn > 0 AND rn % w = 0 THEN [rn // w, rn // w - 1] ELSE [rn // w] END) AS bin FROM wide),
+cut AS (SELECT q_genome, r_genome, bin, quantile_cont(bitscore, 0.95) AS limit_ FROM binned GROUP BY 1, 2, 3),
 fit AS (SELECT q_genome, r_genome, min(len_product) = max(len_product) AS flat, regr_slope(log10(bitscore), log10(len_product)) AS a,
-               regr_intercept(log10(bitscore), log10(len_product)) AS b, avg(log10(bitscore)) AS m FROM cut WHERE bin = -1 OR bitscore >= limit_ GROUP BY 1, 2),
-nbs AS (SELECT h.*, h.bitscore / (pow(10, CASE WHEN f.flat THEN f.m ELSE f.b END) * pow(h.len_product, CASE WHEN f.flat THEN 0 ELSE f.a END)) AS nbs
+               regr_intercept(log10(bitscore), log10(len_product)) AS b, avg(log10(bitscore)) AS m FROM binned JOIN cut USING (q_genome, r_genome, bin) WHERE bin = -1 OR bitscore >= limit_ GROUP BY 1, 2),
+nbs AS MATERIALIZED (SELECT h.*, h.bitscore / (pow(10, CASE WHEN f.flat THEN f.m ELSE f.b END) * pow(h.len_product, CASE WHEN f.flat THEN 0 ELSE f.a END)) AS nbs
         FROM hits h JOIN fit f USING (q_genome, r_genome) WHERE h.bitscore <> 0)"""
 BH_SQL = """
-bh AS (SELECT * FROM (
+bh AS MATERIALIZED (SELECT * FROM (
          SELECT *, max(nbs) OVER (PARTITION BY q_genome, q, r_genome) AS there,
                 coalesce(max(CASE WHEN q_genome <> r_genome THEN nbs END) OVER (PARTITION BY q_genome, q), -1) AS best FROM nbs)
        WHERE nbs > CASE WHEN q_genome <> r_genome THEN there ELSE best END - 1e-3)"""
 RBH_SQL = """
-rbh AS (SELECT a.* FROM bh a WHERE a.q_genome <> a.r_genome AND EXISTS (SELECT 1 FROM bh b WHERE b.q = a.r AND b.r = a.q))"""
+rbh AS MATERIALIZED (SELECT a.* FROM bh a JOIN bh b ON b.q = a.r AND b.r = a.q WHERE a.q_genome <> a.r_genome)"""
 LRB_SQL = """
 thr AS (SELECT n.q_genome, n.q, coalesce(min(CASE WHEN x.q IS NOT NULL THEN n.nbs END), coalesce(max(CASE WHEN n.q_genome <> n.r_genome THEN n.nbs END), 0) + 1e-6) AS thr
         FROM nbs n LEFT JOIN rbh x ON x.q = n.q AND x.r = n.r GROUP BY 1, 2),
-kept AS (SELECT n.* FROM nbs n JOIN thr t ON t.q = n.q WHERE n.nbs >= t.thr)"""
+kept AS MATERIALIZED (SELECT n.* FROM nbs n JOIN thr t ON t.q = n.q WHERE n.nbs >= t.thr)"""
 _BASE = "WITH " + hits_sql() + "," + NBS_SQL
 _COLS = "q_genome, r_genome, q, r, round(nbs, 6) AS nbs"
 
 
 def _nbs(spark: SparkSession, d: str, genome: str = "p_brand") -> DataFrame:
-    return score.normalize(hits(spark, d, genome))
+    """Normalised hits, as a stage's table: what follows uses them more than once."""
+    return written(score.normalize(written(hits(spark, d, genome), "hits")), "nbs")
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -122,12 +124,12 @@ def retain_lrb(spark, d):
     return _shown(edges.retain(_nbs(spark, d), "lrb"))
 
 
-@query(_BASE + "," + BH_SQL + "," + RBH_SQL + f" SELECT {_COLS} FROM nbs n WHERE EXISTS (SELECT 1 FROM rbh x WHERE x.q = n.q AND x.r = n.r)")
+@query(_BASE + "," + BH_SQL + "," + RBH_SQL + f" SELECT {_COLS} FROM nbs n SEMI JOIN rbh x ON x.q = n.q AND x.r = n.r")
 def retain_arb(spark, d):
     return _shown(edges.retain(_nbs(spark, d), "arb"))
 
 
-@query(_BASE + f" SELECT {_COLS} FROM nbs n WHERE q_genome = r_genome OR EXISTS (SELECT 1 FROM nbs x WHERE x.q = n.r AND x.r = n.q)")
+@query(_BASE + f" SELECT {_COLS} FROM nbs WHERE q_genome = r_genome UNION ALL SELECT {_COLS} FROM (SELECT n.* FROM nbs n SEMI JOIN nbs x ON x.q = n.r AND x.r = n.q WHERE n.q_genome <> n.r_genome)")
 def retain_ar(spark, d):
     return _shown(edges.retain(_nbs(spark, d), "ar"))
 
@@ -247,24 +249,14 @@ def og_comparison(spark, d):
 
 
 @query("""
-WITH m AS (SELECT p_brand || p_type AS og, p_partkey AS gene, row_number() OVER (PARTITION BY p_brand || p_type ORDER BY p_partkey) AS pos FROM part WHERE p_size <= 10)
+WITH m AS (SELECT p_brand || p_type AS og, p_partkey AS gene, row_number() OVER (PARTITION BY p_brand || p_type ORDER BY p_partkey) AS pos FROM part)
 SELECT a.og, a.gene AS gene_a, b.gene AS gene_b FROM m a JOIN m b ON a.og = b.og AND a.pos < b.pos
 """)
 def og_pair_combinations(spark, d):
-    return _combinations(table(spark, d, "part").filter("p_size <= 10"))
-
-
-@query()
-def og_pair_combinations_all(spark, d):
-    """As ``og_pair_combinations``, of all parts."""
-    return _combinations(table(spark, d, "part"))
-
-
-def _combinations(part: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     og = F.concat("p_brand", "p_type")
-    members = part.select(og.alias("og"), F.col("p_partkey").alias("gene"), F.row_number().over(Window.partitionBy(og).orderBy("p_partkey")).alias("pos"))
+    members = table(spark, d, "part").select(og.alias("og"), F.col("p_partkey").alias("gene"), F.row_number().over(Window.partitionBy(og).orderBy("p_partkey")).alias("pos"))
     return evaluate.combinations(members)
 
 
@@ -346,30 +338,22 @@ def resolution_gamma(spark, d):
 # --- graphs ------------------------------------------------------------------------------------------------------
 
 
-def _heavy_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _line_edges(table(spark, d, "lineitem").filter("l_quantity >= 45"))
-
-
-def _line_edges(lines: DataFrame) -> DataFrame:
-    lines = lines.select("l_orderkey", "l_partkey")
+def _line_edges(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     a, b = lines.alias("a"), lines.alias("b")
     return a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") < F.col("b.l_partkey"))).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).distinct()
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_quantity >= 45 AND b.l_quantity >= 45 AND a.l_partkey < b.l_partkey),
-both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-r(node, reach) AS (SELECT src, src FROM both_ways UNION SELECT r.node, b.dst FROM r JOIN both_ways b ON r.reach = b.src)
-SELECT node, min(reach) AS component FROM r GROUP BY 1
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey),
+r(node, component) USING KEY (node) AS (
+  SELECT src, min(dst) FROM (SELECT src, dst FROM e UNION ALL SELECT src, src FROM e) GROUP BY 1
+  UNION
+  SELECT e.dst, min(r.component) FROM r JOIN e ON e.src = r.node JOIN recurring.r AS known ON known.node = e.dst WHERE r.component < known.component GROUP BY 1)
+SELECT node, component FROM r
 """)
 def connected_components(spark, d):
-    return components.connected_components(_heavy_edges(spark, d))
-
-
-@query()
-def connected_components_all(spark, d):
-    """As ``connected_components``, of all lines."""
-    return components.connected_components(_line_edges(table(spark, d, "lineitem")))
+    return components.connected_components(_line_edges(spark, d))
 
 
 def fixed_hierarchy(spark: SparkSession, d: str, levels: int = 3) -> DataFrame:
@@ -498,11 +482,13 @@ def group_totals(spark, d):
 
 @query()
 def leiden_hierarchy(spark, d):
-    """Communities of the graph of heavy lines; genomes are brands."""
-    brand = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("|g"), "p_partkey").alias("code"))
-    e = _heavy_edges(spark, d)
-    e = e.join(brand.select(F.col("p_partkey").alias("src"), F.col("code").alias("s")), "src").join(brand.select(F.col("p_partkey").alias("dst"), F.col("code").alias("t")), "dst")
-    nodes = community.hierarchy(e.select(F.col("s").alias("src"), F.col("t").alias("dst"), F.lit(1.0).alias("nbs")))
+    """Communities of the lines of orders: a line is a gene, its genome one of ten groups of suppliers; two lines of an order are the more alike the nearer their quantities."""
+    gene = F.concat(F.lit("S"), F.col("l_suppkey") % 10, F.lit("|"), "l_orderkey", F.lit("-"), "l_linenumber")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", gene.alias("gene"), "l_quantity")
+    a, b = lines.alias("a"), lines.alias("b")
+    e = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
+    alike = F.least("a.l_quantity", "b.l_quantity").cast("double") / F.greatest("a.l_quantity", "b.l_quantity").cast("double")
+    nodes = community.hierarchy(e.select(F.col("a.gene").alias("src"), F.col("b.gene").alias("dst"), alike.alias("nbs")))
     return hierarchy.label_events(nodes).select(_named().alias("node"), "n_genes", "n_genomes", "quality", "event")
 
 

@@ -6,18 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: What would end a value, an element or a line, and how it is written in a value.
+ESCAPED = [("&", "&amp;"), ('"', "&quot;"), ("]", "&#93;"), ("[", "&#91;"), ("\n", "&#10;")]
+
 
 def _value(name: str, kind: T.DataType) -> Column:
     """An attribute of an element; ``None`` in quotes is null."""
     found = F.regexp_extract("value", rf'(?m)^\s*{name}\s+("([^"]*)"|\S+)', 1)
     bare = F.regexp_replace(found, '^"|"$', "")
-    bare = F.when((bare == "None") | (found == ""), None).otherwise(F.replace(bare, F.lit("&quot;"), F.lit('"')))
+    for mark, written in reversed(ESCAPED):
+        bare = F.replace(bare, F.lit(written), F.lit(mark))
+    bare = F.when((found == '"None"') | (found == ""), None).otherwise(bare)
     return bare.try_cast(kind).alias(name)
 
 
 def read_gml(spark: SparkSession, path: str, vertex: dict[str, T.DataType], edge: dict[str, T.DataType]) -> tuple[DataFrame, DataFrame]:
     """(vertices (id and ``vertex`` attributes), edges (source, target and ``edge`` attributes)); elements are read by many tasks."""
-    parts = spark.read.option("lineSep", "]").text(path)
+    parts = spark.read.option("lineSep", "\n  ]").text(path)
     nodes = parts.filter(F.regexp_like("value", F.lit(r"(?s)\bnode\s*\[")))
     links = parts.filter(F.regexp_like("value", F.lit(r"(?s)\bedge\s*\[")))
     return (
@@ -31,7 +36,10 @@ def _element(kind: str, columns: list[tuple[str, str]]) -> Column:
     for name, of in columns:
         c = F.col(name)
         if of == "string":
-            text = F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("None")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+            inner = F.coalesce(c, F.lit("None"))
+            for mark, written in ESCAPED:
+                inner = F.replace(inner, F.lit(mark), F.lit(written))
+            text = F.concat(F.lit('"'), inner, F.lit('"'))
         else:
             text = F.coalesce(c.cast("string"), F.lit('"None"'))
         lines.append(F.concat(F.lit(f"    {name} "), text))

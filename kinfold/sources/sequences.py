@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalars import first_token
+from kinfold.sources.text_tables import place_in_file
 
 PIPELINE_EXTENSIONS = ("fa", "faa", "fas", "fasta")
 ANNOTATION_EXTENSIONS = ("faa", "fna", "fasta", "fas")
@@ -14,12 +15,12 @@ ANNOTATION_EXTENSIONS = ("faa", "fna", "fasta", "fas")
 def read_fasta(spark: SparkSession, path: str, extensions: tuple[str, ...] = PIPELINE_EXTENSIONS) -> DataFrame:
     """(file, pos, header, seq) of every record of the files under ``path``; ``pos`` orders a file's records.
 
-    Records are split by Spark's text reader at ``>``, so a large file is read by many tasks; ``pos`` comes from the
-    partitions' order, which follows the file.
+    Records are split by Spark's text reader at lines that begin with ``>``, so a large file is read by many tasks and a
+    ``>`` within a header is part of it; ``pos`` is where a record's split begins and its place in that.
     """
     glob = "*.{" + ",".join(extensions) + "}"
-    raw = spark.read.option("lineSep", ">").option("pathGlobFilter", glob).text(path)
-    raw = raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), (F.col("_metadata.file_block_start") * 0 + F.monotonically_increasing_id()).alias("pos"), "value")
+    raw = spark.read.option("lineSep", "\n>").option("pathGlobFilter", glob).text(path)
+    raw = raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), place_in_file().alias("pos"), F.regexp_replace("value", r"\A\s*>", "").alias("value"))
     body = F.split("value", "\n", 2)
     header = F.trim(F.regexp_replace(body[0], "\r", ""))
     seq = F.regexp_replace(F.coalesce(F.get(body, F.lit(1)), F.lit("")), r"\s", "")

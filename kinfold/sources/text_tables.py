@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.scalars import after_pipe
 
 
+def place_in_file() -> Column:
+    """Orders a file's lines: where a line's split begins, and its place in that. Tasks may read splits in any order."""
+    return F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
+    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), place_in_file().alias("place")).alias("line_no"))
 
 
 def _fields(df: DataFrame, *names: str, sep: str = "\t") -> DataFrame:
@@ -31,6 +36,20 @@ def read_external_groups(spark: SparkSession, path: str, least: int = 1) -> Data
     return rows.filter(F.size(genes) >= least).select(F.trim(F.split_part("value", F.lit(":"), F.lit(1))).alias("og"), F.posexplode(genes).alias("pos", "gene"))
 
 
+def read_external_groups_table(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
+    """(og, pos, gene) from a table with a heading: the group's name, then a column for each genome with genes split by commas."""
+    cells = _lines(spark, path).select("value", F.split("value", "\t").alias("f"))
+    heading = F.col("f")[0].isin("Orthogroup", "HOG", "OG")
+    genes = F.filter(F.transform(F.flatten(F.transform(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0))), lambda x: F.split(x, ","))), lambda g: F.trim(g)), lambda g: g != "")
+    return cells.filter(~heading).select(F.trim(F.col("f")[0]).alias("og"), genes.alias("genes")).filter(F.size("genes") >= least).select("og", F.posexplode("genes").alias("pos", "gene"))
+
+
+def read_id_map(spark: SparkSession, path: str) -> DataFrame:
+    """(orig_id, gene) from ``gene <tab> original id`` lines, the original id up to its first space; an id's last line holds."""
+    rows = _fields(_lines(spark, path), "gene", "orig").filter("orig IS NOT NULL")
+    return rows.groupBy(F.split_part(F.trim("orig"), F.lit(" "), F.lit(1)).alias("orig_id")).agg(F.max_by(F.trim("gene"), "line_no").alias("gene"))
+
+
 def single_copy(groups: DataFrame, genomes: int) -> DataFrame:
     """Groups (og, gene) with one gene of each of ``genomes`` genomes; a gene's genome follows the last ``_`` of its last pipe field."""
     genome = F.element_at(F.split(F.element_at(F.split("gene", r"\|"), -1), "_"), -1)
@@ -80,8 +99,7 @@ def read_cog_ids(spark: SparkSession, path: str) -> DataFrame:
 def read_cog_categories(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """((cog, category), lines that aren't two fields)."""
     rows = _lines(spark, path)
-    got = _fields(rows, "cog", "category")
-    return got.filter("n_fields >= 2").select("cog", "category"), rows.join(got.filter("n_fields < 2").select("line_no"), "line_no", "left_semi").select("value")
+    return _fields(rows, "cog", "category").filter("n_fields >= 2").select("cog", "category"), rows.filter(F.size(F.split("value", "\t")) < 2).select("value")
 
 
 def read_group_annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -35,6 +35,38 @@ def test_fasta(spark, tmp_path):
     assert sequences.last_of_header(twice).first().seq == "B"
 
 
+def test_fasta_of_several_splits(spark, tmp_path):
+    """Headers may contain ``>``; records keep the file's order however it is split."""
+    n = 400
+    text = "".join(f">g{i} enzyme A->B like > {i}\n{'MKV' * (i % 7 + 1)}\nLL\n" for i in range(n))
+    put(tmp_path / "g" / "a.faa", "\n" + text)
+    put(tmp_path / "g" / "b.faa", text.replace("\n", "\r\n"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rec = sequences.read_fasta(spark, str(tmp_path / "g"))
+        assert rec.rdd.getNumPartitions() > 5
+        _, genes = sequences.recode(rec)
+        rows = genes.select("genome_id", "gene_idx", "orig_id", "seq").collect()
+        hit = put(tmp_path / "h" / "x.out", "".join(f"a\tb\t90\t10\t0\t0\t1\t10\t10\t1\t1e-5\t{i}\n" for i in range(300)) + "LEGEND1\tEND\t90\t10\t0\t0\t1\t10\t10\t1\t1e-5\t7\n END \n")
+        good, bad = hits.read_outfmt6(spark, hit)
+        last = good.filter("query = 'a'").orderBy(F.desc("line_no")).first().bitscore
+        assert good.count() == 301 and bad.count() == 0 and last == 299.0
+        p = put(tmp_path / "og.tsv", "".join(f"OG{i}\t1\t1\tx|same\n" for i in range(300)))
+        assert [tuple(r) for r in text_tables.read_groups(spark, p).collect()] == [("OG299", "same")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(tuple(r) for r in rows) == sorted((g, i, f"g{i}", "MKV" * (i % 7 + 1) + "LL") for g in (0, 1) for i in range(n))
+
+
+def test_other_group_files(spark, tmp_path):
+    p = put(tmp_path / "t.tsv", "Orthogroup\tA\tB\nOG1\ta1, a2\tb1\nOG2\t\tb2\n")
+    assert sorted(map(tuple, text_tables.read_external_groups_table(spark, p).collect())) == [("OG1", 0, "a1"), ("OG1", 1, "a2"), ("OG1", 2, "b1"), ("OG2", 0, "b2")]
+    assert {r.og for r in text_tables.read_external_groups_table(spark, p, 2).collect()} == {"OG1"}
+    p = put(tmp_path / "ids.tsv", "G0|g0\tsp|P1 first\nG0|g1\tP2\nG1|g5\tP2\nshort\n")
+    assert sorted(map(tuple, text_tables.read_id_map(spark, p).collect())) == [("P2", "G1|g5"), ("sp|P1", "G0|g0")]
+
+
 def test_hits(spark, tmp_path):
     line = lambda q, s, bits: f"{q}\t{s}\t90\t10\t0\t0\t1\t10\t10\t1\t1e-5\t{bits}\n"
     put(tmp_path / "h" / "G0-G1.out", line("G0|g0", "G1|g0", 50) + line("G0|g0", "G1|g0", 40) + line("G0|g0", "G0|g0", 99) + "G0|g0\tG1|g1\tbad\n" + line("G0|g0", "G9|g9", 1) + "END\n")
@@ -78,7 +110,7 @@ def test_text_tables(spark, tmp_path):
 
 
 def test_gml(spark, tmp_path):
-    v = spark.createDataFrame([(0, 'G0|g0 "x"', 3, None), (1, "b", 1, "I")], "id long, name string, genesNum int, Event string")
+    v = spark.createDataFrame([(0, 'G0|g0 "x"', 3, None), (1, "b", 1, "I"), (2, "a]b [c] &quot; &#93;\n  ]\n  node", 2, "")], "id long, name string, genesNum int, Event string")
     e = spark.createDataFrame([(0, 1, 0.5)], "source long, target long, NBS double")
     gml.write_gml(v, e, str(tmp_path / "g"))
     v2, e2 = gml.read_gml(spark, str(tmp_path / "g"), {"name": T.StringType(), "genesNum": T.IntegerType(), "Event": T.StringType()}, {"NBS": T.DoubleType()})
