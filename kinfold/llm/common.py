@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.plans.tables import new_path, written  # noqa: F401  for the operators
@@ -76,11 +76,21 @@ def crc_mod5(doc_id):
 
 def keep_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """Rows of ``docs``, all columns as they are, for whose texts ``keep`` gives true; no shuffle."""
-    at = docs.columns.index("text")
+    rows = docs.select(packed(docs).alias("row"), docs["text"])
 
     @tidied
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+            yield batch.filter(pa.array(keep(batch.column(1)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return unpacked(rows.mapInArrow(run, rows.schema), docs)
+
+
+def packed(docs: DataFrame) -> Column:
+    """A row's columns as they are, whatever their names, in one; ``unpacked`` gives them back."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from the column ``row`` of ``rows``."""
+    return rows.select(*[rows["row"].getField(c).alias(c) for c in docs.columns])

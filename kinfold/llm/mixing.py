@@ -6,18 +6,19 @@ the slot of rank r takes block r of that source's stream: its documents, shuffle
 times over, cut into blocks of the same number of words.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source, the last; a source without words
-has target 0; repeated rows are documents of their own; an empty table gives no rows; other columns of the input are not
-read.
+has target 0; repeated rows are documents of their own, in any order, as are documents of equal or null ids; a very long text
+takes as many blocks as it fills; an empty table gives no rows; other columns of the input, whatever their names, are kept by
+``remix`` and not read otherwise.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import load, written
+from kinfold.llm.common import load, packed, unpacked, written
 
 #: Words of a slot and of a block.
 BLOCK_WORDS = 64
@@ -27,8 +28,8 @@ MOST = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Neighbouring Fibonacci numbers: their ratio is the golden one, and their products fit a long.
 FIB, FIB_BEFORE = 2971215073, 1836311903
-#: Parts in which slots are ranked and streams are added up, so that no task holds a whole source.
-CHUNK_SLOTS, STREAM_PARTS = 1 << 16, 4096
+#: Slots that are ranked together, and about how many documents of a source are added up together, so that no task holds a whole source.
+CHUNK_SLOTS, PART_DOCS = 1 << 16, 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,27 +51,24 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
 
 
 class Mix(NamedTuple):
-    documents: DataFrame  # _rid, the input's columns, _size, _s (source number), _source_size
+    documents: DataFrame  # rid, row (what ``mix`` was told to carry), doc_id, size, s (source number), source_size, target
     sources: list  # (source, size, target), by source number
-    pieces: DataFrame  # slot, _s, block, _rid, from_word, to_word (of the document)
+    pieces: DataFrame  # slot, s, block, rid, from_word, to_word (of the document)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS) -> Mix:
-    """The schedule of ``docs`` (doc_id, text, source and others); per source only its size comes to the driver."""
+def mix(docs: DataFrame, carry: Column | None = None, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS) -> Mix:
+    """The schedule of ``docs`` (doc_id, text, source and others), which keeps ``carry`` of each; per source only its size and its number of documents come to the driver."""
     spark = docs.sparkSession
-    size = F.regexp_count("text", F.lit(WORD)).cast("long")
-    sized = docs.withColumn("_size", F.coalesce(size, F.lit(0).cast("long"))).withColumn("_rid", F.monotonically_increasing_id())
-    sized = written(sized, "sized")
-    return _mix(spark, sized, weights, block_words)
-
-
-def _mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...], block_words: int) -> Mix:
-    got = sized.groupBy("source").agg(F.sum("_size").alias("size")).orderBy(F.asc_nulls_last("source")).collect()
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    sized = docs.select(F.monotonically_increasing_id().alias("rid"), (F.lit(None) if carry is None else carry).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), size.alias("size"))
+    sized = written(sized if carry is not None else sized.drop("row"), "sized")
+    got = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_last("source")).collect()
     sizes = [r["size"] for r in got]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
     sources = [(r["source"], r["size"], t) for r, t in zip(got, wanted)]
-    table = spark.createDataFrame([(i, s, n) for i, (s, n, _) in enumerate(sources)], "_s int, _source string, _source_size long")
-    numbered = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # A row for each source, of which there are few: their targets are worked out here.
+    table = spark.createDataFrame([(i, r["source"], r["size"], t, -(-r["n"] // PART_DOCS)) for i, (r, t) in enumerate(zip(got, wanted))], "s int, its string, source_size long, target double, parts int")
+    numbered = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("its"))).drop("its")
 
     # Slots and their ranks.
     total = sum(sizes)
@@ -81,42 +79,39 @@ def _mix(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...], bloc
     slots = spark.range(-(-total // block_words)).select(F.col("id").alias("slot"))
     point = ((F.col("slot") % FIB) * FIB_BEFORE % FIB).cast("double") / F.lit(float(FIB))
     cuts = F.array(*[F.lit(e) for e in ends]) if ends else F.array().cast("array<double>")
-    slots = slots.select("slot", F.size(F.filter(cuts, lambda c: c <= point)).alias("_s"), F.expr(f"slot div {CHUNK_SLOTS}").alias("chunk"))
-    before = Window.partitionBy("_s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slots.groupBy("_s", "chunk").agg(F.count(F.lit(1)).alias("n")).select("_s", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
-    rank = F.row_number().over(Window.partitionBy("_s", "chunk").orderBy("slot")) - 1
-    ranked = slots.withColumn("_r", rank).join(starts, ["_s", "chunk"]).select("slot", "_s", (F.col("_r") + F.col("from")).alias("block"))
+    slots = slots.select("slot", F.size(F.filter(cuts, lambda c: c <= point)).alias("s"), F.expr(f"slot div {CHUNK_SLOTS}").alias("chunk"))
+    before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slots.groupBy("s", "chunk").agg(F.count(F.lit(1)).alias("n")).select("s", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    rank = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1
+    ranked = slots.withColumn("_r", rank).join(starts, ["s", "chunk"]).select("slot", "s", (F.col("_r") + F.col("from")).alias("block"))
 
     # Streams: where each document begins in its source's shuffled order.
-    stream = numbered.filter("_size > 0").select("_rid", "_s", "_source_size", "_size", F.xxhash64(F.lit(17), F.col("doc_id")).alias("h"), "doc_id")
-    stream = stream.withColumn("part", F.pmod("h", F.lit(STREAM_PARTS)))
-    before = Window.partitionBy("_s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = stream.groupBy("_s", "part").agg(F.sum("_size").alias("n")).select("_s", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("_s", "part").orderBy("h", "doc_id", "_size", "_rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = stream.withColumn("_to", F.sum("_size").over(within)).join(firsts, ["_s", "part"]).withColumn("at", F.col("first") + F.col("_to") - F.col("_size"))
+    stream = numbered.filter("size > 0").select("rid", "s", "source_size", "size", "parts", F.xxhash64(F.lit(17), F.col("doc_id"), F.col("size")).alias("h"), "doc_id")
+    stream = stream.withColumn("part", F.pmod("h", F.col("parts")))
+    before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = stream.groupBy("s", "part").agg(F.sum("size").alias("n")).select("s", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("s", "part").orderBy("h", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = stream.withColumn("_to", F.sum("size").over(within)).join(firsts, ["s", "part"]).withColumn("at", F.col("first") + F.col("_to") - F.col("size"))
     times = F.explode(F.array(*[F.lit(e) for e in range(MOST)]))
-    taken = placed.withColumn("_e", times).withColumn("a", F.col("at") + F.col("_e") * F.col("_source_size")).withColumn("b", F.col("a") + F.col("_size"))
+    taken = placed.withColumn("_e", times).withColumn("a", F.col("at") + F.col("_e") * F.col("source_size")).withColumn("b", F.col("a") + F.col("size"))
     cut = taken.withColumn("block", F.explode(F.expr(f"sequence(a div {block_words}, (b - 1) div {block_words})")))
     low, high = F.greatest("a", F.col("block") * block_words), F.least("b", (F.col("block") + 1) * block_words)
-    cut = cut.select("_rid", "_s", "block", (low - F.col("a")).alias("from_word"), (high - F.col("a")).alias("to_word"))
-    return Mix(numbered, sources, ranked.join(cut, ["_s", "block"]))
+    cut = cut.select("rid", "s", "block", (low - F.col("a")).alias("from_word"), (high - F.col("a")).alias("to_word"))
+    return Mix(numbered, sources, ranked.join(cut, ["s", "block"]))
 
 
 def taken_words(m: Mix) -> DataFrame:
-    """The documents with ``_taken``, the words that the mix takes of each, repeats counted."""
-    taken = m.pieces.groupBy("_rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"))
-    return m.documents.join(taken, "_rid", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0).cast("long")))
+    """The documents with ``taken``, the words that the mix takes of each, repeats counted."""
+    taken = m.pieces.groupBy("rid").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    return m.documents.join(taken, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
 def remix(docs: DataFrame) -> DataFrame:
     """``docs``, its columns as they are, each row as often as the mix takes its words, to the nearest whole number."""
-    rows = taken_words(mix(docs)).withColumn("_times", F.round(F.try_divide("_taken", "_size")).cast("int")).filter("_times > 0")
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    rows = taken_words(mix(docs, packed(docs))).withColumn("times", F.round(F.try_divide("taken", "size")).cast("int")).filter("times > 0")
+    return unpacked(rows.select("row", F.explode(F.sequence(F.lit(1), "times"))), docs)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents", "doc_id", "text", "source")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("_size"), F.monotonically_increasing_id().alias("_rid"))
-    m = _mix(spark, written(sized, "sized"), WEIGHTS, BLOCK_WORDS)
-    wanted = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(m.sources)], "_s int, target double")
-    return taken_words(m).join(F.broadcast(wanted), "_s").select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), "target", F.col("_taken").alias("taken"))
+    m = mix(load(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return taken_words(m).select("doc_id", "size", "source_size", "target", "taken")

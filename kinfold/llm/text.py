@@ -88,15 +88,46 @@ def span_hash(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 ID_BYTES = 16
 
 
-def content_ids(parts: Iterable[bytes | np.ndarray], kind: bytes = b"") -> pa.Array:
-    """128-bit ids of byte strings; those of different kinds differ."""
-    return pa.array([hashlib.blake2b(p, digest_size=ID_BYTES, person=kind).digest() for p in parts], pa.binary())
+def content_ids(parts: Iterable[tuple[np.ndarray, bytes]]) -> pa.Array:
+    """128-bit ids of arrays of bytes or numbers, each with a kind; those of different kinds differ."""
+    return pa.array([hashlib.blake2b(p, digest_size=ID_BYTES, person=kind).digest() for p, kind in parts], pa.binary())
 
 
 def text_ids(low: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Ids of whole texts, as given: equal for equal bytes alone."""
     off = offsets.tolist()
-    return content_ids(low[a:b] for a, b in zip(off, off[1:]))
+    return content_ids((low[a:b], b"text") for a, b in zip(off, off[1:]))
+
+
+def common_elements(sets: list[np.ndarray], times: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many elements of each set each other set has as well, ``times`` each: rows count with their own times."""
+    n, lot = len(sets), 1 << 20
+    element = np.concatenate(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(element, kind="stable")
+    element, row = element[order], row[order]
+    weight = np.ones(len(row), np.float32) if times is None else np.concatenate(times)[order].astype(np.float32)
+    begin = np.flatnonzero(np.append(True, element[1:] != element[:-1])) if len(element) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(element)))
+    out = np.zeros((n, n), np.float32)
+    # Elements of few sets of many pair by pair, all others by products.
+    few = 64 if n > 256 else 1
+    some = np.unique(size[size > 1])
+    for k in some[some <= few].tolist():
+        at = begin[size == k][:, None] + np.arange(k)
+        for i in range(0, len(at), max(1, lot // k**2)):
+            part = at[i : i + max(1, lot // k**2)]
+            cell = row[part][:, :, None] * n + row[part][:, None, :]
+            out += np.bincount(cell.ravel(), np.repeat(weight[part], k), n * n).reshape(n, n)
+    often, size = begin[size > few], size[size > few]
+    step = max(1, lot // n)
+    for i in range(0, len(often), step):
+        k = size[i : i + step]
+        at = np.repeat(often[i : i + step] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        count = np.zeros((n, len(k)), np.float32)
+        count[row[at], np.repeat(np.arange(len(k)), k)] = weight[at]
+        out += count @ (count > 0).astype(np.float32).T
+    return out
 
 
 def id_numbers(ids: pa.Array) -> np.ndarray:

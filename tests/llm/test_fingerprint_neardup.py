@@ -148,6 +148,62 @@ def brute_classes(docs):
     return sorted(((d, least.get(find(i)), sum(find(k) == find(i) for k in range(len(docs)))) for i, (d, _) in enumerate(docs)), key=str)
 
 
+def test_similar_sets_and_their_parts(spark):
+    """All pairs of a bucket, in one task, in parts, and dealt by further bands: the same sets as by brute force."""
+    rng = np.random.default_rng(31)
+    texts = []
+    for _ in range(12):
+        base = [f"b{int(i)}" for i in rng.integers(0, 5000, 120)]
+        for _ in range(6):
+            w = list(base)
+            for at in rng.integers(0, 120, rng.integers(0, 5)):
+                w[at] = f"e{int(rng.integers(1 << 30))}"
+            texts.append(" ".join(w + ["x y z"] * int(rng.integers(0, 4))))
+    h, doc, count, ids = N.multisets(*text_buffer(pa.array(texts)))
+    bags = [N._pack(h[doc == k], count[doc == k]) for k in range(len(texts))]
+    root = {k: k for k in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if N.overlap(N._unpack(bags[i]), N._unpack(bags[j])) >= 0.8:
+                old, new = root[i], root[j]
+                root = {k: new if r == old else r for k, r in root.items()}
+    want = sorted(sorted(k for k in root if root[k] == r) for r in set(root.values()))
+    assert 12 < len(want) < len(texts)
+
+    def sets(links):
+        r = {k: k for k in range(len(texts))}
+        for a, b in links:
+            old, new = r[a], r[b]
+            r = {k: new if x == old else x for k, x in r.items()}
+        return sorted(sorted(k for k in r if r[k] == x) for x in set(r.values()))
+
+    links, heads = N.similar_sets([(k, None, b) for k, b in enumerate(bags)], 0.8)
+    assert sets(links) == want and len(heads) == len(want)
+    stored = spark.createDataFrame([(k, b) for k, b in enumerate(bags)], "cid long, bag binary")
+    keys = N.band_keys(N.signatures(h, doc, count, len(texts))).view(np.int64)
+    bands = spark.createDataFrame([(int(x), k) for k, row in enumerate(keys) for x in row], "key long, cid long")
+    members = spark.createDataFrame([(1, k, None) for k in range(len(texts))], "key long, cid long, root long")
+    for part, most in ((512, 1024), (20, 1024), (20, 30)):
+        got = [tuple(r) for r in N._meeting(members, bands, stored, 0.8, part, most).collect()]
+        assert all(N.overlap(N._unpack(bags[a]), N._unpack(bags[b])) >= 0.8 for a, b in got)
+        found = sets(got)
+        if part == 512:
+            assert found == want
+        else:  # one member stands for each part's set, so a chain may stay cut, but nothing else is joined
+            assert all(any(set(x) <= set(y) for y in want) for x in found) and len(found) <= len(want) + 4
+
+
+def test_different_texts_that_sum_alike(spark, tmp_path):
+    """Words that polynomial hashes can't tell apart (Thue-Morse) and texts that differ in NUL bytes are different contents."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    docs = [(1, one), (2, two), (3, "\0"), (4, "\0\0"), (5, one)]
+    got = {r.doc_id: r.class_id for r in N.op9_neardup(spark, save(spark, tmp_path, docs)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
 def test_classes(spark, tmp_path):
     rng = np.random.default_rng(9)
     docs = [(int(i), t) for i, t in zip(rng.permutation(400)[:300], corpus(rng, 300))]

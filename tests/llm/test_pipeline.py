@@ -52,11 +52,15 @@ def plain_mix(docs):
     for i in range(-(-sum(total) // M.BLOCK_WORDS)):
         slots[int((ends <= (i % M.FIB) * M.FIB_BEFORE % M.FIB / M.FIB).sum())] += 1
     seed = xxhash.xxh64(struct.pack("<i", 17), seed=42).intdigest()
-    signed = lambda i: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64(struct.pack("<q", i), seed=seed).intdigest()))[0]
+
+    def signed(i):
+        h = xxhash.xxh64(struct.pack("<q", size[i]), seed=xxhash.xxh64(struct.pack("<q", i), seed=seed).intdigest()).intdigest()
+        return struct.unpack("<q", struct.pack("<Q", h))[0]
+
     out = []
     for k, s in enumerate(sources):
         at, reach = 0, slots[k] * M.BLOCK_WORDS
-        own = sorted((d for d in docs if d[3] == s and size[d[0]]), key=lambda d: (signed(d[0]) % M.STREAM_PARTS, signed(d[0])))
+        own = sorted((d for d in docs if d[3] == s and size[d[0]]), key=lambda d: signed(d[0]))  # one part each
         for d in own:
             n = size[d[0]]
             taken = sum(max(0, min(n, reach - at - e * total[k])) for e in range(M.MOST))
@@ -89,6 +93,34 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "tokens"]
 
 
+CLASHES = ["row", "rid", "size", "s", "its", "source_size", "target", "parts", "taken", "times", "at", "h", "part", "block", "slot", "content", "kept", "kept_id", "nth", "cid", "root", "n", "k", "bands", "key", "label", "score", "_size", "_rid", "_cid", "_id", "_kept", "_nth", "a.b"]
+
+
+def test_odd_rows_and_column_names(spark, tmp_path):
+    """Every stage keeps other columns and their values whatever they are called, and handles nulls, repeated ids and rows, and long texts."""
+    rng = np.random.default_rng(21)
+    docs, labels, items = corpus(rng)
+    long = " ".join(rng.choice([f"w{i}x" for i in range(800)], 60_000))
+    docs = docs[:150] + [(None, "null id " * 9, None, None, None), (None, "null id " * 9, None, None, None), (None, None, None, None, None), (7, docs[7][1], "en", "a", 1), (8, "another text for an id", "en", "a", 2), (2000, long, "en", "b", 3)]
+    rows = [(*d, *[f"{c}{k}" for c in CLASHES]) for k, d in enumerate(docs)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (None, None, None), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([*items, (None, items[0][1]), (99, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    known = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        got = [tuple(r) for r in docs.collect()]
+        assert got and set(got) <= known
+        if name == "near_duplicates":
+            assert sum(r[1] == "null id " * 9 for r in got) == 1 and sum(r[0] == 2000 for r in got) == 1
+    corpus_pipeline.tokens(spark, docs, str(tmp_path)).collect()
+
+
 def test_columns_stay(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")

@@ -124,9 +124,9 @@ def test_mix(spark, tmp_path):
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, out), key=str)
     m = M.mix(spark.read.parquet(f"{tmp_path}/documents.parquet"))
     assert m.pieces.groupBy("slot").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).filter(F.col("n") > M.BLOCK_WORDS).count() == 0
-    first = m.pieces.filter("slot < 100").groupBy("_s").agg(F.countDistinct("slot").alias("n")).collect()
+    first = m.pieces.filter("slot < 100").groupBy("s").agg(F.countDistinct("slot").alias("n")).collect()
     total = sum(want.values())
-    assert all(abs(r.n - 100 * want[order[r._s]] / total) < 4 for r in first)
+    assert all(abs(r.n - 100 * want[order[r.s]] / total) < 4 for r in first)
 
 
 def test_mix_empty(spark, tmp_path):
