@@ -1,16 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 Terms are words and their leading 4 and 5 bytes. A bounded sample of labelled documents gives the examples and, by a
-likelihood-ratio test of each term against the label, the vocabulary; document frequencies of that vocabulary come from all
-documents. Examples lie in blocks; each term's postings are cut by block, with the term's largest weight in each. A query
+likelihood-ratio test of each term against the label, the vocabulary: all terms that pass, so texts are near for what matters to
+the label; document frequencies of that vocabulary come from all documents. Examples lie in blocks; each term's postings are cut by block, with the term's largest weight in each. A query
 first scores the blocks of the highest bounds, then every block whose bound reaches the k-th best score, so its neighbours
 are exact. Votes are calibrated by an isotonic fit on the examples' own leave-one-out votes, weighted to the true share of
 each class.
 
 Defined results: a null text is an empty one; a text without vocabulary terms gets the toxic share of examples like it;
 labels that are null, or of documents that aren't there, teach nothing; of several labels of a document the largest counts;
-without labels of both classes every score is the share of label 1 (0.5 without labels); ties between neighbours go to the
-lower id; repeated rows get a row each; an empty table gives no rows; other columns of the input are not read.
+without labels of both classes every score is the share of label 1 (0.5 without labels); neighbours that
+tie for the last places share these; repeated rows get a row each; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from kinfold.llm.text import mix, span_hash, words
 
 #: Most labelled examples of each class: those of the lowest id hashes.
 EXAMPLES = {1: 3000, 0: 6000}
-#: Most terms, and the least likelihood ratio (chi-squared, one degree of freedom) of a term.
-TERMS, LEAST_RATIO = 4000, 30.0
+#: The least likelihood ratio (chi-squared, one degree of freedom) of a term; in a small sample, half of what a perfect sign of the label would have there.
+LEAST_RATIO = 30.0
 #: Leading bytes of words that are terms as well.
 PREFIXES = (4, 5)
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 8
@@ -81,8 +81,8 @@ def vectors(term: np.ndarray, doc: np.ndarray, count: np.ndarray, idf: np.ndarra
     return w / norm[doc]
 
 
-def nearest(x: Index, term: np.ndarray, weight: np.ndarray, without: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """Examples and cosines of the k nearest (cosine above 0), nearest first; exact."""
+def nearest(x: Index, term: np.ndarray, weight: np.ndarray, without: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Examples, cosines and places of the k nearest (cosine above 0), nearest first; exact. All examples that tie for the last places share these."""
     bound = weight @ x.bound[term]
     order = np.argsort(-bound, kind="stable")
     ids = np.zeros(0, np.int64)
@@ -105,12 +105,19 @@ def nearest(x: Index, term: np.ndarray, weight: np.ndarray, without: int = -1, k
     if without >= 0:
         keep = ids != without
         ids, cos = ids[keep], cos[keep]
-    best = np.lexsort((x.doc_id[ids], -cos.round(12)))[:k]
-    return ids[best], np.minimum(cos[best], 1.0)
-
-
-def vote(x: Index, ids: np.ndarray, cos: np.ndarray) -> float:
-    w = 1 / (1.05 - cos)
+    like = cos.round(12)
+    best = np.lexsort((x.doc_id[ids], -like))
+    places = np.ones(len(best))
+    if len(best) > k:
+        last = like[best[k - 1]]
+        best = best[: int((like >= last).sum())]
+        above = int((like > last).sum())
+        places = np.where(np.arange(len(best)) < above, 1.0, (k - above) / (len(best) - above))
+    return ids[best], np.minimum(cos[best], 1.0), places
+
+
+def vote(x: Index, ids: np.ndarray, cos: np.ndarray, places: np.ndarray) -> float:
+    w = places / (1.05 - cos)
     return float(((w * x.label[ids]).sum() + PRIOR * x.share) / (w.sum() + PRIOR))
 
 
@@ -180,8 +187,8 @@ def score(x: Index, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, f
         w = vectors(t, doc, count, x.idf, j - i)
         first = np.flatnonzero(np.diff(doc, prepend=-1))
         for a, b in zip(first.tolist(), np.append(first[1:], len(t)).tolist()):
-            ids, cos = nearest(x, t[a:b], w[a:b])
-            v = vote(x, ids, cos)
+            ids, cos, places = nearest(x, t[a:b], w[a:b])
+            v = vote(x, ids, cos, places)
             k = i + int(doc[a])
             out[k] = 0.98 * float(np.interp(v, x.votes, x.scores)) + 0.02 * v
             evidence[k] = [(int(x.doc_id[e]), float(c), int(x.label[e])) for e, c in zip(ids[:3], cos[:3])]
@@ -200,7 +207,7 @@ def likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -
 
 
 def learn(docs: DataFrame, labels: DataFrame, examples: dict[int, int] = EXAMPLES) -> Index:
-    """An index from ``docs`` (doc_id, text) and ``labels`` (doc_id, label). What comes to the driver is bounded by ``examples`` and ``TERMS``."""
+    """An index from ``docs`` (doc_id, text) and ``labels`` (doc_id, label). What comes to the driver is bounded by ``examples``: their terms."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -228,19 +235,17 @@ def learn(docs: DataFrame, labels: DataFrame, examples: dict[int, int] = EXAMPLE
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     by_term = bags.select("label", F.explode("terms").alias("t")).groupBy("t").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
 
+    perfect = float(likelihood_ratio(np.array([float(n_pos)]), np.zeros(1), n_pos, n_neg)[0]) if n_pos and n_neg else 0.0
+    least = min(LEAST_RATIO, perfect / 2)
+
     @tidied
-    def strongest(batches):
-        """A partition's candidates: the strongest overall are among the strongest of each."""
-        kept = [np.zeros(0, np.int64), np.zeros(0)]
+    def strong(batches):
         for batch in batches:
             pos, n = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             g = likelihood_ratio(pos.astype(float), (n - pos).astype(float), n_pos, n_neg)
-            t, g = np.append(kept[0], batch.column(0).to_numpy(zero_copy_only=False)[g >= LEAST_RATIO]), np.append(kept[1], g[g >= LEAST_RATIO])
-            best = np.lexsort((t, -g))[:TERMS]
-            kept = [t[best], g[best]]
-        yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.float64())], ["t", "g"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(g >= least))], ["t"])
 
-    best = by_term.mapInArrow(strongest, "t long, g double").orderBy(F.desc("g"), "t").limit(TERMS).collect() if n_pos and n_neg else []
+    best = by_term.mapInArrow(strong, "t long").collect() if n_pos and n_neg else []
     vocabulary = np.sort(np.array([r["t"] for r in best], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(vocabulary)
 

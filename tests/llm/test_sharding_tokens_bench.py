@@ -4,7 +4,9 @@ import hashlib
 import math
 import re
 import zlib
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -104,7 +106,7 @@ def brute(docs, items, window=10):
             for k in range(len(w) - n + 1):
                 if (p := tuple(w[k : k + n])) in pats:
                     hit.update(range(k, k + n))
-                    found |= pats[p]
+                    found |= pats[p] - {None}
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
     return out
 
@@ -114,12 +116,57 @@ def test_decontaminate(spark, tmp_path):
     vocab = ["a", "B", "c", "é", "D9", "long-er"]
     text = lambda n: " ".join(rng.choice(vocab, n))
     items = [(i, text(int(rng.integers(1, 30)))) for i in range(40)] + [(90, None), (91, ""), (92, "!!"), (93, "solo"), (7, "x y z w")]
-    items += [(100, items[3][1])]
-    docs = [(i, text(int(rng.integers(0, 400)))) for i in range(60)] + [(60, None), (61, ""), (62, "solo"), (62, "Solo, solo"), (63, "y " * 3000 + (items[5][1] or "").upper() + " y" * 700)]
+    items += [(100, items[3][1]), (None, items[4][1]), (None, "none has this id but it is long enough for one window")]
+    docs = [(i, text(int(rng.integers(0, 400)))) for i in range(60)] + [(60, None), (61, ""), (62, "solo"), (62, "Solo, solo"), (63, "y " * 3000 + (items[5][1] or "").upper() + " y" * 700), (64, "z none has this id but it is long enough for one window"), (None, items[3][1])]
     d = tables(spark, tmp_path, docs, benchmark=(items, "item_id long, text string"))
-    assert sorted(map(tuple, D.op10_decontaminate(spark, d).collect())) == sorted(brute(docs, items))
-    found = D.decontaminate(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"), block_items=7)
-    assert sorted((r.doc_id, r.n_words, r.n_hit, len(r.item_ids)) for r in found.collect()) == sorted(r[:4] for r in brute(docs, items))
+    got = sorted(map(tuple, D.op10_decontaminate(spark, d).collect()), key=str)
+    assert got == sorted(brute(docs, items), key=str)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
+    assert sorted(con.execute(f"SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM ({D.OP10_SQL})").fetchall(), key=str) == got
+    # Several packs in one pass, and several passes.
+    for bounds in ({"pack_bytes": 300}, {"pack_bytes": 300, "pass_bytes": 30_000}):
+        read = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+        assert D._packs(read("benchmark"), 10, 300).count() > 3
+        found = D.decontaminate(read("documents"), read("benchmark"), **bounds).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, len(r.item_ids)) for r in found), key=str) == sorted((r[:4] for r in brute(docs, items)), key=str)
+        kept = D.keep_clean(read("documents"), read("benchmark"), **bounds)
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in brute(docs, items) if not r[5]), key=str)
+    assert len(list(D._passes(D._packs(read("benchmark"), 10, 300), 30_000))) > 1
+
+
+def test_ids_are_a_fresh_tokenizers():
+    """Texts that shortcuts may get wrong, against a tokenizer that nothing has touched."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(T.default_tokenizer())
+    bits = [0]
+    while len(bits) < 8192:
+        bits += [1 - b for b in bits]
+    texts = ["", "x\0y", "Ünïcode wörds", "日本語 and words", "don't DON'T 'tis", "a" * 5000]
+    for n in (512, 1024, 2048, 4096, 8192):
+        texts += ["".join("ab"[b] for b in bits[:n]), "".join("ba"[b] for b in bits[:n])]
+        texts.append(f"{texts[-2]} {texts[-1]} {texts[-2]}")
+    rng = np.random.default_rng(5)
+    long = " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(1, 12))) for _ in range(40_000))
+    texts.append(" ".join([long] * 16)[: 5 << 20])
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in T.Encoder(T.default_tokenizer()).encode(pa.array(texts))] == want
+
+
+def test_other_tokenizers_are_taken_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    said = json.loads(Path(T.default_tokenizer()).read_text())
+    said["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(said))
+    plain, enc = Tokenizer.from_file(str(path)), T.Encoder(str(path))
+    texts = ["Some WORDS here", "It's ONE", ""]
+    assert not enc.cuts and [x.tolist() for x in enc.encode(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_added_tokens_are_the_librarys():
