@@ -1,16 +1,18 @@
-"""Main text of web pages: subtrees that recur across a host's pages are deleted, then what markup names as no article.
+"""Main text of web pages: subtrees that recur across a host's pages are deleted; markup decides on what doesn't recur.
 
-A page's elements form a tree; each subtree's tag, names and text have a 64-bit hash. Spark counts on how many pages of
-its host a subtree occurs; one that occurs on at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages is
-template and goes. Text blocks of the article itself (paragraphs, headings, list items and the like within ``article`` or
-``main``) are never template: copies of an article on one host stay whole. What is not the article by its tag, role, class
-or id goes as well, however seldom it recurs; if a page has an ``article`` or ``main``, only text within one counts.
+A page's elements form a tree; each subtree's tag, names and text have a 64-bit hash. Spark counts on how many different
+pages of its host a subtree occurs (copies of a page are one page); one that occurs on at least ``LEAST_PAGES`` of them, and
+on as many as the root of their number, is template and goes first, whatever it is called. Text blocks of the article itself
+(paragraphs, headings, list items and the like within ``article`` or ``main``) are never template: what articles repeat is
+theirs. Of what is left, text goes that is no article by its tag, role, class or id, and, if the page has an ``article`` or
+``main``, text outside: adverts that each page has for itself, hosts of few pages. Each page says how many blocks either took.
 
 Blocks are what stands between block-level tags; in a block, character references are decoded (as browsers do) and each
 run of white space is one space; blocks without text vanish; the others are joined by one space.
 
 Defined results: null html gives empty text; tags that never close end with their parent; a null url is a host of its
-own; repeated rows get a row each; an empty table gives no rows; other columns of the input are not read.
+own; repeated rows and ids get a row each; a very long page is read as a whole, in time in proportion to its length; an
+empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import load, small_batches, tidied, written
 
-LEAST_PAGES, LEAST_SHARE = 5, 0.25
+#: Different pages of a host from which a subtree is template, beside the square root of the host's number of them.
+LEAST_PAGES = 5
 #: Most template hashes that are broadcast (8 bytes each); more are joined to the pages that have them.
 MOST_BROADCAST = 1_000_000
 
@@ -60,15 +64,16 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figca
 
 
 class Page(NamedTuple):
+    digest: int  # of the page's whole content, for one host
     subtrees: list[int]  # hashes of subtrees that may be template, distinct
-    blocks: list[tuple[str, tuple[int, ...]]]  # text that markup leaves, with the hashes it stands in
+    blocks: list[tuple[str, tuple[int, ...], bool]]  # text, the hashes it stands in, whether markup takes it for the article's
 
 
 class _Element:
-    __slots__ = ("tag", "names", "out", "article", "digest", "from_block", "candidate")
+    __slots__ = ("tag", "names", "out", "article", "digest", "from_block", "candidate", "mute")
 
-    def __init__(self, tag, names, out, article, from_block, candidate):
-        self.tag, self.names, self.out, self.article, self.from_block, self.candidate = tag, names, out, article, from_block, candidate
+    def __init__(self, tag, names, out, article, from_block, candidate, mute=False):
+        self.tag, self.names, self.out, self.article, self.from_block, self.candidate, self.mute = tag, names, out, article, from_block, candidate, mute
         self.digest = hashlib.blake2b(f"{tag}|{names}|".encode(), digest_size=8)
 
 
@@ -80,7 +85,7 @@ def parse(text: str, salt: bytes = b"") -> Page:
     """A page's template candidates and remaining text blocks; hashes hold for one ``salt`` (the host)."""
     root = _Element("", "", False, 0, 0, False)
     stack, blocks, marks, subtrees, pending = [root], [], [], {}, []
-    seen_article = False
+    seen_article, open_tags = False, Counter()
     at, size = 0, len(text)
 
     def flush() -> None:
@@ -90,7 +95,7 @@ def parse(text: str, salt: bytes = b"") -> Page:
             if got:
                 top = stack[-1]
                 blocks.append(got)
-                marks.append([top.article > 0, []])
+                marks.append([top.article > 0, top.out, []])
 
     def say(s: str) -> None:
         """Text within the open elements."""
@@ -100,13 +105,14 @@ def parse(text: str, salt: bytes = b"") -> Page:
         top = stack[-1]
         if top.candidate or top.tag:
             top.digest.update(s.strip().encode("utf-8", "surrogatepass"))
-        if not top.out:
+        if not top.mute:
             pending.append(s)
 
     def close() -> None:
         if stack[-1].tag not in INLINE:
             flush()
         e = stack.pop()
+        open_tags[e.tag] -= 1
         mine = e.digest.digest()
         stack[-1].digest.update(mine)
         if e.candidate:
@@ -115,7 +121,7 @@ def parse(text: str, salt: bytes = b"") -> Page:
             if e.tag in INLINE:
                 return
             for m in marks[e.from_block :]:
-                m[1].append(h)
+                m[2].append(h)
 
     for m in iter(_TOKEN.finditer(text)):
         if m.start() < at:
@@ -130,7 +136,7 @@ def parse(text: str, salt: bytes = b"") -> Page:
         if end:
             if tag in VOID:
                 continue
-            if any(e.tag == tag for e in stack[1:]):
+            if open_tags[tag] > 0:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -145,7 +151,7 @@ def parse(text: str, salt: bytes = b"") -> Page:
                 if stack[k].tag in SCOPE:
                     break
         if tag == "br":
-            if not stack[-1].out:
+            if not stack[-1].mute:
                 pending.append(" ")
             continue
         if tag not in INLINE:
@@ -176,7 +182,10 @@ def parse(text: str, salt: bytes = b"") -> Page:
         depth = top.article + (1 if is_article and not out else 0)
         seen_article = seen_article or (is_article and not out)
         candidate = tag not in ("html", "body", "article", "main") and not (top.article and tag in TEXT_BLOCKS) and not (tag in INLINE and top.article)
-        stack.append(_Element(tag, names, out, depth, len(blocks), candidate))
+        # Within a line, what is no article leaves no trace; a block of it is a block, and may be template.
+        mute = top.mute or (out and not top.out and tag in INLINE)
+        stack.append(_Element(tag, names, out, depth, len(blocks), candidate, mute))
+        open_tags[tag] += 1
         if rest.endswith("/") and tag not in TEXT_BLOCKS:
             close()
     rest = text[at:]
@@ -184,8 +193,8 @@ def parse(text: str, salt: bytes = b"") -> Page:
     while len(stack) > 1:
         close()
     flush()
-    kept = [(b, tuple(m[1])) for b, m in zip(blocks, marks) if m[0] or not seen_article]
-    return Page(list(subtrees), kept)
+    digest = int.from_bytes(hashlib.blake2b(root.digest.digest(), digest_size=8, salt=salt[:16]).digest(), "little", signed=True)
+    return Page(digest, list(subtrees), [(b, tuple(hashes), not out and (inside or not seen_article)) for b, (inside, out, hashes) in zip(blocks, marks)])
 
 
 def host_salt(url: str | None) -> bytes:
@@ -193,46 +202,52 @@ def host_salt(url: str | None) -> bytes:
     return hashlib.blake2b((host if url is not None else "\0").encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
-def main_text(page: Page, is_template: Callable[[int], bool]) -> str:
-    return " ".join(b for b, hashes in page.blocks if not any(map(is_template, hashes)))
+def main_text(page: Page, is_template: Callable[[int], bool]) -> tuple[str, int, int]:
+    """The text, and how many blocks went as template and by markup."""
+    left = [(b, ours) for b, hashes, ours in page.blocks if not any(map(is_template, hashes))]
+    kept = [b for b, ours in left if ours]
+    return " ".join(kept), len(page.blocks) - len(left), len(left) - len(kept)
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Hashes (which differ by host) of the subtrees that recur on a host's pages; ``pages`` has url and html."""
 
     @tidied
     def run(batches):
         for batch in batches:
             salts = [host_salt(u) for u in batch.column(0).to_pylist()]
-            found = [parse(t or "", s).subtrees for t, s in zip(batch.column(1).to_pylist(), salts)]
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(s, "little", signed=True) for s in salts], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "subtrees"])
+            found = [parse(t or "", s) for t, s in zip(batch.column(1).to_pylist(), salts)]
+            hosts = [int.from_bytes(s, "little", signed=True) for s in salts]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array([p.digest for p in found], pa.int64()), pa.array([p.subtrees for p in found], pa.list_(pa.int64()))], ["host", "page", "subtrees"])
 
-    seen = pages.select("url", "html").mapInArrow(run, "host long, subtrees array<long>")
+    seen = pages.select("url", "html").mapInArrow(run, "host long, page long, subtrees array<long>").dropDuplicates(["host", "page"])
     # Of each page, a row for itself (null) and one for each distinct subtree; counted within tasks first.
     counts = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
     often = written(counts.filter((F.col("n") >= least_pages) | F.col("h").isNull()), "subtrees")
     hosts = often.filter("h IS NULL").select("host", F.col("n").alias("pages"))
-    return often.filter("h IS NOT NULL").join(hosts, "host").filter(F.col("n") >= F.col("pages") * least_share).select("h")
+    return often.filter("h IS NOT NULL").join(hosts, "host").filter(F.col("n") * F.col("n") >= F.col("pages")).select("h")
 
 
 def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """page_id, url, text of each row of ``pages`` (page_id, url, html)."""
+    """page_id, url, text, n_template, n_markup (blocks that went) of each row of ``pages`` (page_id, url, html)."""
     spark = pages.sparkSession
     small_batches(spark)
     pages = pages.select("page_id", "url", "html")
     found = written(templates(pages), "templates")
-    schema = "page_id long, url string, text string"
-    names = ["page_id", "url", "text"]
+    schema = "page_id long, url string, text string, n_template int, n_markup int"
+    names, types = ["page_id", "url", "text", "n_template", "n_markup"], [pa.string(), pa.int32(), pa.int32()]
+
+    def told(batch: pa.RecordBatch, got: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array([g[k] for g in got], t) for k, t in enumerate(types)]], names)
+
     if found.count() <= most_broadcast:
         sent = spark.sparkContext.broadcast(frozenset(found.toPandas()["h"].tolist()))
 
         @tidied
-
         def run(batches):
             for batch in batches:
                 pages = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-                texts = [main_text(parse(t or "", host_salt(u)), sent.value.__contains__) for u, t in pages]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names)
+                yield told(batch, [main_text(parse(t or "", host_salt(u)), sent.value.__contains__) for u, t in pages])
 
         return pages.mapInArrow(run, schema)
 
@@ -251,12 +266,11 @@ def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame
     def with_own(batches):
         for batch in batches:
             rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
-            texts = [main_text(parse(t or "", host_salt(u)), frozenset(g or ()).__contains__) for u, t, g in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names)
+            yield told(batch, [main_text(parse(t or "", host_salt(u)), frozenset(g or ()).__contains__) for u, t, g in rows])
 
     return joined.mapInArrow(with_own, schema)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract(load(spark, sf_dir, "pages", "page_id", "url", "html"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template", "n_markup")

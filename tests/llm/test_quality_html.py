@@ -87,7 +87,7 @@ PAGES = [
 
 @pytest.mark.parametrize("page,want", PAGES)
 def test_markup(page, want):
-    assert H.main_text(H.parse(page or ""), lambda h: False) == want
+    assert H.main_text(H.parse(page or ""), lambda h: False)[0] == want
 
 
 def test_templates_go(spark, tmp_path):
@@ -127,4 +127,34 @@ def test_no_pages(spark, tmp_path):
 @pytest.mark.parametrize("tag", ['div style="overflow:hidden"', 'div aria-hidden="false"', 'p title="the hidden sea"', 'article class="commentary"', "main id='search'"])
 def test_elements_that_only_look_hidden_stay(tag):
     page = f"<body><{tag}>kept text</{tag.split()[0]}><div hidden>gone</div><div class=ad>gone</div></body>"
-    assert H.main_text(H.parse(page), lambda h: False) == "kept text"
+    assert H.main_text(H.parse(page), lambda h: False)[0] == "kept text"
+
+
+def test_counts_decide(spark, tmp_path):
+    """What recurs on a host's pages goes by its count alone, without a name that tells; copies of a page are one page."""
+    page = lambda i, extra="": f"<html><body><div><i>Home of site</i> <a href='/'>start</a></div><div>Tip {i % 6}: buy now</div><section><p>Story {i} is told here.</p></section>{extra}<div>All rights {i % 2}</div></body></html>"
+    rows = [(i, f"http://big.example/{i}", page(i)) for i in range(60)]
+    rows += [(100 + i, "http://copies.example/x", page(7)) for i in range(6)]  # one page, six times
+    rows += [(200 + i, f"http://few.example/{i}", page(i)) for i in range(3)]
+    rows += [(300, "http://named.example/", "<nav>menu</nav><article><p>Text</p><div class='ad'>Only here</div></article><footer>f</footer>"), (None, None, None), (300, "http://named.example/", "<p>again</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    got = H.op6_html_text(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.url and "big" in r.url:
+            assert r.text == f"Story {r.page_id} is told here." and r.n_template == 3 and r.n_markup == 0
+        elif r.url and ("copies" in r.url or "few" in r.url):
+            assert r.text.startswith("Home of site start Tip") and r.n_template == 0
+    assert sorted((r.text, r.n_template, r.n_markup) for r in got if r.page_id == 300) == [("Text", 0, 3), ("again", 0, 0)]
+    assert [(r.text, r.n_chars) for r in got if r.page_id is None] == [("", 0)]
+
+
+def test_very_long_and_deep_pages():
+    import time
+
+    deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
+    long = "<article>" + "<p>some words of it</p>" * 100_000 + "</article>"
+    began = time.time()
+    assert H.main_text(H.parse(deep), lambda h: False)[0] == "x"
+    assert H.main_text(H.parse(long), lambda h: False)[0].count("words") == 100_000
+    assert time.time() - began < 30
