@@ -175,6 +175,13 @@ def core_genes(spokes: DataFrame, genomes: int, single: bool = True, most_depth:
     return found.filter((F.col("_k") == 1) | (F.col("_s") < most_depth) | (F.col("_r") == 1)).select("component", "path", "depth", F.col("_k").alias("candidates"), F.col("_s").alias("depth_sum"))
 
 
+def component_report(groups: DataFrame, genomes: int) -> DataFrame:
+    """(component, groups, core, single, genes) of the groups of more than one gene: all, those with at least ``genomes`` genomes, and of these those with as many genes."""
+    core, n = F.col("n_genomes") >= genomes, F.size("gene_ids")
+    found = groups.filter(F.col("path").isNotNull() & (n > 1))
+    return found.groupBy(F.col("path")[0].alias("component")).agg(F.count(F.lit(1)).alias("groups"), F.count_if(core).alias("core"), F.count_if(core & (n == genomes)).alias("single"), F.sum(n).alias("genes"))
+
+
 def group_locations(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each group of more than one gene (og, gene), the node that shares most of it, then most of the node's; then the first path.
 

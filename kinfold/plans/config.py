@@ -1,4 +1,4 @@
-"""Parameters of an inference run, and their command line."""
+"""Parameters of an inference run, and the command line of runs."""
 
 from __future__ import annotations
 
@@ -25,11 +25,12 @@ class Config:
                 raise ValueError(f"{name} is one of {', '.join(allowed)}")
 
 
-def parse(argv: list[str] | None = None) -> Config:
-    p = argparse.ArgumentParser(description="Orthogroups and ortholog pairs from genomes and search results.")
-    for f in fields(Config):
+def parse(argv: list[str] | None = None, cls: type = Config, description: str = "Orthogroups and ortholog pairs from genomes and search results."):
+    """Parameters of a run; texts that are empty by default must be given."""
+    p = argparse.ArgumentParser(description=description)
+    for f in fields(cls):
         if f.type == "bool":
             p.add_argument(f"--{f.name}", action="store_true")
         else:
-            p.add_argument(f"--{f.name}", type={"str": str, "float": float, "int": int}[f.type], default=f.default, required=f.name in ("genomes", "hits", "output"))
-    return Config(**vars(p.parse_args(argv)))
+            p.add_argument(f"--{f.name}", type={"float": float, "int": int}.get(f.type, str), default=f.default, required=f.default == "")
+    return cls(**vars(p.parse_args(argv)))

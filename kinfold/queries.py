@@ -478,6 +478,13 @@ def group_totals(spark, d):
     return totals(hierarchy.orthogroups(fixed_hierarchy(spark, d)))
 
 
+@query(f"""WITH {HIERARCHY_SQL}, {GROUPS_SQL},
+c AS (SELECT path[1] AS component, len(list_distinct(genes)) AS n, len(list_distinct([split_part(g, '|', 1) FOR g IN genes])) AS k FROM groups WHERE len(list_distinct(genes)) > 1)
+SELECT CAST(component AS INTEGER) AS component, count(*) AS groups, count(*) FILTER (k >= 4) AS core, count(*) FILTER (k >= 4 AND n = 4) AS single, CAST(sum(n) AS BIGINT) AS genes FROM c GROUP BY 1""")
+def component_report(spark, d):
+    return hierarchy.component_report(hierarchy.orthogroups(fixed_hierarchy(spark, d)), genomes=4)
+
+
 @query()
 def leiden_hierarchy(spark, d):
     """Communities of the lines of orders: a line is a gene, its genome one of ten groups of suppliers; two lines of an order are the more alike the nearer their quantities."""

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__
 from kinfold import queries
+from kinfold.plans import annotation
 from kinfold.plans.config import Config, parse
 from kinfold.plans.inference import run
 
@@ -55,6 +56,24 @@ def test_config():
         Config(mode="x")
 
 
+def test_annotation_run(spark, tmp_path):
+    for name, text in {
+        "g/a.faa": ">a1 x\nMMMMMMMMMM\n>a2\nMMMMMMMMMM\n", "g/b.faa": ">b1\nMMMMMMMMMM\n", "r/COG1.fa": ">k one\nMMMMMMMMMM\n", "r/COG2.fa": ">k two\nMMMMMMMMMM\n",
+        "h/a.faa.out": "".join(f"{q}\t{s}\t{p}\t9\t0\t0\t1\t{e}\t1\t10\t{v}\t50\n" for q, s, p, e, v in [
+            ("a1", "k_COG1", 80, 10, 1e-9), ("a1", "k_COG2", 90, 10, 1e-9), ("a1", "k_COG2", 99, 2, 1e-9), ("a1", "k_COG1", 99, 10, 0.1), ("a2", "k_COG1", 30, 10, 1e-9), ("a2", "none_COG1", 90, 10, 1e-9)]) + "END\n",
+        "h/b.faa.out": "b1\tk_COG1\t70\t9\t0\t0\t1\t10\t10\t1\t1e-5\t50\n",
+    }.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    args = ["--genomes", f"{tmp_path}/g", "--reference", f"{tmp_path}/r", "--output", f"{tmp_path}/out"]
+    first = annotation.run(spark, parse(args, annotation.AnnotationConfig))
+    assert {r.genome for r in first["unfinished"].collect()} == {"a.faa", "b.faa"} and "annotations" not in first
+    assert "".join(sorted(p.read_text() for p in (tmp_path / "out/reference").glob("part*"))).count(">k_COG") == 2
+    out = annotation.run(spark, parse([*args, "--hits", f"{tmp_path}/h"], annotation.AnnotationConfig))
+    assert {(r.query, r.subject, r.pident, r.family) for r in out["annotations"].collect()} == {("a1", "k_COG2", 90.0, "COG2"), ("b1", "k_COG1", 70.0, "COG1")}
+    assert [r.genome for r in out["unfinished"].collect()] == ["b.faa"]
+
+
 def plain(v):
     if isinstance(v, float):
         return round(v, 6) + 0.0
