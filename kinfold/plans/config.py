@@ -17,6 +17,7 @@ class Config:
     coefficient: float = 1.0
     overlap: int = 0  # genomes that children of an I node may share
     seed: int = 0
+    sequences: bool = False  # write the sequences of each group, a folder for each
     resume: bool = False
 
     def __post_init__(self):

@@ -49,7 +49,9 @@ def run(spark: SparkSession, c: Config) -> dict[str, DataFrame]:
     alone = edges.singletons(genes.select(F.col("genome_id").alias("genome"), F.col("gene_idx").alias("gene")), network).select(code("genome", "gene").alias("gene"))
     groups = stage("groups", lambda: hierarchy.named_groups(hierarchy.with_singletons(hierarchy.orthogroups(nodes), alone)))
     pairs = stage("pairs", lambda: hierarchy.ortholog_pairs(nodes, groups))
-    text_tables.write_groups(groups, f"{c.output}/groups_tsv")
+    text_tables.write_groups(groups, f"{c.output}/groups_tsv", genes)
+    if c.sequences:
+        text_tables.write_group_sequences(groups, genes, f"{c.output}/group_sequences")
     text_tables.write_pairs(pairs, genes, f"{c.output}/pairs_tsv")
     return {"genomes": genomes, "genes": genes, "hits": hits, "nbs": nbs, "network": network, "hierarchy": nodes, "groups": groups, "pairs": pairs}
 

@@ -120,9 +120,28 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("quote", "\u0000").csv(path)
 
 
-def write_groups(groups: DataFrame, path: str) -> None:
-    """og, genome number, gene number and genes joined by spaces; group totals can be had from ``group_totals``."""
-    write_tsv(groups.select("og_id", "genome_num", "gene_num", F.array_join("gene_ids", " ").alias("genes")), path)
+def group_members(groups: DataFrame, genes: DataFrame) -> DataFrame:
+    """(og_id, genome_num, gene_num, place, and the columns of ``genes``): a row for each gene of a group, ``place`` its place there. ``genes`` has gene_code."""
+    return groups.select("og_id", "genome_num", "gene_num", F.posexplode("gene_ids").alias("place", "gene_code")).join(genes, "gene_code")
+
+
+def write_groups(groups: DataFrame, path: str, genes: DataFrame | None = None) -> None:
+    """og, genome number, gene number and genes joined by spaces: their original ids if ``genes`` (gene_code, orig_id) is given, else their codes."""
+    if genes is None:
+        named = groups.select("og_id", "genome_num", "gene_num", F.array_join("gene_ids", " ").alias("genes"))
+    else:
+        members = group_members(groups, genes.select("gene_code", "orig_id")).groupBy("og_id", "genome_num", "gene_num").agg(F.array_sort(F.collect_list(F.struct("place", "orig_id"))).alias("m"))
+        named = members.select("og_id", "genome_num", "gene_num", F.array_join(F.col("m.orig_id"), " ").alias("genes"))
+    write_tsv(named, path)
+
+
+def write_group_sequences(groups: DataFrame, genes: DataFrame, path: str, genes_per_file: int = 100_000) -> None:
+    """The sequences of each group as FASTA in a folder of its own; larger groups have several files, so that no task writes more of one group. ``genes`` has (gene_code, orig_id, seq)."""
+    from kinfold.sources.sequences import write_fasta
+
+    members = group_members(groups, genes.select("gene_code", "orig_id", "seq")).withColumn("part", F.expr(f"place div {int(genes_per_file)}"))
+    dealt = members.repartition("og_id", "part").sortWithinPartitions("og_id", "place")
+    write_fasta(dealt.select("og_id", F.col("orig_id").alias("header"), "seq"), path, by="og_id")
 
 
 def group_totals(groups: DataFrame) -> DataFrame:

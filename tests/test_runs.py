@@ -36,7 +36,13 @@ def test_inference(spark, tmp_path):
                         lines.append(f"G{a}|g{i}\tG{b}|g{j}\t{90 if same else 40}\t100\t0\t0\t1\t100\t1\t100\t1e-9\t{bits:.2f}\n")
             (tmp_path / "hits" / f"G{a}-G{b}.out").write_text("".join(lines))
     c = Config(genomes=str(tmp_path / "genomes"), hits=str(tmp_path / "hits"), output=str(tmp_path / "out"))
-    out = run(spark, c)
+    out = run(spark, Config(**{**c.__dict__, "sequences": True}))
+    lines = {r.split("\t")[0]: r.split("\t")[1:] for p in (tmp_path / "out/groups_tsv").glob("part*") for r in p.read_text().splitlines()}
+    ids = {r.gene_code: r.orig_id for r in out["genes"].collect()}
+    assert lines == {r.og_id: [str(r.genome_num), str(r.gene_num), " ".join(ids[g] for g in r.gene_ids)] for r in out["groups"].collect()}
+    for og, (_, n, names) in lines.items():
+        text = "".join(p.read_text() for p in (tmp_path / f"out/group_sequences/og_id={og}").glob("part*"))
+        assert [x.split("\n")[0] for x in text.split(">")[1:]] == names.split(" ") and text.count("MMM\n") == int(n)
     groups = {tuple(r.gene_ids) for r in out["groups"].collect()}
     genes = [g for ids in groups for g in ids]
     assert sorted(genes) == sorted(set(genes)) == sorted(f"G{a}|g{i}" for a in range(3) for i in range(6))
