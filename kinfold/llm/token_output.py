@@ -38,7 +38,7 @@ LEVEL = 3
 BLOCK_BYTES = 1 << 20
 END_ID = 2
 #: Distinct pieces of text whose ids a worker keeps.
-CACHE = 120_000
+CACHE = 250_000
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 white space, 3 lead byte of two-byte letters, 4 lead byte that needs a look
 _KIND[65:91] = _KIND[97:123] = 1
