@@ -24,12 +24,12 @@ def read_outfmt6(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def genome_hits(hits: DataFrame, genes: DataFrame) -> DataFrame:
-    """Hits between known genes, self hits left out, the last line of a repeated pair kept, with genomes and length product.
+    """Hits between known genes, self hits left out, the last line of a repeated pair kept, with genomes and length product; of lines in one place the greatest score and identity.
 
     ``genes`` has (gene_code, genome_id, gene_idx, seq_len).
     """
     g = genes.select("gene_code", "genome_id", "gene_idx", "seq_len")
-    last = Window.partitionBy("query", "subject").orderBy(F.desc("file"), F.desc("line_no"))
+    last = Window.partitionBy("query", "subject").orderBy(F.desc("file"), F.desc("line_no"), F.desc("bitscore"), F.desc("pident"))
     kept = hits.filter("query <> subject").withColumn("_r", F.row_number().over(last)).filter("_r = 1")
     q = g.select(F.col("gene_code").alias("query"), F.col("genome_id").alias("q_genome"), F.col("gene_idx").alias("q"), F.col("seq_len").alias("q_len"))
     r = g.select(F.col("gene_code").alias("subject"), F.col("genome_id").alias("r_genome"), F.col("gene_idx").alias("r"), F.col("seq_len").alias("r_len"))
