@@ -24,6 +24,6 @@ def best_annotation(hits: DataFrame, identity: float = 40, coverage: float = 20)
 
 
 def unfinished(genomes: DataFrame, output_lines: DataFrame) -> DataFrame:
-    """Genomes (genome) whose output (genome, line_no, line) doesn't end in an END marker."""
-    last = output_lines.groupBy("genome").agg(F.max_by("line", "line_no").alias("line")).filter(F.contains("line", F.lit("END")))
+    """Genomes (genome) whose output (genome, line_no, line) doesn't end in a line that is END."""
+    last = output_lines.groupBy("genome").agg(F.max_by("line", "line_no").alias("line")).filter(F.trim("line") == "END")
     return genomes.join(last, "genome", "left_anti")

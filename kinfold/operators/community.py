@@ -2,7 +2,9 @@
 
 A community of several genomes is divided until it can't be: of 10,000 genes and more into 20 to 50 parts, of fewer into
 exactly two, by a search for the resolution that gives as many; a pair splits into its genes. Small communities are
-divided to the end in one task; larger ones level by level, their edges dealt out anew by community each time.
+divided to the end in one task. Larger ones go level by level: one that is too large for a task is coarsened first
+(``coarsen``), the resolutions of a round are tried side by side, each in a task of its own, and the parts found on the
+coarse graph are carried back to the genes, which may then still move between them.
 """
 
 from __future__ import annotations
@@ -10,20 +12,27 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.scalars import genome_of
+from kinfold.functions.scalars import genome_of, resolution_gamma
+from kinfold.operators.coarsen import coarsen, settle
 from kinfold.operators.components import connected_components
 from kinfold.operators.hierarchy import attributes
-from kinfold.operators.leiden import partition
-from kinfold.plans.tables import numbered, written
+from kinfold.operators.leiden import gamma_at, search, weighted
+from kinfold.plans.tables import discard, numbered, written
 
 LARGE, PARTS_LARGE = 10_000, (20, 50)
 #: Size from which the resolution is bracketed first; size below which one task divides a community to the end.
-BRACKETED, IN_ONE_TASK = 1000, 5000
-#: Bisections. The interval is then below a double's precision, so more would change nothing.
+BRACKETED, IN_ONE_TASK = 1000, 1000
+#: Bisections in one task. The interval is then below a double's precision, so more would change nothing.
 MOST_STEPS = 60
+#: Nodes and links of a graph that one task divides once; larger communities are coarsened.
+TASK_NODES, TASK_LINKS = 5000, 100_000
+#: Resolutions that are tried side by side, and rounds of that; the first rounds may look for an upper bound, each step of which is half as much again.
+TRIALS, MOST_ROUNDS, GROWTH = 16, 12, 1.5
+#: Rounds in which genes may move between the parts found on a coarse graph.
+SETTLE = 2
 
 
 def initial_resolution(n: int, coefficient: float) -> float:
@@ -39,10 +48,12 @@ def divide(n: int, edges: list[tuple[int, int, float]], genomes: int, quality: s
     start, stop = PARTS_LARGE if n >= LARGE else (2, 2)
     left, right = 0.0, 1.0
     count = lambda p: max(p) + 1
+    graph = weighted(n, edges, quality)
+    at = lambda resolution: search(graph, gamma_at(graph, quality, resolution), seed)
     if n >= BRACKETED:
         right = initial_resolution(n, coefficient)
         for _ in range(200):
-            part, _q = partition(n, edges, quality, right, seed)
+            part, _q = at(right)
             if count(part) > stop:
                 break
             if count(part) >= start:
@@ -50,7 +61,7 @@ def divide(n: int, edges: list[tuple[int, int, float]], genomes: int, quality: s
             left, right = right, right * 1.5
     part, q = None, None
     for _ in range(MOST_STEPS):
-        part, q = partition(n, edges, quality, (left + right) / 2, seed)
+        part, q = at((left + right) / 2)
         if count(part) < start:
             left = (left + right) / 2
         elif count(part) > stop:
@@ -61,51 +72,128 @@ def divide(n: int, edges: list[tuple[int, int, float]], genomes: int, quality: s
     return (part, q) if fits else (None, None)
 
 
-def _tree(key: str, genes: list[str], edges: list[tuple[str, str, float]], once: bool, quality: str, coefficient: float, seed: int) -> list[tuple[str, str, float | None, bool]]:
-    """(path, gene, quality, finished) of all nodes at and below a community, or of its division alone."""
+def _tree(key: str, genes: list[str], edges: list[tuple[str, str, float]], quality: str, coefficient: float, seed: int) -> list[tuple[str, str, float | None]]:
+    """(path, gene, quality) of all nodes at and below a community."""
     out, todo = [], [(key, sorted(genes), edges)]
     while todo:
         path, genes, edges = todo.pop()
         at = {g: i for i, g in enumerate(genes)}
-        part, q = divide(len(genes), [(at[a], at[b], w) for a, b, w in edges], len({g.split("|")[0] for g in genes}), quality, coefficient, seed)
-        out += [(path, g, q, True) for g in genes]
+        part, q = divide(len(genes), sorted((at[a], at[b], w) for a, b, w in edges), len({g.split("|")[0] for g in genes}), quality, coefficient, seed)
+        out += [(path, g, q) for g in genes]
         if part is None:
             continue
         order = {c: k for k, c in enumerate(dict.fromkeys(part))}
         of = {g: order[part[i]] for g, i in at.items()}
-        kids = [(f"{path}-{k}", [g for g in genes if of[g] == k], [e for e in edges if of[e[0]] == k == of[e[1]]]) for k in range(len(order))]
-        if once:
-            out += [(p, g, None, False) for p, gs, _ in kids for g in gs]
-        else:
-            todo += kids
+        todo += [(f"{path}-{k}", [g for g in genes if of[g] == k], [e for e in edges if of[e[0]] == k == of[e[1]]]) for k in range(len(order))]
     return out
 
 
-def hierarchy(edges: DataFrame, weight: str = "nbs", quality: str = "rber", coefficient: float = 1.0, seed: int = 0, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+def _outcome(r: Column, start: Column, stop: Column) -> tuple[Column, Column, Column]:
+    """Of a round's tries ``r``, an array of (resolution, parts, q) by resolution: the first with a wanted number of parts, and the resolutions next to where there are too many."""
+    fits = F.get(F.filter(r, lambda x: (x["parts"] >= start) & (x["parts"] <= stop)), F.lit(0))
+    over = F.get(F.filter(r, lambda x: x["parts"] > stop), F.lit(0))["resolution"]
+    under = F.array_max(F.transform(F.filter(r, lambda x: (x["parts"] < start) & (over.isNull() | (x["resolution"] < over))), lambda x: x["resolution"]))
+    return fits, under, over
+
+
+def search_resolutions(nodes: DataFrame, links: DataFrame, genes: DataFrame, quality: str, coefficient: float, seed: int, trials: int = TRIALS) -> DataFrame:
+    """(path, node, part, q, gamma) of the communities that can be divided.
+
+    ``nodes`` (path, node, weight) and ``links`` (path, a, b, w) are graphs that fit a task, ``genes`` (path, n) the sizes of the
+    communities. Each round tries ``trials`` resolutions of every community that is still open, as rows, and keeps the interval
+    between the last with too few parts and the first with too many; so a round narrows it by ``trials`` + 1.
+    """
+    wide = F.col("n") >= LARGE
+    limits = [F.when(wide, PARTS_LARGE[0]).otherwise(2).alias("start"), F.when(wide, PARTS_LARGE[1]).otherwise(2).alias("stop")]
+    first = F.when(F.col("n") >= BRACKETED, resolution_gamma(F.col("n"), coefficient)).otherwise(F.lit(1.0))
+    todo = written(genes.select("path", "n", *limits, F.lit(0.0).alias("left"), first.alias("right"), (F.col("n") >= BRACKETED).alias("open")), "brackets")
+    vertices = nodes.select("path", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.col("weight").alias("w"))
+    graph = vertices.unionByName(links.select("path", "a", "b", "w"))
+    sizes = quality not in ("rbcv", "mvp")
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, rows = pdf[pdf.b.isna()].sort_values("a"), pdf[pdf.b.notna()].sort_values(["a", "b"])
+        names = own.a.tolist()
+        at = {x: i for i, x in enumerate(names)}
+        g = weighted(len(names), [(at[a], at[b], w) for a, b, w in zip(rows.a, rows.b, rows.w)], quality, own.w.tolist() if sizes else None)
+        gamma = gamma_at(g, quality, pdf.resolution.iloc[0])
+        part, q = search(g, gamma, seed)
+        return pd.DataFrame({"path": pdf.path.iloc[0], "resolution": pdf.resolution.iloc[0], "gamma": gamma, "node": names, "part": part, "parts": max(part) + 1, "q": q})
+
+    shape = "path string, resolution double, gamma double, node string, part int, parts int, q double"
+    found: DataFrame | None = None
+    for k in range(MOST_ROUNDS):
+        steps = F.sequence(F.lit(0), F.lit(trials - 1))
+        up = F.transform(steps, lambda i: F.col("right") * F.pow(F.lit(GROWTH), i))
+        between = F.transform(steps, lambda i: F.col("left") + (F.col("right") - F.col("left")) * (i + 1) / (trials + 1))
+        asked = todo.select("path", F.explode(F.when(F.col("open"), up).otherwise(between)).alias("resolution"))
+        tried = written(graph.join(asked, "path").groupBy("path", "resolution").applyInPandas(work, shape), "tries")
+        told = tried.groupBy("path", "resolution").agg(F.first("parts").alias("parts"), F.first("q").alias("q"))
+        told = told.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("resolution", "parts", "q"))).alias("r"))
+        fits, under, over = _outcome(F.col("r"), F.col("start"), F.col("stop"))
+        state = todo.join(told, "path").select("*", fits.alias("fits"), under.alias("under"), over.alias("over"))
+        # At the end, a large community is divided by the fewest parts there are, if it can be divided at all.
+        last = F.when(F.lit(k == MOST_ROUNDS - 1) & (F.col("n") >= LARGE), F.get(F.filter("r", lambda x: x["parts"] > F.col("stop")), F.lit(0)))
+        # Nothing is between two resolutions that are this near.
+        closed = ~F.col("open") & ((F.col("right") - F.col("left")) <= F.col("right") * 1e-12)
+        state = written(state.withColumn("take", F.coalesce("fits", last)).withColumn("closed", closed), "brackets")
+        part = tried.join(state.filter("take IS NOT NULL").select("path", "open", F.col("take.resolution").alias("resolution")), ["path", "resolution"])
+        part = written(part.select("path", "node", "part", F.when(~F.col("open"), F.col("q")).alias("q"), "gamma"), "parts")
+        found = part if found is None else found.unionByName(part)
+        left, right = F.coalesce("under", "left"), F.coalesce("over", F.when(F.col("open"), F.element_at("r", -1)["resolution"] * GROWTH).otherwise(F.col("right")))
+        spent = todo
+        todo = written(state.filter("take IS NULL AND NOT closed").select("path", "n", "start", "stop", left.alias("left"), right.alias("right"), (F.col("open") & F.col("over").isNull()).alias("open")), "brackets")
+        discard(spent, tried, state)
+        if todo.isEmpty():
+            break
+    return found
+
+
+def divided(members: DataFrame, links: DataFrame, genes: DataFrame, quality: str, coefficient: float, seed: int, task_nodes: int = TASK_NODES, task_links: int = TASK_LINKS) -> DataFrame:
+    """(path, gene, part, q) of large communities, part by part numbered by the least gene. ``members`` (path, gene), ``links`` (path, src, dst, w), ``genes`` (path, n)."""
+    strength = quality in ("rbcv", "mvp")
+    place, nodes, coarse = coarsen(members, links, task_nodes, task_links, strength)
+    parts = search_resolutions(nodes, coarse, genes, quality, coefficient, seed)
+    of = written(place.join(parts, ["path", "node"]).select("path", "gene", F.col("part").cast("string").alias("part"), "q", "gamma"), "placed")
+    if not place.filter(F.col("gene") != F.col("node")).isEmpty():
+        told = of.groupBy("path").agg(F.max("q").alias("q"), F.max("gamma").alias("gamma"))
+        settled = settle(of.select("path", F.col("gene").alias("node"), F.col("part").alias("c")), links, told.select("path", "gamma"), strength, SETTLE)
+        of = settled.select("path", F.col("node").alias("gene"), F.col("c").alias("part")).join(told.select("path", "q"), "path")
+    least = of.groupBy("path", "part").agg(F.min("gene").alias("first"))
+    number = least.select("path", "part", (F.row_number().over(Window.partitionBy("path").orderBy("first")) - 1).alias("k"))  # a row for each part
+    return of.join(number, ["path", "part"]).select("path", "gene", F.col("k").alias("part"), "q")
+
+
+def hierarchy(edges: DataFrame, weight: str = "nbs", quality: str = "rber", coefficient: float = 1.0, seed: int = 0, in_one_task: int = IN_ONE_TASK, task_nodes: int = TASK_NODES, task_links: int = TASK_LINKS) -> DataFrame:
     """Nodes (path, gene_ids, genome_ids, n_genes, n_genomes, quality) of ``edges`` (src, dst, weight); genes are codes ``G0|g1``."""
     edges = edges.select("src", "dst", F.col(weight).cast("double").alias("w"))
     ids = connected_components(edges)
     names = numbered(ids.select("component").distinct(), [F.asc("component")], "n").select("component", F.col("n").cast("string").alias("path"))
     members = written(ids.join(names, "component").select("path", F.col("node").alias("gene")), "members")
-    links = edges
     done: DataFrame | None = None
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         genes = pdf.loc[pdf.dst.isna(), "src"].tolist()
         rows = pdf[pdf.dst.notna()]
-        got = _tree(pdf.path.iloc[0], genes, list(zip(rows.src, rows.dst, rows.w)), len(genes) >= in_one_task, quality, coefficient, seed)
-        return pd.DataFrame(got, columns=["path", "gene", "quality", "finished"]).astype({"quality": float})
+        got = _tree(pdf.path.iloc[0], genes, list(zip(rows.src, rows.dst, rows.w)), quality, coefficient, seed)
+        return pd.DataFrame(got, columns=["path", "gene", "quality"]).astype({"quality": float})
 
     while True:
         s, d = members.select("path", F.col("gene").alias("src")), members.select("path", F.col("gene").alias("dst"))
-        inside = links.join(s, "src").join(d, ["path", "dst"]).select("path", "src", "dst", "w")
-        rows = inside.unionByName(members.select("path", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("w")))
-        got = written(rows.groupBy("path").applyInPandas(work, "path string, gene string, quality double, finished boolean"), "communities")
-        part = got.filter("finished")
-        done = part if done is None else done.unionByName(part)
-        members = got.filter("NOT finished").select("path", "gene")
-        if members.isEmpty():
+        inside = written(edges.join(s, "src").join(d, ["path", "dst"]).select("path", "src", "dst", "w"), "inside")
+        sizes = written(members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(genome_of(F.col("gene"))).alias("a"), F.max(genome_of(F.col("gene"))).alias("b")), "sizes")
+        large = sizes.filter((F.col("n") >= in_one_task) & (F.col("a") != F.col("b"))).select("path", "n")
+        of = lambda t, how: t.join(large.select("path"), "path", how)
+        rows = of(inside, "left_anti").unionByName(of(members, "left_anti").select("path", F.col("gene").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("w")))
+        got = written(rows.groupBy("path").applyInPandas(work, "path string, gene string, quality double"), "communities")
+        done = got if done is None else done.unionByName(got)
+        if large.isEmpty():
             break
+        huge = written(of(members, "left_semi"), "huge")
+        parts = written(divided(huge, of(inside, "left_semi"), large, quality, coefficient, seed, task_nodes, task_links), "divided")
+        done = done.unionByName(huge.join(parts.select("path", "gene", F.col("q").alias("quality")), ["path", "gene"], "left").select("path", "gene", "quality"))
+        spent, members = [members, inside], written(parts.select(F.concat_ws("-", "path", "part").alias("path"), "gene"), "members")
+        discard(*spent)
     named = done.select(F.transform(F.split("path", "-"), lambda x: x.cast("int")).alias("path"), "gene", genome_of(F.col("gene")).alias("genome"), "quality")
     named = named.withColumn("quality", F.when(F.isnan("quality"), None).otherwise(F.col("quality")))
     return attributes(named).join(named.groupBy("path").agg(F.max("quality").alias("quality")), "path")

@@ -28,17 +28,28 @@ class Graph:
         self.weight = weights or [1.0] * n
 
 
-def scaled(n: int, edges: list[tuple[int, int, float]], quality: str, resolution: float) -> tuple[Graph, float]:
-    """The graph with node weights, and ``gamma``, of a quality at a resolution (which modularity hasn't)."""
-    g = Graph(n, edges)
-    if quality == "cmp":
-        return g, resolution
-    if quality == "rber":
-        return g, resolution * (g.total / (n * (n - 1) / 2) if n > 1 else 0.0)
+def scaled(n: int, edges: list[tuple[int, int, float]], quality: str, resolution: float, sizes: list[float] | None = None) -> tuple[Graph, float]:
+    """The graph with node weights, and ``gamma``, of a quality at a resolution (which modularity hasn't). ``sizes``: how many vertices each node stands for; a node's own links are loops."""
+    g = weighted(n, edges, quality, sizes)
+    return g, gamma_at(g, quality, resolution)
+
+
+def weighted(n: int, edges: list[tuple[int, int, float]], quality: str, sizes: list[float] | None = None) -> Graph:
+    if quality not in QUALITIES:
+        raise ValueError(f"no quality {quality}")
+    g = Graph(n, edges, sizes)
     if quality in ("rbcv", "mvp"):
         g.weight = [sum(a.values()) + 2 * x for a, x in zip(g.adj, g.loops)]
-        return g, (1.0 if quality == "mvp" else resolution) / (2 * g.total or 1.0)
-    raise ValueError(f"no quality {quality}")
+    return g
+
+
+def gamma_at(g: Graph, quality: str, resolution: float) -> float:
+    if quality == "cmp":
+        return resolution
+    if quality == "rber":
+        n = sum(g.weight)
+        return resolution * (g.total / (n * (n - 1) / 2) if n > 1 else 0.0)
+    return (1.0 if quality == "mvp" else resolution) / (2 * g.total or 1.0)
 
 
 def value(g: Graph, gamma: float, part: list[int]) -> float:
@@ -122,12 +133,16 @@ def _renumbered(part: list[int]) -> list[int]:
 
 def partition(n: int, edges: list[tuple[int, int, float]], quality: str = "rber", resolution: float = 1.0, seed: int = 0, iterations: int = ITERATIONS) -> tuple[list[int], float]:
     """(community of each node, quality). The same seed gives the same result."""
-    g0, gamma = scaled(n, edges, quality, resolution)
+    return search(*scaled(n, edges, quality, resolution), seed, iterations)
+
+
+def search(g0: Graph, gamma: float, seed: int = 0, iterations: int = ITERATIONS) -> tuple[list[int], float]:
+    """``partition`` of a graph that has been made."""
     rng = random.Random(seed)
-    part = list(range(n))
+    part = list(range(g0.n))
     for _ in range(iterations):
         before = value(g0, gamma, part)
-        g, level, at = g0, _renumbered(part), list(range(n))  # at: each node's place in the aggregate
+        g, level, at = g0, _renumbered(part), list(range(g0.n))  # at: each node's place in the aggregate
         while True:
             moved = _move(g, gamma, level, rng)
             level = _renumbered(level)

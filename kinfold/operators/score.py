@@ -3,7 +3,8 @@
 Hits are rows (q_genome, r_genome, q, r, bitscore, len_product, ...). A pair's hits, sorted by length product, fall into
 bins of a fixed number of rows; a bin takes in the first row of the next. Rows at or above their bin's 95th percentile fit
 ``log10(score) = A log10(len_product) + B``, and every hit's score is divided by the fitted one. A pair with one hit loses
-it; where all lengths are equal, A is 0 and B the mean.
+it; where all lengths are equal, A is 0 and B the mean. Ranks and counts are worked out over ranges of rows, so a pair may
+be larger than a task; windows are over bins alone.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.plans.tables import ranked, written
+
 PAIR = ["q_genome", "r_genome"]
 #: Hits from which a pair is binned; rows of a bin beyond these numbers of hits.
 LEAST_BINNED, WIDTHS, NARROW = 100, ((5000, 1000), (1000, 200)), 20
@@ -19,10 +22,7 @@ TOP = 0.95
 
 def retained(hits: DataFrame) -> DataFrame:
     """Rows that enter the fit; the row shared by two bins may enter twice."""
-    pair = Window.partitionBy(*PAIR)
-    rows = hits.filter("bitscore <> 0").select(*PAIR, "q", "r", "len_product", "bitscore")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(pair)).filter("n > 1")
-    rows = rows.withColumn("rn", F.row_number().over(pair.orderBy("len_product", "q", "r")) - 1)
+    rows = ranked(hits.filter("bitscore <> 0").select(*PAIR, "q", "r", "len_product", "bitscore"), PAIR, ["len_product", "q", "r"]).filter("n > 1")
     width = F.when(F.col("n") > WIDTHS[0][0], WIDTHS[0][1]).when(F.col("n") > WIDTHS[1][0], WIDTHS[1][1]).otherwise(NARROW)
     rows = rows.withColumn("w", width).withColumn("k", F.expr("rn div w"))
     edge = (F.col("rn") > 0) & (F.col("rn") % F.col("w") == 0)
@@ -41,5 +41,6 @@ def coefficients(hits: DataFrame) -> DataFrame:
 
 def normalize(hits: DataFrame) -> DataFrame:
     """``hits`` with ``nbs``; pairs without a fit vanish."""
+    hits = written(hits.filter("bitscore <> 0"), "hits")  # read three times: to find ranges, to sort, to be divided
     fitted = F.pow(F.lit(10.0), F.col("b")) * F.pow(F.col("len_product").cast("double"), F.col("a"))
-    return hits.filter("bitscore <> 0").join(coefficients(hits), PAIR).withColumn("nbs", F.col("bitscore") / fitted).drop("a", "b")
+    return hits.join(coefficients(hits), PAIR).withColumn("nbs", F.col("bitscore") / fitted).drop("a", "b")

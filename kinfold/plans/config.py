@@ -18,6 +18,7 @@ class Config:
     overlap: int = 0  # genomes that children of an I node may share
     seed: int = 0
     sequences: bool = False  # write the sequences of each group, a folder for each
+    gml: bool = False  # write network, hierarchy and the hierarchy with groups' names as GML
     resume: bool = False
 
     def __post_init__(self):

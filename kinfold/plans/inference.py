@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators import community, edges, hierarchy, score
 from kinfold.plans.config import Config, parse
 from kinfold.plans.tables import swept
 from kinfold.sources import hits as hit_source
-from kinfold.sources import sequences, text_tables
+from kinfold.sources import gml, sequences, text_tables
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
@@ -22,6 +22,13 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _coded() -> list[Column]:
+    """The codes of an edge's genes."""
+    code = lambda genome, gene: F.concat(F.lit("G"), F.col(genome), F.lit("|g"), F.col(gene))
+    # Within a genome, source and destination may have been turned; both genomes are the same then.
+    return [code("src_genome", "src").alias("src"), code("dst_genome", "dst").alias("dst")]
+
+
 def run(spark: SparkSession, c: Config) -> dict[str, DataFrame]:
     def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{c.output}/{name}"
@@ -43,8 +50,7 @@ def run(spark: SparkSession, c: Config) -> dict[str, DataFrame]:
     nbs = stage("nbs", lambda: score.normalize(hits))
     network = stage("network", lambda: edges.network_edges(edges.retain(nbs, c.mode)))
     code = lambda genome, gene: F.concat(F.lit("G"), F.col(genome), F.lit("|g"), F.col(gene))
-    turned = F.col("src_genome"), F.col("dst_genome")
-    coded = network.select(F.concat(F.lit("G"), turned[0], F.lit("|g"), F.col("src")).alias("src"), F.concat(F.lit("G"), turned[1], F.lit("|g"), F.col("dst")).alias("dst"), "nbs", "bs", "sim")
+    coded = network.select(*_coded(), "nbs", "bs", "sim")
     nodes = stage("hierarchy", lambda: hierarchy.label_events(community.hierarchy(coded, c.weight, c.quality, c.coefficient, c.seed), c.overlap))
     alone = edges.singletons(genes.select(F.col("genome_id").alias("genome"), F.col("gene_idx").alias("gene")), network).select(code("genome", "gene").alias("gene"))
     groups = stage("groups", lambda: hierarchy.named_groups(hierarchy.with_singletons(hierarchy.orthogroups(nodes), alone)))
@@ -52,6 +58,15 @@ def run(spark: SparkSession, c: Config) -> dict[str, DataFrame]:
     text_tables.write_groups(groups, f"{c.output}/groups_tsv", genes)
     if c.sequences:
         text_tables.write_group_sequences(groups, genes, f"{c.output}/group_sequences")
+    if c.gml:
+        named = genomes.select("genome_code", "file")
+        graphs = {
+            "ssn": gml.network_graph(network.select(*_coded(), "nbs", "nbs_rev", "bs", "bs_rev", "sim", "sim_rev"), genes),
+            "hierarchy": gml.hierarchy_graph(nodes),
+            "orthogroups": gml.final_graph(nodes, groups.filter("path IS NOT NULL"), genes.select("gene_code", "orig_id"), named),
+        }
+        for name, (vertices, links) in graphs.items():
+            gml.write_gml(vertices, links, f"{c.output}/{name}_gml")
     text_tables.write_pairs(pairs, genes, f"{c.output}/pairs_tsv")
     return {"genomes": genomes, "genes": genes, "hits": hits, "nbs": nbs, "network": network, "hierarchy": nodes, "groups": groups, "pairs": pairs}
 

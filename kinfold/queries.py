@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import scalars
-from kinfold.operators import annotate, community, components, edges, evaluate, hierarchy, score
+from kinfold.operators import annotate, community, components, edges, evaluate, hierarchy, score, stars
+from kinfold.plans.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,15 +134,13 @@ def retain_ar(spark, d):
 
 
 EDGES_SQL = """
-fwd AS (SELECT * FROM kept WHERE q_genome < r_genome OR (q_genome = r_genome AND q < r)),
-rev AS (SELECT * FROM kept WHERE NOT (q_genome < r_genome OR (q_genome = r_genome AND q < r))),
-joined AS (SELECT coalesce(f.q_genome, r.r_genome) AS src_genome, coalesce(f.r_genome, r.q_genome) AS dst_genome, coalesce(f.q, r.r) AS a, coalesce(f.r, r.q) AS b,
-                  f.q IS NULL AS back, coalesce(f.nbs, r.nbs) AS nbs, CASE WHEN f.q IS NULL THEN 0 ELSE coalesce(r.nbs, 0) END AS nbs_rev,
-                  coalesce(f.bitscore, r.bitscore) AS bs, CASE WHEN f.q IS NULL THEN 0 ELSE coalesce(r.bitscore, 0) END AS bs_rev,
-                  coalesce(f.identity, r.identity) AS sim, CASE WHEN f.q IS NULL THEN 0 ELSE coalesce(r.identity, 0) END AS sim_rev
-           FROM fwd f FULL JOIN rev r ON f.q = r.r AND f.r = r.q),
+sided AS (SELECT q_genome < r_genome OR (q_genome = r_genome AND q < r) AS fwd, q_genome, r_genome, q, r, nbs, bitscore, identity FROM kept),
+merged AS (SELECT CASE WHEN fwd THEN q_genome ELSE r_genome END AS src_genome, CASE WHEN fwd THEN r_genome ELSE q_genome END AS dst_genome, CASE WHEN fwd THEN q ELSE r END AS a, CASE WHEN fwd THEN r ELSE q END AS b,
+                NOT bool_or(fwd) AS back, max(nbs) FILTER (fwd) AS f1, max(nbs) FILTER (NOT fwd) AS r1, max(bitscore) FILTER (fwd) AS f2, max(bitscore) FILTER (NOT fwd) AS r2,
+                max(identity) FILTER (fwd) AS f3, max(identity) FILTER (NOT fwd) AS r3 FROM sided GROUP BY 1, 2, 3, 4),
 ssn AS (SELECT src_genome, dst_genome, CASE WHEN back AND src_genome = dst_genome THEN b ELSE a END AS src, CASE WHEN back AND src_genome = dst_genome THEN a ELSE b END AS dst,
-               nbs, nbs_rev, bs, bs_rev, sim, sim_rev FROM joined)"""
+               CASE WHEN back THEN r1 ELSE f1 END AS nbs, CASE WHEN back THEN 0 ELSE coalesce(r1, 0) END AS nbs_rev, CASE WHEN back THEN r2 ELSE f2 END AS bs, CASE WHEN back THEN 0 ELSE coalesce(r2, 0) END AS bs_rev,
+               CASE WHEN back THEN r3 ELSE f3 END AS sim, CASE WHEN back THEN 0 ELSE coalesce(r3, 0) END AS sim_rev FROM merged)"""
 _KEPT = _BASE + "," + BH_SQL + "," + RBH_SQL + "," + LRB_SQL
 
 
@@ -497,6 +496,22 @@ def leiden_hierarchy(spark, d):
     return hierarchy.label_events(nodes).select(_named().alias("node"), "n_genes", "n_genomes", "quality", "event")
 
 
+@query()
+def part_communities(spark, d):
+    """Communities of one connected graph of all parts: parts of one brand that stand in one order, in all lines, are linked by the number of their common orders and the likeness of their sizes, and each part weakly with the next one. A part's genome is its type."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.concat("p_type", F.lit("|"), "p_partkey").alias("gene"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).join(part.select("p", "brand"), "p").distinct()
+    a, b = lines.alias("a"), lines.alias("b")
+    e = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.brand") == F.col("b.brand")) & (F.col("a.p") < F.col("b.p")))
+    e = e.groupBy(F.col("a.p").alias("x"), F.col("b.p").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    chain = part.select(F.col("p").alias("x"), (F.col("p") + 1).alias("y"), F.lit(0.02).alias("w"))
+    x, y = part.select(F.col("p").alias("x"), F.col("size").alias("sx"), F.col("gene").alias("src")), part.select(F.col("p").alias("y"), F.col("size").alias("sy"), F.col("gene").alias("dst"))
+    all_links = e.unionByName(chain).groupBy("x", "y").agg(F.sum("w").alias("w")).join(x, "x").join(y, "y")
+    near = F.least("sx", "sy") / F.greatest("sx", "sy")
+    nodes = community.hierarchy(all_links.select("src", "dst", (F.col("w") * near).alias("nbs")))
+    return hierarchy.label_events(nodes).select(_named().alias("node"), "n_genes", "n_genomes", "quality", "event")
+
+
 # --- the rest of the analysis ------------------------------------------------------------------------------------
 
 _BRANDS_SQL = "b AS (SELECT p_brand || ':' || CAST(p_partkey % 100 // 25 AS VARCHAR) AS og, 'G' || CAST(p_size % 8 AS VARCHAR) || '|g' || CAST(p_partkey AS VARCHAR) AS gene FROM part)"
@@ -588,6 +603,41 @@ def star_flattening(spark, d):
     return hierarchy.stars(fixed_hierarchy(spark, d)).select("star", _named().alias("node"), "depth")
 
 
+# A group is named by its node; two of three have an annotation, which its genes make.
+_STAR_SQL = f"""{HIERARCHY_SQL}, {GROUPS_SQL},
+og AS (SELECT path, 'OG' || {_PATH} AS og, min(len(genes)) AS n FROM groups GROUP BY 1, 2),
+own AS (SELECT n.path, n.n_genes, n.n_genomes, og.og, og.n, count(*) OVER (PARTITION BY n.path[1]) AS k FROM nodes n LEFT JOIN og ON og.path = n.path),
+sn AS (SELECT path[1] AS component, 'CC' || lpad(CAST(path[1] AS VARCHAR), 5, '0') AS star, len(path) = 1 AND k > 1 AS centre, path, og, n, len(path) - 1 AS depth, n_genes, n_genomes FROM own
+       WHERE len(path) = 1 AND k > 1 OR n_genes > 1 AND (len(path) = 1 OR og IS NOT NULL)),
+stars AS (SELECT component, star, CASE WHEN centre THEN star ELSE coalesce(og, 'None') END AS name, depth, n_genes, n_genomes,
+          CASE WHEN NOT centre AND n % 3 <> 0 THEN 'COG' || n ELSE 'None' END AS cog_id, CASE WHEN NOT centre AND n % 3 <> 0 THEN chr(CAST(65 + n % 5 AS INTEGER)) ELSE 'None' END AS cog_c FROM sn)"""
+
+
+def _star_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = written(fixed_hierarchy(spark, d), "nodes")
+    groups = hierarchy.orthogroups(nodes).select("path", F.concat(F.lit("OG"), _named()).alias("og_id"), F.col("gene_num").alias("n"))
+    n = F.col("n")
+    said = groups.filter(n % 3 != 0).select(F.col("og_id").alias("og"), F.concat(F.lit("COG"), n).alias("cog_id"), F.char((65 + n % 5).cast("int")).alias("cog_c"), F.lit("None").alias("genes"), F.lit("None").alias("pathway"))
+    return stars.star_nodes(nodes, groups, said)
+
+
+@query(f"WITH {_STAR_SQL} SELECT star, name, CAST(depth AS INTEGER) AS depth, CAST(n_genes AS INTEGER) AS n_genes, CAST(n_genomes AS INTEGER) AS n_genomes, cog_id, cog_c FROM stars")
+def star_attributes(spark, d):
+    return _star_nodes(spark, d).select("star", "name", "depth", "n_genes", "n_genomes", "cog_id", "cog_c")
+
+
+@query(f"""WITH {_STAR_SQL}, z AS (SELECT *, count(*) OVER (PARTITION BY component) AS m FROM stars),
+e AS (SELECT m > 2 AS linked, CASE WHEN m <= 2 THEN '<=2' WHEN m <= 10 THEN '<=10' WHEN m <= 50 THEN '<=50' WHEN m <= 200 THEN '<=200' ELSE '>200' END AS size_class, star, cog_c, n_genes FROM z),
+l AS (SELECT 'star' AS level, linked, size_class, star, cog_c, n_genes FROM e UNION ALL SELECT 'size_class', linked, size_class, NULL, cog_c, n_genes FROM e
+  UNION ALL SELECT 'linked', linked, NULL, NULL, cog_c, n_genes FROM e UNION ALL SELECT 'all', NULL, NULL, NULL, cog_c, n_genes FROM e),
+c AS (SELECT level, linked, size_class, star, cog_c, count(*) AS n, sum(n_genes) AS g FROM l GROUP BY ALL),
+p AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY level, linked, size_class, star) AS DOUBLE) AS share FROM c)
+SELECT level, linked, size_class, star, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(g) AS BIGINT) AS genes, CAST(sum(CASE WHEN cog_c <> 'None' THEN n ELSE 0 END) AS BIGINT) AS annotated,
+  count(*) FILTER (cog_c <> 'None') AS categories, round(abs(sum(-share * log2(share))), 6) AS entropy FROM p GROUP BY 1, 2, 3, 4""")
+def star_statistics(spark, d):
+    return stars.star_statistics(_star_nodes(spark, d)).withColumn("entropy", F.round(F.abs("entropy"), 6))
+
+
 @query(f"""WITH {DEEP_SQL}, p AS ({_CODES_SQL}), g AS (SELECT gene_a AS gene FROM p UNION SELECT gene_b FROM p), lf AS (SELECT gene_ids[1] AS gene, path FROM nodes WHERE n_genes = 1),
 e AS (SELECT path[1] AS component, min(path) AS a, max(path) AS b FROM lf JOIN g USING (gene) GROUP BY 1),
 t AS (SELECT a[1:{_shared_sql('a', 'b', 5)}] AS lca FROM e)

@@ -10,12 +10,16 @@ from kinfold.sources.text_tables import place_in_file
 
 COLUMNS = ["query", "subject", "pident", "aln_len", "mismatch", "gapopen", "qstart", "qend", "sstart", "send", "evalue", "bitscore"]
 _KINDS = [T.StringType(), T.StringType(), T.DoubleType(), T.IntegerType(), T.IntegerType(), T.IntegerType(), *[T.IntegerType()] * 4, T.DoubleType(), T.DoubleType()]
-SCHEMA = T.StructType([*[T.StructField(c, k) for c, k in zip(COLUMNS, _KINDS)], T.StructField("_corrupt_record", T.StringType())])
 
 
 def read_outfmt6(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(hits with ``line_no`` and ``file``, lines that don't parse). A line that is END is a marker, neither."""
-    raw = spark.read.text(path).select("value", place_in_file().alias("line_no"), F.col("_metadata.file_name").alias("file")).filter(~F.trim("value").isin("END", ""))
+    return parsed(spark.read.text(path).select("value", place_in_file().alias("line_no"), F.col("_metadata.file_name").alias("file")))
+
+
+def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``read_outfmt6`` of lines (value, line_no, file) that have been read."""
+    raw = lines.filter(~F.trim("value").isin("END", ""))
     parts = F.split("value", "\t")
     typed = [F.get(parts, F.lit(i)).try_cast(k).alias(c) for i, (c, k) in enumerate(zip(COLUMNS, _KINDS))]
     rows = raw.select("file", "line_no", "value", *typed)

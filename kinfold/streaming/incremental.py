@@ -1,4 +1,4 @@
-"""New search results as a stream of files: each arriving file's hits are appended to a hits table."""
+"""New search results as a stream of files: each batch of arriving files is a part of a hits table."""
 
 from __future__ import annotations
 
@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kinfold.sources.hits import SCHEMA
+from kinfold.sources.hits import parsed
 
 
 def follow_hits(spark: SparkSession, directory: str, table_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Self hits and unparsable lines are left out; repeated pairs are resolved by ``genome_hits`` when the table is read."""
-    stream = spark.readStream.schema(SCHEMA).option("sep", "\t").option("mode", "PERMISSIVE").csv(directory)
-    kept = stream.filter((F.col("query") != F.col("subject")) & F.col("_corrupt_record").isNull()).drop("_corrupt_record").withColumn("file", F.col("_metadata.file_name"))
+    """Appends hits with ``file`` and ``line_no``, as ``read_outfmt6`` gives them, to a table partitioned by ``epoch``; self hits and unparsable lines are left out.
 
-    def append(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(table_path)
+    A repeated epoch overwrites its own partition, so it adds no rows. Repeated pairs are resolved by ``genome_hits`` when the table is read.
+    """
+    stream = spark.readStream.text(directory)
+    lines = stream.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
-    writer = kept.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
+    def write(batch: DataFrame, epoch: int) -> None:
+        placed = batch.select("value", "file", F.struct("block", F.monotonically_increasing_id().alias("line")).alias("line_no"))
+        parsed(placed)[0].filter("query <> subject").write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
+
+    writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import scalars
 from kinfold.operators import community, evaluate, hierarchy, leiden
+from kinfold.operators.coarsen import coarsen
 from kinfold.operators.components import connected_components
 
 
@@ -163,6 +164,91 @@ def test_hierarchy_invariants(spark):
     assert sorted(len(v) for k, v in runs[0].items() if len(k) == 2 and k[:1] == first) == [8, 8]
 
 
+def planted(rng, n, blocks, inside=12, across=1):
+    """Edges (src, dst, 1.0) of a graph of equal blocks; gene number // (n // blocks) is a gene's block."""
+    size, out = n // blocks, set()
+    for u in range(n):
+        out |= {(u, u // size * size + rng.randrange(size)) for _ in range(inside // 2)}
+        if rng.random() < across / 2:
+            out.add((u, rng.randrange(n)))
+    return [(f"G{u % 7}|g{u:05d}", f"G{v % 7}|g{v:05d}", 1.0) for u, v in sorted(out) if u != v]
+
+
+def _in_path(spark, edges, path="0"):
+    links = spark.createDataFrame(edges, "src string, dst string, w double").withColumn("path", F.lit(path)).repartition(4)
+    return links, links.select("path", F.explode(F.array("src", "dst")).alias("gene")).distinct()
+
+
+def test_coarse_graphs_keep_weights_and_blocks(spark):
+    edges = planted(random.Random(5), 1200, 6)
+    links, members = _in_path(spark, edges)
+    small, few = _in_path(spark, [("G0|a", "G1|b", 2.0), ("G1|b", "G2|c", 1.0)], "7")
+    place, nodes, coarse = coarsen(members.unionByName(few), links.unionByName(small), 150, 2000)
+    at = {r.gene: r.node for r in place.filter("path = '0'").collect()}
+    assert len(at) == place.filter("path = '0'").count() == len({g for e in edges for g in e[:2]})
+    weights = {r.node: r.weight for r in nodes.filter("path = '0'").collect()}
+    assert weights == {c: float(sum(1 for x in at.values() if x == c)) for c in set(at.values())} and len(weights) <= 150
+    want = {}
+    for a, b, w in edges:
+        key = tuple(sorted((at[a], at[b])))
+        want[key] = want.get(key, 0.0) + w
+    assert {(r.a, r.b): r.w for r in coarse.filter("path = '0'").collect()} == want  # links within a node are its loops
+    block = lambda g: int(g[-5:]) // 200
+    most = {c: max(np.bincount([block(g) for g, x in at.items() if x == c], minlength=6)) for c in weights}
+    assert sum(most.values()) > 0.9 * len(at)
+    # A community that fits is left as it is.
+    assert {(r.gene, r.node) for r in place.filter("path = '7'").collect()} == {(g, g) for g in ("G0|a", "G1|b", "G2|c")}
+    assert {(r.a, r.b, r.w) for r in coarse.filter("path = '7'").collect()} == {("G0|a", "G1|b", 2.0), ("G1|b", "G2|c", 1.0)}
+
+
+@pytest.mark.parametrize("quality", ["rber", "rbcv"])
+def test_a_coarse_graph_has_the_quality_of_its_parts(quality):
+    rng = random.Random(9)
+    edges = [(u, v, 1.0 + rng.random()) for u in range(40) for v in range(u) if rng.random() < (0.5 if u % 4 == v % 4 else 0.1)]
+    node = [u % 4 * 3 + u % 3 for u in range(40)]  # 12 coarse nodes
+    links = {}
+    for u, v, w in edges:
+        key = tuple(sorted((node[u], node[v])))
+        links[key] = links.get(key, 0.0) + w
+    g, gamma = leiden.scaled(40, edges, quality, 0.9)
+    sizes = [float(node.count(i)) for i in range(12)]
+    c, coarse_gamma = leiden.scaled(12, [(a, b, w) for (a, b), w in links.items()], quality, 0.9, None if quality == "rbcv" else sizes)
+    part = [i // 3 for i in range(12)]
+    assert coarse_gamma == pytest.approx(gamma)
+    assert leiden.value(c, coarse_gamma, part) == pytest.approx(leiden.value(g, gamma, [part[x] for x in node]))
+
+
+def test_resolutions_side_by_side_narrow_the_interval(spark):
+    r = [(0.1, 1, 0.0), (0.2, 3, 0.0), (0.3, 1, 0.0), (0.4, 7, 0.0), (0.5, 2, 0.0), (0.6, 9, 0.0)]
+    df = spark.createDataFrame([(r, 2, 2), (r, 3, 3), (r[:1], 2, 2), (r[3:4], 2, 2), (r, 4, 5)], "r array<struct<resolution: double, parts: int, q: double>>, start int, stop int")
+    fits, under, over = community._outcome(F.col("r"), F.col("start"), F.col("stop"))
+    got = [tuple(x) for x in df.select(fits["resolution"], under, over).collect()]
+    assert got == [(0.5, 0.1, 0.2), (0.2, 0.3, 0.4), (None, 0.1, None), (None, None, 0.4), (None, 0.3, 0.4)]
+
+
+def test_a_thousand_genes_are_halved_by_tries_side_by_side(spark):
+    edges = planted(random.Random(3), 1000, 2, across=0.5)
+    links, members = _in_path(spark, edges)
+    n = members.count()
+    genes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.greatest("n", F.lit(1000)))  # bracketed
+    got = {r.gene: r.part for r in community.divided(members, links, genes, "rber", 1.0, 0).collect()}
+    block = lambda g: int(g[-5:]) // 500
+    assert len(got) == n and set(got.values()) == {0, 1}
+    assert sum(got[g] == block(g) for g in got) > 0.97 * n  # part 0 has the least gene
+
+
+def test_ten_thousand_genes_in_one_component(spark):
+    edges = planted(random.Random(4), 10_000, 25)
+    links, members = _in_path(spark, edges)
+    genes = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    got = {r.gene: r.part for r in community.divided(members, links, genes, "rber", 1.0, 0, task_nodes=1000, task_links=20_000).collect()}
+    assert 20 <= len(set(got.values())) <= 50
+    counts = np.zeros((50, 25), int)
+    for g, p in got.items():
+        counts[p, int(g[-5:]) // 400] += 1
+    assert counts.sum() == 10_000 and counts.max(0).sum() > 0.95 * 10_000  # blocks stay whole; two may share a part
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}

@@ -7,12 +7,14 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import types as T
 
 import __spark_entry__
 from kinfold import queries
-from kinfold.plans import annotation
+from kinfold.plans import annotation, evaluation
 from kinfold.plans.config import Config, parse
 from kinfold.plans.inference import run
+from kinfold.sources.gml import read_gml
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -36,7 +38,7 @@ def test_inference(spark, tmp_path):
                         lines.append(f"G{a}|g{i}\tG{b}|g{j}\t{90 if same else 40}\t100\t0\t0\t1\t100\t1\t100\t1e-9\t{bits:.2f}\n")
             (tmp_path / "hits" / f"G{a}-G{b}.out").write_text("".join(lines))
     c = Config(genomes=str(tmp_path / "genomes"), hits=str(tmp_path / "hits"), output=str(tmp_path / "out"))
-    out = run(spark, Config(**{**c.__dict__, "sequences": True}))
+    out = run(spark, Config(**{**c.__dict__, "sequences": True, "gml": True}))
     lines = {r.split("\t")[0]: r.split("\t")[1:] for p in (tmp_path / "out/groups_tsv").glob("part*") for r in p.read_text().splitlines()}
     ids = {r.gene_code: r.orig_id for r in out["genes"].collect()}
     assert lines == {r.og_id: [str(r.genome_num), str(r.gene_num), " ".join(ids[g] for g in r.gene_ids)] for r in out["groups"].collect()}
@@ -49,12 +51,65 @@ def test_inference(spark, tmp_path):
     pairs = {frozenset((r.gene_a, r.gene_b)) for r in out["pairs"].collect()}
     true = {frozenset((f"G{a}|g{i}", f"G{b}|g{i}")) for i in range(6) for a in range(3) for b in range(a)}
     assert len(pairs & true) >= 15
+    check_graphs(spark, tmp_path, out)
+    check_evaluation(spark, tmp_path, out, true)
     before = sorted(map(str, out["groups"].collect()))
     os.rename(tmp_path / "hits", tmp_path / "gone")  # resumed stages don't need it
     again = run(spark, Config(**{**c.__dict__, "resume": True}))
     assert sorted(map(str, again["groups"].collect())) == before
 
 
+def one_file(tmp_path, name):
+    """The parts of a written graph, one after the other, as one file."""
+    text = "".join(p.read_text() for p in sorted((tmp_path / f"out/{name}_gml").glob("part*")))
+    assert text.startswith("graph\n[") and text.rstrip().endswith("]") and text.count("[") == text.count("]")
+    (tmp_path / f"{name}.gml").write_text(text)
+    return str(tmp_path / f"{name}.gml")
+
+
+def check_graphs(spark, tmp_path, out):
+    """The graphs read back from one file each have what the run has."""
+    names, values = {"name": T.StringType()}, {k: T.DoubleType() for k in ("NBS", "NBSRev", "BS", "BSRev", "Sim", "SimRev")}
+    v, e = read_gml(spark, one_file(tmp_path, "ssn"), names, values)
+    of = {r.id: r.name for r in v.collect()}
+    assert sorted(of) == list(range(18)) and sorted(of.values()) == sorted(r.gene_code for r in out["genes"].collect())
+    edge = lambda a, b, r: (f"G{r.src_genome}|g{r.src}", f"G{r.dst_genome}|g{r.dst}", r.nbs, r.nbs_rev, r.bs, r.bs_rev, r.sim, r.sim_rev)
+    assert sorted((of[r.source], of[r.target], r.NBS, r.NBSRev, r.BS, r.BSRev, r.Sim, r.SimRev) for r in e.collect()) == sorted(edge(0, 0, r) for r in out["network"].collect())
+    nodes = {"-".join(map(str, r.path)): r for r in out["hierarchy"].collect()}
+    shown = {"name": T.StringType(), "geneIDs": T.StringType(), "genesNum": T.IntegerType(), "Event": T.StringType()}
+    v, e = read_gml(spark, one_file(tmp_path, "hierarchy"), shown, {})
+    got = {r.name: r for r in v.collect()}
+    assert {k: (x.geneIDs.split(), x.genesNum, x.Event) for k, x in got.items()} == {k: (x.gene_ids, x.n_genes, x.event) for k, x in nodes.items()}
+    at = {x.id: k for k, x in got.items()}
+    assert sorted((at[r.source], at[r.target]) for r in e.collect()) == sorted((k.rpartition("-")[0], k) for k in nodes if "-" in k)
+    v, _ = read_gml(spark, one_file(tmp_path, "orthogroups"), shown | {"genomeIDs": T.StringType()}, {})
+    ids = {r.gene_code: r.orig_id for r in out["genes"].collect()}
+    group = {"-".join(map(str, r.path)): r.og_id for r in out["groups"].collect() if r.path is not None}
+    want = [(group.get(k), " ".join(sorted(ids[g] for g in x.gene_ids)), " ".join(f"s{g[1:]}.fa" for g in x.genome_ids)) for k, x in nodes.items()]
+    assert sorted(((r.name, r.geneIDs, r.genomeIDs) for r in v.collect()), key=str) == sorted(want, key=str)
+
+
+def check_evaluation(spark, tmp_path, out, true):
+    name = lambda g: f"S{g[1]}N{g.split('g')[1]}"
+    (tmp_path / "labels.tsv").write_text("".join(f"TreeFamA\t{name(a)}\t{name(b)}\tTP\n" for a, b in map(sorted, true)) + "TreeFamA\tS0N1\tS1N2\tTN\nTreeFamA\tS0N1\tnone\tTP\nother\tS0N1\tS1N3\tTP\n")
+    (tmp_path / "other.txt").write_text("A: S0N0 S1N0 S2N0\nB: sp|S0N1|X S1N1 gone\n")
+    c = parse(["--run", f"{tmp_path}/out", "--labels", f"{tmp_path}/labels.tsv", "--output", f"{tmp_path}/eval", "--external", f"{tmp_path}/other.txt", "--marker", "TreeFamA"], evaluation.EvaluationConfig)
+    for _ in range(2):
+        got = evaluation.run(spark, c)
+    pairs = {frozenset((r.gene_a, r.gene_b)) for r in out["pairs"].collect()}
+    known = {g for p in true for g in p}
+    r = got["confusion"].first()
+    right = 2 * len(pairs & true)
+    assert (r.tp, r.fn) == (right, 2 * len(true) - right) and r.tpr == right / (2 * len(true)) and known
+    assert got["events"].count() == len(true) + 1 == sum(r.pairs for r in got["by_event"].collect()) == got["path_events"].count()
+    og = {g: r.og_id for r in out["groups"].collect() for g in r.gene_ids}
+    assert all((r.group_status == "SameOG") == (og[r.gene_a] == og[r.gene_b]) for r in got["events"].collect())
+    best = {r.l_og: (r.shared, r.l_size) for r in got["overlaps"].collect()}
+    assert best["A"][1] == 3 and best["B"][1] == 3 and best["B"][0] <= 2
+    assert got["totals"].first().missing == sum(n - s for s, n in best.values())
+    assert (tmp_path / "eval/events_tsv").is_dir()
+
+
 def test_config():
     c = parse(["--genomes", "g", "--hits", "h", "--output", "o", "--mode", "ar", "--overlap", "1", "--resume"])
     assert (c.mode, c.overlap, c.resume, c.coefficient, c.quality) == ("ar", 1, True, 1.0, "rber")
@@ -107,6 +162,17 @@ def test_leiden_query(spark, sf):
     assert __spark_entry__.queries()["leiden_hierarchy"](spark, sf).count() > 0
 
 
+def test_communities_of_all_parts(spark, sf):
+    nodes = __spark_entry__.queries()["part_communities"](spark, sf).collect()
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    roots = [r for r in nodes if "-" not in r.node]
+    assert [r.n_genes for r in roots] == [n]
+    kids = {}
+    for r in nodes:
+        kids.setdefault(r.node.rpartition("-")[0], []).append(r.n_genes)
+    assert all(sum(kids[r.node]) == r.n_genes for r in nodes if r.node in kids) and len(kids) > n / 10
+
+
 def test_without_the_subpackage(tmp_path):
     """Everything else imports and registers where the subpackage and the pipeline are gone."""
     for name in ("kinfold", "__spark_entry__.py"):
@@ -115,6 +181,7 @@ def test_without_the_subpackage(tmp_path):
     for p in (ROOT / "kinfold").iterdir():
         if p.name not in ("llm", "__pycache__"):
             (tmp_path / "kinfold" / p.name).symlink_to(p)
+    (tmp_path / "jobs").symlink_to(ROOT / "jobs")
     (tmp_path / "__spark_entry__.py").unlink()
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert 'rbh' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); print(len(q))"

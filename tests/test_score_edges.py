@@ -1,5 +1,7 @@
 """Scores and edges against a plain restatement in NumPy and dictionaries."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -119,3 +121,20 @@ def test_edge_table(spark):
 def test_paralogs_only(spark):
     df = nbs_frame(spark, [(0, 0, 1, 2, 0.4), (0, 0, 1, 3, 0.1)])
     assert keys(edges.best_hits(df)) == {(0, 0, 1, 2), (0, 0, 1, 3)} and keys(edges.retain(df)) == {(0, 0, 1, 2), (0, 0, 1, 3)}
+
+
+def test_ranks_over_ranges(spark):
+    """Many rows of one key, ties and null keys are numbered as one window would."""
+    from kinfold.plans.tables import ranked
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "a", "b", None]), rng.choice("xy"), rng.randrange(40), i) for i in range(3000)] + [("z", "z", 0, -1)]
+    df = spark.createDataFrame(rows, "k string, l string, v int, i int").repartition(7)
+    got = {r.i: (r.rn, r.n) for r in ranked(df, ["k", "l"], ["v", "i"]).collect()}
+    want = {}
+    for key in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == key), key=lambda r: r[2:])
+        want |= {r[3]: (k, len(own)) for k, r in enumerate(own)}
+    assert got == want
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    assert ranked(df.limit(0), ["k", "l"], ["v", "i"]).count() == 0 and parts == spark.conf.get("spark.sql.shuffle.partitions")

@@ -79,7 +79,24 @@ def test_hits(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
     q = follow_hits(spark, str(tmp_path / "h"), str(tmp_path / "t"), str(tmp_path / "c"), once=True)
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    followed = spark.read.parquet(str(tmp_path / "t"))
+    assert followed.count() == 3
+    assert [tuple(r) for r in hits.genome_hits(followed, genes).collect()] == [(0, 1, 0, 0, 90.0, 40.0, 200)]
+    # An epoch that ran but wasn't committed runs again and adds nothing; a later file's line replaces an earlier one's.
+    for f in (tmp_path / "c" / "commits").glob("*0*"):
+        f.unlink()
+    put(tmp_path / "h" / "G0-G2.out", line("G0|g0", "G1|g0", 45))
+    for _ in range(2):
+        follow_hits(spark, str(tmp_path / "h"), str(tmp_path / "t"), str(tmp_path / "c"), once=True).awaitTermination(60)
+    followed = spark.read.parquet(str(tmp_path / "t"))
+    assert followed.count() == 4
+    assert [tuple(r) for r in hits.genome_hits(followed, genes).collect()] == [(0, 1, 0, 0, 90.0, 45.0, 200)]
+
+
+def test_unfinished_results(spark):
+    lines = spark.createDataFrame([("a", 0, "x"), ("a", 1, " END "), ("b", 0, "g\tLEGEND1\t90"), ("c", 0, "END"), ("c", 1, "x")], "genome string, line_no int, line string")
+    genomes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "genome string")
+    assert {r.genome for r in annotate.unfinished(genomes, lines).collect()} == {"b", "c", "d"}
 
 
 def test_text_tables(spark, tmp_path):
