@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import scalars
 from kinfold.operators import annotate, community, components, edges, evaluate, hierarchy, score, stars
-from kinfold.plans.tables import written
+from kinfold.plans.tables import numbered, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -498,17 +498,20 @@ def leiden_hierarchy(spark, d):
 
 @query()
 def part_communities(spark, d):
-    """Communities of one connected graph of all parts: parts of one brand that stand in one order, in all lines, are linked by the number of their common orders and the likeness of their sizes, and each part weakly with the next one. A part's genome is its type."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.concat("p_type", F.lit("|"), "p_partkey").alias("gene"))
-    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).join(part.select("p", "brand"), "p").distinct()
+    """Communities of one connected graph of all parts: a part is linked with the next three of its type and brand, with those of them that stand in one order with it, in all lines, by their number, and ever more weakly with the next of its type and the next of all. Its genome is the rest of its number by eight."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).join(part, "p").distinct()
     a, b = lines.alias("a"), lines.alias("b")
-    e = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.brand") == F.col("b.brand")) & (F.col("a.p") < F.col("b.p")))
-    e = e.groupBy(F.col("a.p").alias("x"), F.col("b.p").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    chain = part.select(F.col("p").alias("x"), (F.col("p") + 1).alias("y"), F.lit(0.02).alias("w"))
-    x, y = part.select(F.col("p").alias("x"), F.col("size").alias("sx"), F.col("gene").alias("src")), part.select(F.col("p").alias("y"), F.col("size").alias("sy"), F.col("gene").alias("dst"))
-    all_links = e.unionByName(chain).groupBy("x", "y").agg(F.sum("w").alias("w")).join(x, "x").join(y, "y")
-    near = F.least("sx", "sy") / F.greatest("sx", "sy")
-    nodes = community.hierarchy(all_links.select("src", "dst", (F.col("w") * near).alias("nbs")))
+    together = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.type") == F.col("b.type")) & (F.col("a.brand") == F.col("b.brand")) & (F.col("a.p") < F.col("b.p")))
+    placed = written(numbered(part, [F.asc("type"), F.asc("brand"), F.asc("p")], "n"), "placed")
+    ahead = placed.select(F.explode(F.array(*[F.struct((F.col("n") - k).alias("n"), F.lit(k).alias("k")) for k in (1, 2, 3)])).alias("at"), F.col("p").alias("y"), F.col("type").alias("t"), F.col("brand").alias("b"))
+    chain = placed.join(ahead.select("at.n", "at.k", "y", "t", "b"), "n")
+    same_type = F.col("type") == F.col("t")
+    w = F.when(same_type & (F.col("brand") == F.col("b")), 1.0).when(F.col("k") == 1, F.when(same_type, 0.2).otherwise(0.02))
+    links = together.select(F.col("a.p").alias("x"), F.col("b.p").alias("y"), F.lit(1.0).alias("w")).unionByName(chain.select(F.col("p").alias("x"), "y", w.alias("w")).filter("w IS NOT NULL"))
+    gene = lambda c: F.concat(F.lit("G"), F.col(c) % 8, F.lit("|g"), F.col(c))
+    links = links.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("w").alias("nbs"))
+    nodes = community.hierarchy(links.select(gene("x").alias("src"), gene("y").alias("dst"), "nbs"))
     return hierarchy.label_events(nodes).select(_named().alias("node"), "n_genes", "n_genomes", "quality", "event")
 
 
