@@ -3,8 +3,10 @@
 A page's elements form a tree; each subtree's tag, names and text have a 64-bit hash. Spark counts on how many different
 pages of its host a subtree occurs (copies of a page are one page); one that occurs on at least ``LEAST_PAGES`` of them, and
 on as many as the root of their number, is template and goes first, whatever it is called. Text blocks of the article itself
-(paragraphs, headings, list items and the like within ``article`` or ``main``) are never template: what articles repeat is
-theirs. Of what is left, text goes that is no article by its tag, role, class or id, and, if the page has an ``article`` or
+(paragraphs, headings, list items and the like within ``article`` or ``main``) are never template, nor is what holds an
+article. Other subtrees within one count for the article, not for the page: pages that share an article (its longest block,
+and the next one if that is at least half as long) are one there, so no number of copies makes an article's body template.
+Of what is left, text goes that is no article by its tag, role, class or id, and, if the page has an ``article`` or
 ``main``, text outside: adverts that each page has for itself, hosts of few pages. Each page says how many blocks either took.
 
 Blocks are what stands between block-level tags; in a block, character references are decoded (as browsers do) and each
@@ -20,8 +22,9 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -65,15 +68,17 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figca
 
 class Page(NamedTuple):
     digest: int  # of the page's whole content, for one host
-    subtrees: list[int]  # hashes of subtrees that may be template, distinct
-    blocks: list[tuple[str, tuple[int, ...], bool]]  # text, the hashes it stands in, whether markup takes it for the article's
+    subtrees: dict[int, int]  # hashes of subtrees that may be template, each with what it counts for: the page, or the article that holds it
+    blocks: list[tuple[str, bool]]  # text, and whether markup takes it for the article's
+    spans: list[tuple[int, int, int]]  # the first block of a subtree that may be template, the one after its last, its hash
 
 
 class _Element:
-    __slots__ = ("tag", "names", "out", "article", "digest", "from_block", "candidate", "mute")
+    __slots__ = ("tag", "names", "out", "article", "digest", "from_block", "candidate", "mute", "own", "holds", "inner")
 
-    def __init__(self, tag, names, out, article, from_block, candidate, mute=False):
+    def __init__(self, tag, names, out, article, from_block, candidate, mute=False, own=False):
         self.tag, self.names, self.out, self.article, self.from_block, self.candidate, self.mute = tag, names, out, article, from_block, candidate, mute
+        self.own, self.holds, self.inner = own, own, []  # is an article, is or holds one, hashes of candidates in it
         self.digest = hashlib.blake2b(f"{tag}|{names}|".encode(), digest_size=8)
 
 
@@ -84,8 +89,8 @@ def _no_article(words: list[str]) -> bool:
 def parse(text: str, salt: bytes = b"") -> Page:
     """A page's template candidates and remaining text blocks; hashes hold for one ``salt`` (the host)."""
     root = _Element("", "", False, 0, 0, False)
-    stack, blocks, marks, subtrees, pending = [root], [], [], {}, []
-    seen_article, open_tags = False, Counter()
+    stack, blocks, marks, subtrees, spans, pending = [root], [], [], {}, [], []
+    seen_article, places, scopes, articles = False, defaultdict(list), [0], []  # where in the stack elements of a tag, of a scope, and articles are
     at, size = 0, len(text)
 
     def flush() -> None:
@@ -95,7 +100,7 @@ def parse(text: str, salt: bytes = b"") -> Page:
             if got:
                 top = stack[-1]
                 blocks.append(got)
-                marks.append([top.article > 0, top.out, []])
+                marks.append((top.article > 0, top.out))
 
     def say(s: str) -> None:
         """Text within the open elements."""
@@ -112,44 +117,51 @@ def parse(text: str, salt: bytes = b"") -> Page:
         if stack[-1].tag not in INLINE:
             flush()
         e = stack.pop()
-        open_tags[e.tag] -= 1
+        places[e.tag].pop()
+        if scopes[-1] == len(stack):
+            scopes.pop()
         mine = e.digest.digest()
         stack[-1].digest.update(mine)
-        if e.candidate:
+        stack[-1].holds = stack[-1].holds or e.holds
+        if e.own:
+            articles.pop()
+            key = _article_key([b for b, (_, out) in zip(blocks[e.from_block :], marks[e.from_block :]) if not out], salt) if e.inner else 0
+            for h in e.inner:
+                subtrees.setdefault(h, key)
+        elif e.candidate and not e.holds:
             h = int.from_bytes(hashlib.blake2b(mine, digest_size=8, salt=salt[:16]).digest(), "little", signed=True)
-            subtrees[h] = None
-            if e.tag in INLINE:
-                return
-            for m in marks[e.from_block :]:
-                m[2].append(h)
-
-    for m in iter(_TOKEN.finditer(text)):
+            if articles:
+                articles[-1].inner.append(h)
+            else:
+                subtrees.setdefault(h, None)
+            if e.tag not in INLINE and e.from_block < len(blocks):
+                spans.append((e.from_block, len(blocks), h))
+
+    for m in _TOKEN.finditer(text, 0, text.rfind(">") + 1):  # beyond, no tag ends
         if m.start() < at:
             continue  # within raw text
         say(text[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if not name:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = size  # a comment without an end
             continue
         end, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         tag = tag.lower()
         if end:
             if tag in VOID:
                 continue
-            if open_tags[tag] > 0:
+            if places[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
             continue
         if tag in CLOSES:
-            ends = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].tag in SCOPE:
-                    break
+            k = max((places[t][-1] for t in CLOSES[tag] if places[t]), default=0)
+            if k > 0 and k >= scopes[-1]:
+                while len(stack) > k:
+                    close()
         if tag == "br":
             if not stack[-1].mute:
                 pending.append(" ")
@@ -184,8 +196,13 @@ def parse(text: str, salt: bytes = b"") -> Page:
         candidate = tag not in ("html", "body", "article", "main") and not (top.article and tag in TEXT_BLOCKS) and not (tag in INLINE and top.article)
         # Within a line, what is no article leaves no trace; a block of it is a block, and may be template.
         mute = top.mute or (out and not top.out and tag in INLINE)
-        stack.append(_Element(tag, names, out, depth, len(blocks), candidate, mute))
-        open_tags[tag] += 1
+        own = is_article and not out
+        stack.append(_Element(tag, names, out, depth, len(blocks), candidate, mute, own))
+        places[tag].append(len(stack) - 1)
+        if tag in SCOPE:
+            scopes.append(len(stack) - 1)
+        if own:
+            articles.append(stack[-1])
         if rest.endswith("/") and tag not in TEXT_BLOCKS:
             close()
     rest = text[at:]
@@ -194,7 +211,15 @@ def parse(text: str, salt: bytes = b"") -> Page:
         close()
     flush()
     digest = int.from_bytes(hashlib.blake2b(root.digest.digest(), digest_size=8, salt=salt[:16]).digest(), "little", signed=True)
-    return Page(digest, list(subtrees), [(b, tuple(hashes), not out and (inside or not seen_article)) for b, (inside, out, hashes) in zip(blocks, marks)])
+    whole = {h: digest if key is None else key for h, key in subtrees.items()}
+    return Page(digest, whole, [(b, not out and (inside or not seen_article)) for b, (inside, out) in zip(blocks, marks)], spans)
+
+
+def _article_key(blocks: list[str], salt: bytes) -> int:
+    """What pages with one article share: its longest block, and the next one if that is at least half as long."""
+    longest = sorted(blocks, key=lambda b: (-len(b), b))[:2]
+    kept = [b for b in longest if 2 * len(b) >= len(longest[0])]
+    return int.from_bytes(hashlib.blake2b("\0".join(kept).encode("utf-8", "surrogatepass"), digest_size=8, salt=salt[:16]).digest(), "little", signed=True)
 
 
 def host_salt(url: str | None) -> bytes:
@@ -204,7 +229,12 @@ def host_salt(url: str | None) -> bytes:
 
 def main_text(page: Page, is_template: Callable[[int], bool]) -> tuple[str, int, int]:
     """The text, and how many blocks went as template and by markup."""
-    left = [(b, ours) for b, hashes, ours in page.blocks if not any(map(is_template, hashes))]
+    gone = [0] * (len(page.blocks) + 1)
+    for a, b, h in page.spans:
+        if is_template(h):
+            gone[a] += 1
+            gone[b] -= 1
+    left = [block for block, n in zip(page.blocks, accumulate(gone)) if not n]
     kept = [b for b, ours in left if ours]
     return " ".join(kept), len(page.blocks) - len(left), len(left) - len(kept)
 
@@ -218,11 +248,14 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
             salts = [host_salt(u) for u in batch.column(0).to_pylist()]
             found = [parse(t or "", s) for t, s in zip(batch.column(1).to_pylist(), salts)]
             hosts = [int.from_bytes(s, "little", signed=True) for s in salts]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array([p.digest for p in found], pa.int64()), pa.array([p.subtrees for p in found], pa.list_(pa.int64()))], ["host", "page", "subtrees"])
-
-    seen = pages.select("url", "html").mapInArrow(run, "host long, page long, subtrees array<long>").dropDuplicates(["host", "page"])
-    # Of each page, a row for itself (null) and one for each distinct subtree; counted within tasks first.
-    counts = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "subtrees")).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+            lists = [pa.array([list(part) for part in parts], pa.list_(pa.int64())) for parts in ([p.subtrees for p in found], [p.subtrees.values() for p in found])]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array([p.digest for p in found], pa.int64()), *lists], ["host", "page", "subtrees", "keys"])
+
+    seen = pages.select("url", "html").mapInArrow(run, "host long, page long, subtrees array<long>, keys array<long>").dropDuplicates(["host", "page"])
+    # Of each page, a row for itself (null) and one for each distinct subtree; those of one article count once. Both steps combine within tasks first.
+    own = F.struct(F.lit(None).cast("long").alias("h"), F.col("page").alias("key"))
+    each = F.explode(F.concat(F.array(own), F.arrays_zip(F.col("subtrees").alias("h"), F.col("keys").alias("key")))).alias("x")
+    counts = seen.select("host", each).select("host", "x.h", "x.key").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
     often = written(counts.filter((F.col("n") >= least_pages) | F.col("h").isNull()), "subtrees")
     hosts = often.filter("h IS NULL").select("host", F.col("n").alias("pages"))
     return often.filter("h IS NOT NULL").join(hosts, "host").filter(F.col("n") * F.col("n") >= F.col("pages")).select("h")
@@ -254,7 +287,7 @@ def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame
     @tidied
     def subtrees(batches):
         for batch in batches:
-            found = [parse(t or "", host_salt(u)).subtrees for u, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            found = [list(parse(t or "", host_salt(u)).subtrees) for u, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "subtrees"])
 
     keyed = pages.withColumn("_key", F.xxhash64("url", "html"))

@@ -158,3 +158,37 @@ def test_very_long_and_deep_pages():
     assert H.main_text(H.parse(deep), lambda h: False)[0] == "x"
     assert H.main_text(H.parse(long), lambda h: False)[0].count("words") == 100_000
     assert time.time() - began < 30
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"http://h/{i}", p) for i, p in enumerate(pages)]
+    return [r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_copies_of_an_article_keep_their_body(spark):
+    """Syndicated articles keep their text however many pages have them; what different articles share in a block of its own goes."""
+    body = "<div class='body'><p>one two three and more</p><div><p>four five six</p></div></div>"
+    for n in (4, 5, 40):
+        assert texts_of(spark, [f"<nav>visit {i}</nav><article><h1>Title {i}</h1>{body}</article>" for i in range(n)]) == [f"Title {i} one two three and more four five six" for i in range(n)]
+        wrapped = [f"<nav>visit {i}</nav><div class=wrap><main><div><article>{body}</article></div></main></div>" for i in range(n)]
+        assert texts_of(spark, wrapped) == ["one two three and more four five six"] * n
+    more = "<div class='x1'><div>All stories of the week</div></div>"
+    own = [f"<article><h1>Title {i}</h1><p>{i} is a number that this story tells of at length</p>{more}</article>" for i in range(8)]
+    assert texts_of(spark, own) == [f"Title {i} {i} is a number that this story tells of at length" for i in range(8)]
+    # Copies of one of them don't make up for different articles.
+    assert texts_of(spark, own[:1] * 9 + [p.replace("Title", "Other") for p in own[:2]])[0].endswith("All stories of the week")
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<span><h1>", "<div>x", "<blockquote>", "<p><td><span><h1>", "<!", '<a "', "<p><b>"])
+def test_time_grows_with_the_length(unit):
+    """Twice as much of a hostile page takes about twice as long, not four times."""
+    import time
+
+    def took(n):
+        began = time.process_time()
+        H.main_text(H.parse(unit * n), lambda h: True)
+        return time.process_time() - began
+
+    n = 200_000 // len(unit)
+    took(100)
+    assert min(took(4 * n) for _ in range(2)) < 8 * max(min(took(n) for _ in range(2)), 0.02)
