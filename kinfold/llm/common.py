@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 
 from kinfold.plans.tables import new_path, written  # noqa: F401  for the operators
 
-#: Rows of an Arrow batch sent to Python: long texts make larger batches take too much memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch sent to Python: long texts make larger batches take too much memory. A longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bytes of text that the numpy kernels work on at once; a longer single text is one slice.
 SLICE_BYTES = 1 << 19
 
 
 def small_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
