@@ -253,3 +253,24 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("hub", [0, 5000, 250])
+def test_components_with_hubs(spark, hub):
+    """Hot keys, whether a hub is the least, the greatest or some other node, and stars that the steps make, meet their least neighbour apart from the rest."""
+    rng = random.Random(hub)
+    edges = [(hub, i) for i in range(200, 400)] + [(401, i) for i in range(402, 500)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
+    root = {n: n for e in edges for n in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        x, y = sorted((top(x), top(y)))
+        root[y] = x
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.node: r.component for r in connected_components(df, hot=20).collect()}
+    assert got == {n: top(n) for e in edges if e[0] != e[1] for n in e}
+    assert {r.node: r.component for r in connected_components(df).collect()} == got
