@@ -354,12 +354,12 @@ def connected_components(spark, d):
 
 
 def fixed_hierarchy(spark: SparkSession, d: str, levels: int = 3) -> DataFrame:
-    """Labelled nodes of the fixed hierarchy; with five levels, leaves are single genes."""
+    """Labelled nodes of the fixed hierarchy, as a written table, which queries read many times; with five levels, leaves are single genes."""
     part = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("p"), (F.col("p_size") % 8).alias("s"))
     bits = [F.expr(f"(p div 100) div {1 << i} % 2").cast("int") for i in range(levels)]
     leaf = part.select(F.concat(F.lit("G"), "s", F.lit("|g"), "p").alias("gene"), F.concat(F.lit("G"), "s").alias("genome"), F.array((F.col("p") % 100).cast("int"), *bits).alias("leaf"))
     members = leaf.select("gene", "genome", F.explode(hierarchy.prefixes("leaf")).alias("path"))
-    return hierarchy.label_events(hierarchy.attributes(members))
+    return written(hierarchy.label_events(hierarchy.attributes(members)), "nodes")
 
 
 def hierarchy_sql(levels: int = 3) -> str:
@@ -617,7 +617,7 @@ stars AS (SELECT component, star, CASE WHEN centre THEN star ELSE coalesce(og, '
 
 
 def _star_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes = written(fixed_hierarchy(spark, d), "nodes")
+    nodes = fixed_hierarchy(spark, d)
     groups = hierarchy.orthogroups(nodes).select("path", F.concat(F.lit("OG"), _named()).alias("og_id"), F.col("gene_num").alias("n"))
     n = F.col("n")
     said = groups.filter(n % 3 != 0).select(F.col("og_id").alias("og"), F.concat(F.lit("COG"), n).alias("cog_id"), F.char((65 + n % 5).cast("int")).alias("cog_c"), F.lit("None").alias("genes"), F.lit("None").alias("pathway"))
