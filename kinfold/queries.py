@@ -589,16 +589,20 @@ def leaf_categories(spark, d):
     return evaluate.leaf_categories(leaves, ids, categories)
 
 
+def _way_sql(side: str) -> str:
+    return f"""s{side} AS (SELECT k.gene_a, k.gene_b, coalesce(n.event, 'None') AS e, count(*) AS c FROM k JOIN nodes n ON len(n.path) > k.m AND len(n.path) < len(k.p{side}) AND k.p{side}[1:len(n.path)] = n.path GROUP BY 1, 2, 3),
+w{side} AS (SELECT gene_a, gene_b, string_agg(e || ':' || CAST(c AS VARCHAR), ' ' ORDER BY c DESC, e) AS way FROM s{side} GROUP BY 1, 2)"""
+
+
 @query(f"""WITH {DEEP_SQL}, p AS ({_CODES_SQL}), lf AS (SELECT gene_ids[1] AS gene, max(path) AS path FROM nodes WHERE n_genes = 1 GROUP BY 1),
 j AS (SELECT p.*, x.path AS pa, y.path AS pb FROM p JOIN lf x ON x.gene = p.gene_a JOIN lf y ON y.gene = p.gene_b WHERE x.path[1] = y.path[1]),
 k AS (SELECT *, {_shared_sql('pa', 'pb', 5)} AS m FROM j),
-st AS (SELECT k.gene_a, k.gene_b, coalesce(n.event, 'None') AS e, count(*) AS c FROM k JOIN nodes n ON len(n.path) > k.m AND len(n.path) < len(k.pa) AND k.pa[1:len(n.path)] = n.path GROUP BY 1, 2, 3),
-w AS (SELECT gene_a, gene_b, string_agg(e || ':' || CAST(c AS VARCHAR), ' ' ORDER BY c DESC, e) AS way FROM st GROUP BY 1, 2)
-SELECT k.gene_a, k.gene_b, coalesce(way, 'No Path') AS way_a FROM k LEFT JOIN w USING (gene_a, gene_b)""")
+{_way_sql('a')}, {_way_sql('b')}
+SELECT k.gene_a, k.gene_b, coalesce(wa.way, 'No Path') AS way_a, coalesce(wb.way, 'No Path') AS way_b FROM k LEFT JOIN wa USING (gene_a, gene_b) LEFT JOIN wb USING (gene_a, gene_b)""")
 def path_events(spark, d):
     part = table(spark, d, "part").select("p_partkey", F.concat(F.lit("G"), F.col("p_size") % 8, F.lit("|g"), "p_partkey").alias("code"))
     pairs = evaluate.recode(_line_pairs(spark, d, 1, 2), part.select(F.col("p_partkey").alias("orig_id"), F.col("code").alias("gene")))
-    return hierarchy.common_ancestors(pairs, fixed_hierarchy(spark, d, 5)).filter("status = 'found'").select("gene_a", "gene_b", "way_a")
+    return hierarchy.common_ancestors(pairs, fixed_hierarchy(spark, d, 5)).filter("status = 'found'").select("gene_a", "gene_b", "way_a", "way_b")
 
 
 @query(f"WITH {HIERARCHY_SQL} SELECT printf('CC%05d', CAST(path[1] AS INTEGER)) AS star, {_PATH} AS node, CAST(len(path) - 1 AS INTEGER) AS depth FROM nodes WHERE len(path) > 1 AND n_genes <> 1")
