@@ -182,17 +182,23 @@ def component_report(groups: DataFrame, genomes: int) -> DataFrame:
     return found.groupBy(F.col("path")[0].alias("component")).agg(F.count(F.lit(1)).alias("groups"), F.count_if(core).alias("core"), F.count_if(core & (n == genomes)).alias("single"), F.sum(n).alias("genes"))
 
 
+def leaf_members(nodes: DataFrame) -> DataFrame:
+    """(path, gene): each gene with its leaf; it is in all nodes above that as well."""
+    inner = nodes.select(parent().alias("p")).filter("p IS NOT NULL").distinct()
+    return nodes.join(inner, nodes["path"] == inner["p"], "left_anti").select("path", F.explode("gene_ids").alias("gene"))
+
+
 def group_locations(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each group of more than one gene (og, gene), the node that shares most of it, then most of the node's; then the first path.
 
     (og, path, event, og_genomes, og_genes, node_genes, shared, of_group, of_node, child_genes); groups that share nothing
-    have a null path.
+    have a null path. A gene meets its leaf alone; counts by group and leaf climb to the nodes above and are added up there.
     """
-    from kinfold.operators.evaluate import max_overlap
-
     own = groups.groupBy("og").agg(F.count_distinct("gene").alias("og_genes"), F.count_distinct(genome_of(F.col("gene"))).alias("og_genomes")).filter("og_genes > 1")
-    best = max_overlap(groups.join(own.select("og"), "og", "left_semi"), nodes.select(F.col("path").alias("og"), F.explode("gene_ids").alias("gene")))
-    best = best.select(F.col("l_og").alias("og"), F.col("r_og").alias("path"), "shared")
+    at_leaves = groups.select("og", "gene").distinct().join(own.select("og"), "og", "left_semi").join(leaf_members(nodes), "gene").groupBy("og", "path").agg(F.count(F.lit(1)).alias("n"))
+    climbed = at_leaves.select("og", F.explode(prefixes()).alias("path"), "n").groupBy("og", "path").agg(F.sum("n").alias("shared"))
+    rank = F.struct((-F.col("shared")).alias("less"), F.col("n_genes").alias("node_genes"), "path")
+    best = climbed.join(nodes.select("path", "n_genes"), "path").groupBy("og").agg(F.min(rank).alias("k")).select("og", F.col("k.path").alias("path"), (-F.col("k.less")).alias("shared"))
     kids = nodes.select(parent().alias("path"), "n_genes").filter("path IS NOT NULL").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n_genes")), lambda x: x.cast("string")), " ").alias("child_genes"))
     place = nodes.select("path", "event", F.col("n_genes").alias("node_genes")).join(kids, "path", "left")
     out = own.join(best, "og", "left").join(place, "path", "left")

@@ -91,6 +91,23 @@ def test_common_ancestors(spark):
     assert below == {(0, 0), (0, 0, 0), (0, 0, 1)}
 
 
+def test_group_locations_by_definition(spark):
+    rng = random.Random(6)
+    leaves = {(c, a, b): " ".join(f"{'abcd'[rng.randrange(4)]}{c}{a}{b}{i}" for i in range(rng.randrange(1, 5))) for c in range(4) for a in range(2) for b in range(2)}
+    df = nodes_from(spark, leaves)
+    nodes = {tuple(r.path): set(r.gene_ids) for r in df.collect()}
+    genes = sorted(set().union(*nodes.values()))
+    groups = {f"o{k}": set(rng.sample(genes, rng.randrange(1, 7))) | ({"z|none"} if k % 5 == 0 else set()) for k in range(30)} | {"gone": {"z|1", "z|2"}}
+    rows = [(k, g) for k, own in groups.items() for g in own] + [("o1", g) for g in groups["o1"]]
+    got = {r.og: (None if r.path is None else tuple(r.path), r.shared) for r in hierarchy.group_locations(spark.createDataFrame(rows, "og string, gene string"), df).collect()}
+    want = {}
+    for k, own in groups.items():
+        if len(own) > 1:
+            best = min(((-len(own & x), len(x), p) for p, x in nodes.items() if own & x), default=None)
+            want[k] = (None, None) if best is None else (best[2], -best[0])
+    assert got == want
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(2,), (999,), (1000,), (5000,), (100_000,), (1_000_000,)], "n int")
     got = [r[0] for r in df.select(scalars.resolution_gamma(F.col("n"))).collect()]
