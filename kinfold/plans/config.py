@@ -9,7 +9,8 @@ from dataclasses import dataclass, fields
 @dataclass(frozen=True)
 class Config:
     genomes: str = ""  # folder of FASTA files
-    hits: str = ""  # folder of tabular search results between recoded genes
+    hits: str | None = None  # folder of tabular search results between recoded genes; without, the built-in search makes them
+    evalue: float = 1e-5  # of the built-in search
     output: str = ""
     mode: str = "lrb"  # lrb, arb or ar
     weight: str = "nbs"  # nbs, bs or sim

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.operators import community, edges, hierarchy, score
+from kinfold.operators import align, community, edges, hierarchy, score
 from kinfold.plans.config import Config, parse
 from kinfold.plans.tables import swept
 from kinfold.sources import hits as hit_source
@@ -45,8 +45,14 @@ def run(spark: SparkSession, c: Config) -> dict[str, DataFrame]:
             recoded.extend(sequences.recode(records))
         return recoded[k]
 
+    def found() -> DataFrame:
+        if c.hits is not None:
+            return hit_source.read_outfmt6(spark, c.hits)[0]
+        # A pair is found once in each direction, so there are no lines to choose from.
+        return align.search(genes.select("gene_code", "seq"), c.evalue).select("*", F.lit("").alias("file"), F.lit(0).alias("line_no"))
+
     genomes, genes = stage("genomes", lambda: once(0)), stage("genes", lambda: once(1))
-    hits = stage("hits", lambda: hit_source.genome_hits(hit_source.read_outfmt6(spark, c.hits)[0], genes))
+    hits = stage("hits", lambda: hit_source.genome_hits(found(), genes))
     nbs = stage("nbs", lambda: score.normalize(hits))
     network = stage("network", lambda: edges.network_edges(edges.retain(nbs, c.mode)))
     code = lambda genome, gene: F.concat(F.lit("G"), F.col(genome), F.lit("|g"), F.col(gene))

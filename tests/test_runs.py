@@ -59,6 +59,23 @@ def test_inference(spark, tmp_path):
     assert sorted(map(str, again["groups"].collect())) == before
 
 
+def test_inference_without_results(spark, tmp_path):
+    """The built-in search stands in for an outside tool's: families of sequences with a few changes become groups."""
+    import random
+
+    rng, letters = random.Random(7), "ACDEFGHIKLMNPQRSTVWY"
+    base = ["".join(rng.choices(letters, k=150 + 20 * i)) for i in range(4)]
+    change = lambda s: "".join(rng.choice(letters) if rng.random() < 0.08 else x for x in s)
+    (tmp_path / "genomes").mkdir()
+    for g in range(3):
+        (tmp_path / "genomes" / f"s{g}.fa").write_text("".join(f">sp|S{g}N{i}|X\n{change(s)}\n" for i, s in enumerate(base)))
+    c = parse(["--genomes", f"{tmp_path}/genomes", "--output", f"{tmp_path}/out"])
+    assert c.hits is None
+    out = run(spark, c)
+    assert {(r.q_genome, r.r_genome, r.q) for r in out["hits"].collect()} == {(a, b, i) for a in range(3) for b in range(3) for i in range(4) if a != b}
+    assert sorted(tuple(r.gene_ids) for r in out["groups"].collect()) == sorted(tuple(f"G{g}|g{i}" for g in range(3)) for i in range(4))
+
+
 def one_file(tmp_path, name):
     """The parts of a written graph, one after the other, as one file."""
     text = "".join(p.read_text() for p in sorted((tmp_path / f"out/{name}_gml").glob("part*")))
