@@ -36,12 +36,21 @@ def job2_annotate_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LIST = f"regexp_extract_all(translate(text, '{annotate_texts.CAPITALS}', '{annotate_texts.SMALL}'), '{annotate_texts.WORD}')"
-_RUNS = "list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))"
+
+
+def _runs_sql(rows: str, key: str) -> str:
+    """The runs of the word lists ``w`` of ``rows``: each word with the next four, as far as the list has them."""
+    following = ", ".join(f"lead(x, {k}) OVER o" for k in range(1, 5))
+    return f"""SELECT {key}, least(n, 5) AS n, run, first FROM (
+  SELECT {key}, n, i - 1 AS first, concat_ws(' ', x, {following}) AS run FROM (
+    SELECT {key}, r, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT *, row_number() OVER () AS r FROM {rows})) WINDOW o AS (PARTITION BY r ORDER BY i))
+ WHERE first <= greatest(n - 5, 0)"""
+
+
 JOB2_SQL = f"""WITH rec AS MATERIALIZED (SELECT source, doc_id, {_LIST} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 fam AS MATERIALIZED (SELECT item_id, {_LIST} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-recruns AS (SELECT source, doc_id, least(len(w), 5) AS n, unnest({_RUNS}) AS run, unnest(range(greatest(len(w) - 4, 1))) AS first FROM rec WHERE len(w) > 0),
-famruns AS MATERIALIZED (SELECT item_id, run, min(first) AS f, max(first + n - 1) AS l FROM (
-  SELECT item_id, least(len(w), 5) AS n, unnest({_RUNS}) AS run, unnest(range(greatest(len(w) - 4, 1))) AS first FROM fam WHERE len(w) > 0) GROUP BY 1, 2),
+recruns AS ({_runs_sql("rec", "source, doc_id")}),
+famruns AS MATERIALIZED (SELECT item_id, run, min(first) AS f, max(first + n - 1) AS l FROM ({_runs_sql("fam", "item_id")}) GROUP BY 1, 2),
 shared AS (SELECT source, doc_id, item_id, count(DISTINCT run) AS n, min(first) AS qs, max(first + n - 1) AS qe, min(f) AS ss, max(l) AS se
   FROM recruns JOIN famruns USING (run) GROUP BY 1, 2, 3),
 hit AS (SELECT s.*, s.n * CAST(100 AS DOUBLE) / c.n_runs AS pident, a.q_len, b.s_len
