@@ -10,8 +10,9 @@ later for the few that are not, so a signature costs about n + m log m points.
 Bands of components bring candidates together; each candidate is compared with its bucket's leader by exact multiset
 overlap. In buckets where some member doesn't match the leader, all members that share enough weight to be a pair, and that
 links don't join yet, are compared; one of more than ``PART`` in parts first, after which one member of each joined set meets
-the others', beyond ``MOST`` by the further bands in which they agree: in all buckets of more than ``PART``, two sets that only
-other members of theirs would join stay apart, unless another bucket joins them. Documents that verified links join, directly or over others, are one class.
+the others', beyond ``MOST`` by the further bands in which they agree. Members of a bucket that are in different sets then are
+compared with each other, all of them, in cells of a bounded number; so a bucket loses no link, whatever its size. Documents
+that verified links join, directly or over others, are one class.
 
 Defined results: documents with equal multisets are one class without further comparison; texts without words (also null)
 are one class only with equal texts; a class's id is its least doc_id (null only if all are null); of equal least ids, the
@@ -269,7 +270,8 @@ def _meeting(members: DataFrame, bands: DataFrame, bags: DataFrame, threshold: f
     """Links (a, b) that join the similar members of each bucket (key, cid, root); a root's members are joined already.
 
     A bucket meets in parts of about ``part`` members; then one member of each part's joined sets meets the others', at once
-    if they are ``most`` at most, or else dealt by the further bands in which they agree, as similar ones do.
+    if they are ``most`` at most, or else dealt by the further bands in which they agree, as similar ones do. That joins most;
+    members whose sets are still different meet in ``_across``.
     """
 
     @tidied
@@ -301,15 +303,43 @@ def _meeting(members: DataFrame, bands: DataFrame, bags: DataFrame, threshold: f
     none = F.lit(None).cast("long").alias("root")
     dealt = in_parts(members)
     whole = joined(dealt.filter("parts = 1").drop("parts")).filter("a IS NOT NULL").select("a", "b")
-    first = written(joined(dealt.filter("parts > 1").drop("parts")), "parts")
+    several = written(dealt.filter("parts > 1").drop("parts"), "several")
+    if several.isEmpty():
+        return whole
+    first = written(joined(several), "parts")
     heads = first.filter("a IS NULL").select("key", "cid")
     sizes = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     heads = heads.join(sizes, "key")
     second = joined(heads.filter((F.col("n") <= most) & (F.col("n") > 1)).select(F.col("key").alias("cell"), "cid", none, "key"))
     large = heads.filter(F.col("n") > most).select("key", "cid").join(bands.select("cid", F.col("key").alias("further")), "cid").filter("key <> further")
     third = joined(in_parts(large.select("cid", none, F.xxhash64("key", "further").alias("key"))).drop("parts"))
-    rest = second.unionByName(third).filter("a IS NOT NULL").select("a", "b")
-    return whole.unionByName(first.filter("a IS NOT NULL").select("a", "b")).unionByName(rest)
+    links = first.select("a", "b").unionByName(second.select("a", "b")).unionByName(third.select("a", "b")).filter("a IS NOT NULL")
+    links = written(links, "links")
+    # What is not one set yet meets whole.
+    known = links.unionByName(several.filter("root IS NOT NULL AND root <> cid").select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    of = components(known, "a", "b").withColumnRenamed("node", "cid")
+    apart = several.select("key", "cid").join(of, "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    rest = joined(_across(apart, part)).filter("a IS NOT NULL").select("a", "b")
+    return whole.unionByName(links).unionByName(rest)
+
+
+def _across(members: DataFrame, part: int) -> DataFrame:
+    """(cell, cid, root, key) of cells of at most about twice ``part`` members, in some of which any two members of a bucket (key, cid, root) with different roots stand.
+
+    In a bucket of several roots, parts of those outside the most frequent one meet every part of all; so few outsiders of a
+    large bucket cost as many cells as it has parts. Buckets of one root have none.
+    """
+    members = written(members, "apart")
+    sets = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    told = sets.groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n")).filter("n > main.m")
+    lots = lambda n: F.ceil(n / F.lit(part)).cast("int")
+    told = told.select("key", F.col("main.root").alias("main"), lots(F.col("n")).alias("parts"), lots(F.col("n") - F.col("main.m")).alias("outs"))
+    rows = members.join(told, "key")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("j")
+    lot = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    outside = rows.filter("root <> main").select("key", "cid", "root", lot("outs").alias("i"), other("parts"))
+    all_ = rows.select("key", "cid", "root", other("outs"), lot("parts").alias("i")).select("key", "cid", "root", F.col("j").alias("i"), F.col("i").alias("j"))
+    return outside.unionByName(all_).select(F.xxhash64("key", "i", "j").alias("cell"), "cid", "root", "key").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

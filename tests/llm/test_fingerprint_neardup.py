@@ -193,6 +193,24 @@ def test_similar_sets_and_their_parts(spark):
             assert all(any(set(x) <= set(y) for y in want) for x in found) and len(found) <= len(want) + 4
 
 
+def test_large_buckets_lose_no_link(spark):
+    """In every bucket of more than one part: a chain whose neighbours are alike, and outsiders, one of which is like one member only."""
+    chain = [Counter({i: 1 for i in range(6 * k, 6 * k + 100)}) for k in range(30)]  # neighbours 94 / 106, the next ones 88 / 112
+    outside = [Counter({10_000 * (k + 1) + i: 1 for i in range(100)}) for k in range(20)]
+    bags = chain + outside + [Counter({i: 1 for i in range(90 + 6 * 29 - 90 - 6, 6 * 29 + 94)})]
+    stored = spark.createDataFrame([(k, bytearray(N._pack(np.array(sorted(b), np.uint64), np.ones(len(b), np.int64)))) for k, b in enumerate(bags)], "cid long, bag binary")
+    want = {(i, j) for i, a in enumerate(bags) for j, b in enumerate(bags) if i < j and sum((a & b).values()) >= 0.8 * sum((a | b).values())}
+    bands = spark.createDataFrame([], "key long, cid long")  # no further band brings any together
+    members = spark.createDataFrame([(1, k, None) for k in range(len(bags))] + [(2, k, None) for k in range(30, 50)], "key long, cid long, root long")
+    for part, most in ((4, 8), (7, 1000), (2, 4)):
+        got = {tuple(sorted(r)) for r in N._meeting(members, bands, stored, 0.8, part, most).collect()}
+        assert got <= want
+        root = {k: k for k in range(len(bags))}
+        for a, b in got:
+            root = {k: root[a] if x == root[b] else x for k, x in root.items()}
+        assert len({root[k] for k in [*range(30), 50]}) == 1 and len(set(root.values())) == 21
+
+
 def test_different_texts_that_sum_alike(spark, tmp_path):
     """Words that polynomial hashes can't tell apart (Thue-Morse) and texts that differ in NUL bytes are different contents."""
     bits = [0]
