@@ -291,3 +291,23 @@ def test_components_with_hubs(spark, hub):
     got = {r.node: r.component for r in connected_components(df, hot=20).collect()}
     assert got == {n: top(n) for e in edges if e[0] != e[1] for n in e}
     assert {r.node: r.component for r in connected_components(df).collect()} == got
+
+
+def test_many_small_communities_share_a_task_s_python(spark, monkeypatch):
+    """Small communities are divided as rows of sorted partitions: a call of pandas for each costs ten times the division."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    from kinfold.operators import community
+
+    def never(*_):
+        raise AssertionError("a call for each group")
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", never)
+    rows = [(f"G{i % 3}|{k:03}-{i}", f"G{j % 3}|{k:03}-{j}", 1.0 if (i < 2) == (j < 2) else 0.1) for k in range(60) for i in range(4) for j in range(i + 1, 4)]
+    got = {tuple(r.path): sorted(r.gene_ids) for r in community.hierarchy(spark.createDataFrame(rows, "src string, dst string, nbs double")).collect()}
+    want = {}
+    for k in range(60):
+        edges = [r for r in rows if f"|{k:03}-" in r[0]]
+        for path, gene, _ in community._tree(str(k), sorted({g for e in edges for g in e[:2]}), edges, "rber", 1.0, 0):
+            want.setdefault(tuple(map(int, path.split("-"))), []).append(gene)
+    assert sorted(map(sorted, want.values())) == sorted(got.values()) and len(got) == len(want) > 120
