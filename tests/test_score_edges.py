@@ -138,3 +138,17 @@ def test_ranks_over_ranges(spark):
     assert got == want
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     assert ranked(df.limit(0), ["k", "l"], ["v", "i"]).count() == 0 and parts == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+def test_hits_stay_in_their_buckets(spark, sf):
+    """Normalised hits are looked through by query gene where they are; no table name stays behind."""
+    from kinfold import queries
+    from kinfold.operators import edges, score
+
+    names = {t.name for t in spark.catalog.listTables()}
+    nbs = score.normalize(queries.hits(spark, sf))
+    plan = edges.best_hits(nbs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "hashpartitioning" not in plan
+    assert {t.name for t in spark.catalog.listTables()} == names
+    kept = {tuple(r) for r in edges.retain(nbs, "arb").select("q", "r").collect()}
+    assert kept and kept == {(r, q) for q, r in kept}
