@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__
@@ -190,6 +191,22 @@ def test_communities_of_all_parts(spark, sf):
     assert all(sum(kids[r.node]) == r.n_genes for r in nodes if r.node in kids) and len(kids) > n / 10
 
 
+def test_division_broadcasts_small_tables_only(spark, tmp_path, monkeypatch):
+    """Within a division, a table whose files are under the session's limit of broadcasts but not small is joined by an exchange; the limit is there again afterwards."""
+    from kinfold.operators import community
+    from kinfold.plans import tables
+
+    rows = spark.range(200_000).select("id", (F.col("id") * 7919 % 200_003).alias("x"))
+    stored = tables.written(rows, "broad")
+    joined = lambda: stored.join(rows, "id")._jdf.queryExecution().sparkPlan().toString()
+    seen = []
+    monkeypatch.setattr(community, "connected_components", lambda edges: seen.append(joined()) or 1 / 0)
+    assert "BroadcastHashJoin" in joined()
+    with pytest.raises(ZeroDivisionError):
+        community.hierarchy(spark.createDataFrame([("G0|a", "G1|b", 1.0)], "src string, dst string, nbs double"))
+    assert "BroadcastHashJoin" not in seen[0] and "BroadcastHashJoin" in joined()
+
+
 def test_without_the_subpackage(tmp_path):
     """Everything else imports and registers where the subpackage and the pipeline are gone."""
     for name in ("kinfold", "__spark_entry__.py"):
