@@ -206,14 +206,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     failed = links.join(verdict.filter(F.col("like") < threshold).select(F.col("a").alias("cid"), F.col("b").alias("leader")), ["cid", "leader"])
     linked = links.join(verdict.filter(F.col("like") >= threshold).select(F.col("a").alias("cid"), F.col("b").alias("leader")), ["cid", "leader"])
     members = links.select("key", F.explode(F.array("cid", "leader")).alias("cid")).distinct()
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    open_keys = failed.select("key").distinct().join(sizes, "key").select("key")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s")).filter("n > 2")
+    # Buckets of the same members are one: told apart by key, so that members meet one join by it, with their bucket's size.
+    open_keys = failed.select("key").distinct().join(sizes, "key").groupBy("s", "n").agg(F.min("key").alias("key")).select("key", "n")
     # A member that matches its leader has it as its root; of such, one suffices where no other links are looked for.
     rooted = linked.groupBy("key", "cid").agg(F.min("leader").alias("root"))
     open_members = written(members.join(open_keys, "key").join(rooted, ["key", "cid"], "left"), "open")
-    # Buckets of the same members are one.
-    same = open_members.groupBy("key").agg(F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("m")).groupBy("s", "m").agg(F.min("key").alias("key"))
-    more = _meeting(open_members.join(same.select("key"), "key").select("key", "cid", "root"), bands, bags, threshold)
+    more = _meeting(open_members.select("key", "cid", "root", "n"), bands, bags, threshold)
     good = verdict.filter(F.col("like") >= threshold).select("a", "b").unionByName(more)
     return signed.select("doc_id", "content", "size"), one.drop("bands"), components(good, "a", "b").select(F.col("node").alias("cid"), "root")
 
@@ -267,7 +266,7 @@ def similar_sets(rows: list[tuple], threshold: float) -> tuple[list[tuple[int, i
 
 
 def _meeting(members: DataFrame, bands: DataFrame, bags: DataFrame, threshold: float, part: int = PART, most: int = MOST) -> DataFrame:
-    """Links (a, b) that join the similar members of each bucket (key, cid, root); a root's members are joined already.
+    """Links (a, b) that join the similar members of each bucket (key, cid, root, and maybe n, its members' number); a root's members are joined already.
 
     A bucket meets in parts of about ``part`` members; then one member of each part's joined sets meets the others', at once
     if they are ``most`` at most, or else dealt by the further bands in which they agree, as similar ones do. That joins most;
@@ -297,8 +296,10 @@ def _meeting(members: DataFrame, bands: DataFrame, bags: DataFrame, threshold: f
         return with_bags.repartition("cell").sortWithinPartitions("cell", "cid").mapInArrow(run, "a long, b long, key long, cid long")
 
     def in_parts(rows: DataFrame) -> DataFrame:
-        parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return rows.join(parts, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("cell"), "cid", "root", "key", "parts")
+        if "n" not in rows.columns:
+            rows = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+        rows = rows.filter("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(part)).cast("int"))
+        return rows.select(F.xxhash64("key", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("cell"), "cid", "root", "key", "parts")
 
     none = F.lit(None).cast("long").alias("root")
     dealt = in_parts(members)

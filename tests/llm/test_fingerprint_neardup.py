@@ -233,3 +233,17 @@ def test_classes(spark, tmp_path):
     assert kept.columns == frame.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({g[1] for g in got}, key=str)
     assert N.op9_neardup(spark, save(spark, tmp_path / "none", [])).count() == 0
+
+
+def test_open_buckets_come_once_with_their_size(spark, monkeypatch):
+    """Buckets of the same members are one before any member is read for them, and members know how many they are."""
+    base = [f"w{i}" for i in range(120)]
+    docs = [(k, " ".join(base[:100 - k] + [f"x{k}_{i}" for i in range(k + 20)])) for k in range(12)]
+    seen, inner = [], N._meeting
+    monkeypatch.setattr(N, "_meeting", lambda members, *a: seen.extend(members.collect()) or inner(members, *a))
+    N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    buckets = {}
+    for r in seen:
+        buckets.setdefault(r.key, []).append(r)
+    assert buckets and all(r.n == len(rows) for rows in buckets.values() for r in rows)
+    assert len({frozenset(r.cid for r in rows) for rows in buckets.values()}) == len(buckets)
