@@ -152,3 +152,16 @@ def test_hits_stay_in_their_buckets(spark, sf):
     assert {t.name for t in spark.catalog.listTables()} == names
     kept = {tuple(r) for r in edges.retain(nbs, "arb").select("q", "r").collect()}
     assert kept and kept == {(r, q) for q, r in kept}
+
+
+def test_hits_are_dealt_by_rows(spark, sf, monkeypatch):
+    """The tasks that aggregate hits grow in number with the lines, beyond the session's partitions, and Spark doesn't put them together."""
+    from kinfold import queries
+    from kinfold.plans import tables
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert tables.tasks_for(lines, 100) == -(-lines.count() // 100) and tables.tasks_for(lines) == 4
+    want = sorted(map(tuple, queries.hits(spark, sf).collect()))
+    monkeypatch.setattr(queries, "tasks_for", lambda rows: tables.tasks_for(rows, 300))
+    out = queries.hits(spark, sf)
+    assert out.rdd.getNumPartitions() == -(-lines.count() // 300) and sorted(map(tuple, out.collect())) == want
