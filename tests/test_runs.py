@@ -234,3 +234,17 @@ def test_whole_tables(spark, tmp_path):
     assert got == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
     pairs = {(r.gene_a, r.gene_b) for r in queries.QUERIES["og_pair_combinations"](spark, str(tmp_path)).collect()}
     assert pairs == {*combinations((1, 2, 3), 2), *combinations(range(4, 10), 2)}
+
+
+def test_pairs_of_a_large_group_are_of_many_tasks(spark):
+    from itertools import combinations
+
+    from kinfold.operators import evaluate
+
+    members = spark.createDataFrame([("a", n, 10 * n) for n in range(1, 48)] + [("b", 1, 5)] + [("c", n, n) for n in (1, 2)], "og string, pos int, gene long")
+    got = evaluate.combinations(members, block=10, pairs_a_task=100)
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    want = [("a", 10 * i, 10 * j) for i, j in combinations(range(1, 48), 2)] + [("c", 1, 2)]
+    assert sorted((r.og, r.gene_a, r.gene_b) for r in rows) == want
+    assert len({r.task for r in rows if r.og == "a"}) > 3
+    assert evaluate.combinations(members.limit(0)).count() == 0
