@@ -311,3 +311,18 @@ def test_many_small_communities_share_a_task_s_python(spark, monkeypatch):
         for path, gene, _ in community._tree(str(k), sorted({g for e in edges for g in e[:2]}), edges, "rber", 1.0, 0):
             want.setdefault(tuple(map(int, path.split("-"))), []).append(gene)
     assert sorted(map(sorted, want.values())) == sorted(got.values()) and len(got) == len(want) > 120
+
+
+def test_components_are_dealt_by_their_edges(spark, monkeypatch):
+    """Steps have as many partitions as the edges ask for, and the session's settings stand again afterwards."""
+    from kinfold.operators import components
+
+    seen, write, keys = [], components.written, ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    monkeypatch.setattr(components, "written", lambda df, name: seen.append(int(spark.conf.get(keys[0]))) or write(df, name))
+    monkeypatch.setattr(components, "ROWS_A_TASK", 5, raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i % 10 != 9], "src long, dst long")
+    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert got == {i: i // 10 * 10 for i in range(30)}
+    assert seen[0] == 4 and set(seen[1:]) == {11}
+    assert [spark.conf.get(k) for k in keys] == before
