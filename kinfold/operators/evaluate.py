@@ -129,7 +129,8 @@ def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges (src, dst, ...) with both ends in one community; ``members`` has (gene, community)."""
     s = members.select(F.col("gene").alias("src"), F.col("community"))
     d = members.select(F.col("gene").alias("dst"), F.col("community"))
-    return edges.join(s, "src").join(d, ["dst", "community"])
+    # Never broadcast: members come from arrays, whose lengths Spark doesn't know.
+    return edges.join(s.hint("merge"), "src").join(d.hint("merge"), ["dst", "community"])
 
 
 def leaf_categories(leaves: DataFrame, ids: DataFrame, categories: DataFrame) -> DataFrame:

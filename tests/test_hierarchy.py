@@ -326,3 +326,11 @@ def test_components_are_dealt_by_their_edges(spark, monkeypatch):
     assert got == {i: i // 10 * 10 for i in range(30)}
     assert seen[0] == 4 and set(seen[1:]) == {11}
     assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_inseparable_edges_broadcasts_no_genes(spark, sf):
+    from kinfold import queries
+
+    found = queries.inseparable_edges(spark, sf)
+    assert found.count() >= 0
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
