@@ -165,3 +165,19 @@ def test_hits_are_dealt_by_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(queries, "tasks_for", lambda rows: tables.tasks_for(rows, 300))
     out = queries.hits(spark, sf)
     assert out.rdd.getNumPartitions() == -(-lines.count() // 300) and sorted(map(tuple, out.collect())) == want
+
+
+def test_reciprocal_hits_go_once_through_the_exchange(spark):
+    """The ends of a row aren't carried twice, as themselves and in the pair's order; own-genome hits stay, transposed or not."""
+    import itertools
+
+    rows = [(f"g{x // 3}", f"g{y // 3}", x, y, float(x * 10 + y), 1.0, 2.0) for x, y in itertools.permutations(range(9), 2) if (7 * x + 3 * y) % 5 < 3]
+    nbs = spark.createDataFrame(rows, "q_genome string, r_genome string, q long, r long, nbs double, bitscore double, identity double")
+    have = {(r[2], r[3]) for r in rows}
+    both = [r for r in rows if r[0] != r[1] and (r[3], r[2]) in have]
+    got, ar = edges.reciprocal(nbs), edges.retain(nbs, "ar")
+    assert got.columns == ar.columns == nbs.columns
+    assert sorted(map(tuple, got.collect())) == sorted(both) and both
+    assert sorted(map(tuple, ar.collect())) == sorted(both + [r for r in rows if r[0] == r[1]])
+    for df in (got, ar):
+        assert "_w0" not in df._jdf.queryExecution().optimizedPlan().toString()
