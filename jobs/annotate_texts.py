@@ -55,10 +55,12 @@ def word_list(text: Column) -> Column:
 
 def runs(rows: DataFrame, key: list[str], k: int) -> DataFrame:
     """(key, run, first, last): each run of a row's text, with the places of its first and last word, from 0."""
-    listed = rows.select(*key, word_list(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    listed = rows.select(*key, word_list(F.col("text")).alias("w"))
+    listed = listed.select(*key, "w", F.least(F.size("w"), F.lit(k)).alias("n"))  # counted here: a row of each run would carry all words otherwise
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
     each = F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, k), " "))).alias("first", "run")
-    return listed.select(*key, each, F.least(F.size("w"), F.lit(k)).alias("n")).select(*key, "run", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    # Texts without words have an empty run; asking for their words instead would look for all words twice.
+    return listed.select(*key, "n", each).filter("run <> ''").select(*key, "run", "first", (F.col("first") + F.col("n") - 1).alias("last"))
 
 
 def hits(records: DataFrame, families: DataFrame, k: int) -> DataFrame:

@@ -203,3 +203,15 @@ def test_config_and_command_line(spark, sf, tmp_path):
     said = subprocess.run([sys.executable, "-m", "jobs.annotate_texts", "--records", f"{sf}/documents.parquet", "--families", f"{sf}/benchmark.parquet", "--output", f"{tmp_path}/out"], cwd=root, capture_output=True, text=True, timeout=300)
     assert said.returncode == 0 and "wrote" in said.stderr
     assert annotate_texts.read_annotations(spark, f"{tmp_path}/out").count() > 0
+
+
+def test_runs_of_words_carry_no_words(spark):
+    """A run's row has its own words alone, so the work of a text is in proportion to its length."""
+    from jobs import annotate_texts
+
+    rows = spark.createDataFrame([(1, "A b, c d"), (2, "x"), (3, "")], "id long, text string")
+    found = annotate_texts.runs(rows, ["id"], 3)
+    assert sorted(map(tuple, found.collect())) == [(1, "a b c", 0, 2), (1, "b c d", 1, 3), (2, "x", 0, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate " in line)
+    assert "[0]" in generate or "[1]" in generate, generate  # words, the generator's input, aren't among its output
