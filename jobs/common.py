@@ -37,10 +37,14 @@ def command_line(description: str, paths: list[str]) -> dict[str, str | None]:
     return vars(p.parse_args())
 
 
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the rows of a partition together; a large partition's rows are spread over tasks by AQE."""
+    return df.hint("rebalance", *by)
+
+
 def write_partitions(df: DataFrame, path: str, by: list[str], rows_per_file: int) -> None:
-    """Overwrites the partitions that ``df`` has rows of, and no others; a large partition's rows are spread over tasks by AQE."""
-    spread = df.hint("rebalance", *by)
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
+    """Overwrites the partitions that ``df`` has rows of, and no others; each task that has rows of a partition writes a file there."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
 
 
 def make_empty(spark: SparkSession, path: str, schema: str, by: list[str]) -> None:

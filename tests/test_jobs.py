@@ -113,6 +113,41 @@ def test_feed_of_odd_lines(spark, tmp_path):
     assert scores(spark, f"{tmp_path}/out2") == []
 
 
+def shuffled_rows(spark, since=-1):
+    """Rows that stages after ``since`` wrote to shuffles, and the last stage."""
+    jvm, store = spark._jvm, spark._jsc.sc().statusStore()
+    none = jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in stages if s.stageId() > since), max([s.stageId() for s in stages], default=-1)
+
+
+def test_feed_moves_hits_to_be_placed_ranked_and_fitted_only(spark, sf, tmp_path):
+    price = (F.col("id") * 7919 % 1000 + 1.0).alias("l_extendedprice")  # no hit repeats
+    lines = spark.range(6000).select(F.col("id").alias("l_orderkey"), (F.col("id") % 200).alias("l_partkey"), F.expr("id div 200").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"), price)
+    arrive(lines, f"{tmp_path}/in", "l_orderkey >= 0")
+    _, since = shuffled_rows(spark)
+    score_feed.run(spark, f"{tmp_path}/in", f"{sf}/part.parquet", f"{tmp_path}/out", f"{tmp_path}/mark", score_feed.Config("p_brand", 1, 1000))
+    moved, _ = shuffled_rows(spark, since)
+    n = lines.count()
+    assert 2 * n < moved < 4 * n
+
+
+def test_feed_of_genes_that_repeat(spark, tmp_path):
+    lines = [(o, o % 7, o % 5, o % 3, 1.0 * o, 10.0 + o % 11) for o in range(1, 80)] + [(200, 1, 2, 1, 3.0, 0.0)]
+    genes = [(i, f"{i % 2:02d}", 5 + i) for i in range(7)] + [(1, "01", 6), (1, "00", 6), (2, "00", 9), (3, "01", None)]
+    spark.createDataFrame(genes, "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part")
+    df = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double")
+    key = lambda r: tuple((x is None, x) for x in r)
+    shown = lambda rows: sorted((tuple(r) for r in rows), key=key)
+    for keep in ("l_orderkey % 2 = 0", "l_orderkey % 2 = 1"):
+        arrive(df, f"{tmp_path}/in", keep)
+        score_feed.run(spark, f"{tmp_path}/in", f"{tmp_path}/part", f"{tmp_path}/out", f"{tmp_path}/mark", FEED)
+        got = score_feed.read_scores(spark, f"{tmp_path}/out").select("q_genome", "r_genome", "q", "r", "bitscore", "identity", F.round("nbs", 6)).collect()
+        want = truth(registry.JOB1_SQL, lineitem=f"{tmp_path}/in/*.parquet", part=f"{tmp_path}/part/*.parquet")
+        assert len(got) == len(want) and shown(got) == shown(want)
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
 
