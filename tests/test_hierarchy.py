@@ -334,3 +334,19 @@ def test_inseparable_edges_broadcasts_no_genes(spark, sf):
     found = queries.inseparable_edges(spark, sf)
     assert found.count() >= 0
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_communities_come_whole_to_their_task(spark):
+    """Where genes and links are both joined by community with an exchange, as large tables are, no community's rows are spread over tasks."""
+    rows = [(f"G{i % 3}|{c}-{i}", f"G{j % 3}|{c}-{j}", 1.0 + (i + j) % 3) for c in range(3000) for i, j in itertools.combinations(range(4), 2)]
+    edges = spark.createDataFrame(rows, "src string, dst string, nbs double")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1000", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = community.hierarchy(edges).filter("size(path) = 1").select("gene_ids").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sorted(r.gene_ids for r in got) == sorted(sorted(f"G{i % 3}|{c}-{i}" for i in range(4)) for c in range(3000))
