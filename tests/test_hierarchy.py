@@ -350,3 +350,29 @@ def test_small_communities_come_whole_to_their_task(spark):
         for k, v in was.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     assert sorted(r.gene_ids for r in got) == sorted(sorted(f"G{i % 3}|{c}-{i}" for i in range(4)) for c in range(3000))
+
+
+def test_tiny_graphs_that_are_the_same_are_searched_once(spark, monkeypatch):
+    """A square of equal links can't be halved, which takes a search all its steps; so the same square isn't searched again."""
+    calls, search = [], community.search
+    monkeypatch.setattr(community, "search", lambda *a: calls.append(1) or search(*a))
+    edges = [(i, j, 0.75) for i, j in itertools.combinations(range(4), 2)]
+    got = [community.divide(4, list(edges), 3, "rber", 1.0, 5) for _ in range(40)]
+    assert got == [community._divide(4, edges, "rber", 1.0, 5)] * 40
+    assert 0 < len(calls) <= 2 * community.MOST_STEPS
+
+
+def test_links_are_worked_out_once(spark):
+    """The network a hierarchy is made of is a table before it is divided, so levels don't work it out again; and a community of many links isn't one task's."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def weight(x):
+        made.add(1)
+        return float(x)
+
+    rows = [(f"G{i % 3}|{i:04}", f"G{(i + k) % 3}|{i + k:04}", 1.0) for i in range(1200) for k in (1, 2)]
+    edges = spark.createDataFrame(rows, "src string, dst string, x double").repartition(4).select("src", "dst", weight("x").alias("nbs"))
+    nodes = {tuple(r.path): r.n_genes for r in community.hierarchy(edges, task_links=2000).collect()}
+    assert nodes[(0,)] == 1202 and nodes[(0, 0)] + nodes[(0, 1)] == 1202
+    assert made.value == len(rows)
